@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, quality, sharding
+from quire.llm import chat, decontaminate, licenses, packing, quality, sharding, tokencount
 
 QUERIES = {
+    "op1_bm25_decontamination": decontaminate.op1_bm25_decontamination,
     "op2_slot_sharding": sharding.op2_slot_sharding,
+    "op3_hilbert_packing": packing.op3_hilbert_packing,
     "op5_additive_quality": quality.op5_additive_quality,
+    "op6_longest_match_counts": tokencount.op6_longest_match_counts,
+    "op7_diagonal_licenses": licenses.op7_diagonal_licenses,
     "op9_grammar_chat": chat.op9_grammar_chat,
 }
 ORACLES: dict[str, str] = {}
