@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal first n_keys columns (integers, no nulls) of sorted batches, one batch for each run."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(n_keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(k[a] for k in keys)
+            if held and key != held_key:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            held_key = key
+    if held:
+        yield _joined(held)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an edge list (src, dst): rows (node, component).
 
