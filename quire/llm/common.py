@@ -29,14 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, arrow_rows: int = 1000) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
-    This cuts the lineage; the copy survives the loss of any executor.
+    This cuts the lineage; the copy survives the loss of any executor. While
+    it is written, Arrow batches hold arrow_rows rows at most: rows are whole
+    texts or sets, of which the usual 10,000 would be large.
     """
-    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +56,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what a kernel makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 

@@ -54,17 +54,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def spans(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~separators[data]
-    edges = np.flatnonzero(np.diff(inside))
+    """Starts and ends of the runs of bytes that are no separators."""
+    outside = np.ones(len(data) + 2, bool)
+    np.take(separators, data, out=outside[1:-1])
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
     return edges[0::2], edges[1::2]
 
 
 def _word_hashes(data: np.ndarray, separators: np.ndarray, values: np.ndarray) -> np.ndarray:
-    starts, ends = spans(data, separators)
+    return span_hashes(data, *spans(data, separators), values)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = FOLDED_VALUES) -> np.ndarray:
+    """A hash for each of some runs of bytes."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * power[: len(data)], out=sums[1:])
+    own = np.take(values, data)
+    own *= power[: len(data)]
+    np.cumsum(own, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -84,6 +91,23 @@ def word_hashes(text: bytes, separators: np.ndarray = SPACE, values: np.ndarray
     return np.concatenate(parts)
 
 
+def equal_groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct value stands, and for each value the number of its group."""
+    n = len(hashes)
+    bits = max(8, int(n).bit_length() + 2)
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    own = np.arange(n)
+    table = np.empty(1 << bits, np.int64)
+    table[slot] = own
+    chosen = table[slot]
+    bad = np.flatnonzero(hashes[chosen] != hashes)
+    if len(bad):
+        _, first, group = np.unique(hashes[bad], return_index=True, return_inverse=True)
+        chosen[bad] = bad[first][group]
+    is_chosen = chosen == own
+    return np.flatnonzero(is_chosen), (np.cumsum(is_chosen) - 1)[chosen]
+
+
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     """A hash for each run of size words, in order; of fewer words one for the whole; of none nothing."""
     n = min(size, len(words))

@@ -19,6 +19,7 @@ gives no rows. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import zlib
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import partitions, stored
+from quire.llm.common import partitions, sliced, stored
 
 SEQ_LEN = 4096
 END_ID = 2
 DIMS, BITS = 3, 12
-#: Words whose pieces a worker remembers; past it the memory starts anew.
-MEMORY_WORDS = 600_000
+#: Words whose pieces a worker's young memory holds.
+MEMORY_WORDS = 350_000
+#: Rows from whose keys the ranges' bounds are taken.
+BOUND_ROWS = 20_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -69,52 +72,124 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def grid_point(text: bytes, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
     """A document's point: signs of its distinct words' hashes, summed, scaled and squashed to the grid."""
-    words = np.unique(kernels.word_hashes(text))
+    words = np.sort(kernels.word_hashes(text))
     if not len(words):
         return np.full(dims, 1 << (bits - 1))
-    signs = (words[:, None] >> np.arange(dims, dtype=np.uint64)) & np.uint64(1)
-    sums = (2.0 * signs.sum(0) - len(words)) / np.sqrt(len(words))
+    corner = (words & np.uint64((1 << dims) - 1)).astype(np.intp)
+    new = np.ones(len(words), bool)
+    np.not_equal(words[1:], words[:-1], out=new[1:])
+    counts = np.bincount(corner[new], minlength=1 << dims)
+    signs = 1.0 - 2 * ((np.arange(1 << dims)[:, None] >> np.arange(dims)) & 1)
+    sums = counts @ signs / np.sqrt(counts.sum())
     return np.minimum((1 / (1 + np.exp(-1.7 * sums)) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
 class Pieces:
-    """Token ids of texts; each run of non-space is looked up once and then remembered.
+    """Token ids of texts; each word is looked up once and then remembered.
 
-    The tokenizer drops white space and splits there, so runs are independent
-    of each other. Texts with special tokens, or with the four separators that
-    Python counts as space and the tokenizer does not, go through it whole.
+    Texts of ASCII and Latin letters are lower-cased and cut into words,
+    digits and runs of symbols just as the tokenizer does it, and these are
+    independent of each other. Words are learned many at a time. A text with
+    any other character goes run by run of non-space instead, and one with a
+    special token, or with a separator that Python counts as space and the
+    tokenizer does not, goes through it whole.
+
+    Two memories are kept: when the young one is full it becomes the old one,
+    and a new one takes over from it what it meets again.
     """
 
+    _other = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
     _whole = re.compile("[\x1c-\x1f]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+    #: UTF-8 bytes of white space, a-z, stop, comma, and letters from U+00C0 to U+023F (but for two signs).
+    _letters = bytes([32, 44, 46, *range(9, 14), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+    _pairs = (b"..", b".,", b",.", b",,", b"\xc3\x97", b"\xc3\xb7")
+    _cut = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _cuts(self, text: str) -> list[str] | None:
+        """A text's independent parts; None if it has to go whole."""
+        if "<|" in text or self._other.search(text):
+            return None if self._whole.search(text) else text.split()
+        return self._cut(text.lower())
+
+    def _spaced(self, text: str) -> bytes | None:
+        """The text with its parts divided by spaces; None if it can't be cut that way."""
+        data = text.lower().encode("utf-8", "surrogatepass")
+        if data.translate(None, self._letters) or any(p in data for p in self._pairs):
+            parts = self._cuts(text)
+            return None if parts is None else " ".join(parts).encode()
+        return data.replace(b".", b" . ").replace(b",", b" , ")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Words of letters are encoded many as one text, which is cut after their last pieces; other parts one by one."""
+        words = [w for w in parts if w.isalpha()]
+        for at in range(0, len(words), 200):
+            own = words[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u2")
+            cuts = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(cuts) == len(own):
+                data = ids.tobytes()
+                self.known.update(zip(own, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:
+                self.known.update(zip(own, self._encode(own)))
+        other = [w for w in parts if not w.isalpha()]
+        self.known.update(zip(other, self._encode(other)))
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        gaps = [k for k, f in enumerate(found) if f is None]
+        if gaps:
+            new = {words[k] for k in gaps}
+            again = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(again)
+            self._learn(list(new.difference(again)))
+            for k in gaps:
+                found[k] = self.known[words[k]]
+        return found
+
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts whose parts are divided by spaces: each distinct part of all of them is looked up once, and its ids are dealt out."""
+        sizes = np.array([len(t) + 1 for t in texts])
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, ends = kernels.spans(data, kernels.SPACE)
+        if not len(starts):
+            return [np.zeros(0, "<u4") for _ in texts]
+        chosen, group = kernels.equal_groups(kernels.span_hashes(data, starts, ends, kernels.CASED_VALUES))
+        raw = data.tobytes()
+        found = self._look_up([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())])
+        flat = np.frombuffer(b"".join(found), "<u2")
+        lengths = np.array([len(f) // 2 for f in found])
+        first = np.cumsum(lengths) - lengths
+        n = lengths[group]
+        before = np.cumsum(n) - n
+        ids = flat[np.repeat(first[group] - before, n) + np.arange(n.sum())].astype("<u4")
+        words = np.searchsorted(starts, np.cumsum(sizes)[:-1])
+        return np.split(ids, np.append(before, n.sum())[words])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [None if self._whole.search(t) else t.split() for t in texts]
-        new: set[str] = set()
-        for r in runs:
-            if r:
-                new.update(r)
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self.known.clear()
-        new.difference_update(self.known)
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u2").tobytes()
-        out = []
-        for text, r in zip(texts, runs):
-            if r is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                ids = np.frombuffer(b"".join(map(self.known.__getitem__, r)), "<u2").astype("<u4")
-            out.append(ids)
+        spaced = [self._spaced(t) for t in texts]
+        own = [k for k, p in enumerate(spaced) if p is not None]
+        out: list = [None] * len(texts)
+        for k, ids in zip(own, self._together([spaced[k] for k in own]) if own else ()):
+            out[k] = ids
+        for k, text in enumerate(texts):
+            if spaced[k] is None:
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
 
@@ -127,20 +202,54 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _key_batches(batches):
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        points = np.stack([grid_point(t or b"") for t in texts]) if texts else np.zeros((0, DIMS), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert_key(points))], names=["doc_id", "text", "curve"])
+def curve_of(text: F.Column, tie: F.Column, bounds: list[tuple[int, int]], lane: list[int]) -> F.Column:
+    """A column expression: the place on the curve of a text, and the lane of the range in which (place, tie) lies."""
+
+    @F.pandas_udf("curve long, lane long")
+    def curve(texts, ties):
+        import pandas as pd
+
+        points = [grid_point((t or "").encode()) for t in texts]
+        key = hilbert_key(np.stack(points)) if points else np.zeros(0, np.int64)
+        place = [bisect.bisect_right(bounds, pair) for pair in zip(key.tolist(), ties.tolist())]
+        return pd.DataFrame({"curve": key, "lane": np.array([lane[k] for k in place], np.int64)})
+
+    return curve(text, tie)
 
 
-def along_curve(docs: DataFrame) -> DataFrame:
-    """doc_id, text and curve, in range partitions sorted along the curve."""
+def lanes(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning deals out one to each of n partitions."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        for r in spark.range(size).select("id", F.pmod(F.hash(F.col("id")), F.lit(n)).alias("p")).collect():
+            found.setdefault(r.p, r.id)
+        size *= 4
+    return [found[k] for k in range(n)]
+
+
+def along_curve(docs: DataFrame, sample_rows: int = BOUND_ROWS) -> DataFrame:
+    """doc_id and text in range partitions, each sorted along the curve.
+
+    The ranges' bounds are quantiles of the keys of about sample_rows rows (as
+    a range partitioner takes them): they decide how even the partitions are,
+    and nothing else. All rows then get their key in the pass that deals them
+    out, so no text is hashed twice.
+    """
+    spark = docs.sparkSession
+    n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.mapInArrow(_key_batches, "doc_id long, text string, curve long").withColumn("tie", F.xxhash64("doc_id", "text"))
+    tie = F.xxhash64("doc_id", "text")
+    total = docs.select(F.lit(1)).count()
+    seen = rows if total <= sample_rows else rows.sample(sample_rows / total, 7)
+    keys = sorted((r.k.curve, r.tie) for r in seen.withColumn("tie", tie).select(curve_of(F.col("text"), F.col("tie"), [], [0]).alias("k"), "tie").limit(2 * sample_rows).collect())
+    bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
     return (
-        keyed.repartitionByRange(partitions(docs.sparkSession), "curve", "tie")
-        .sortWithinPartitions("curve", "tie", "doc_id")
+        rows.withColumn("tie", tie)
+        .withColumn("k", curve_of(F.col("text"), F.col("tie"), bounds, lanes(spark, n)))
+        .select("doc_id", "text", "tie", "k.curve", "k.lane")
+        .repartition(n, "lane")
+        .sortWithinPartitions("lane", "curve", "tie", "doc_id")
         .select("doc_id", "text")
     )
 
@@ -151,7 +260,7 @@ _PACKED = pa.schema([
 ])
 
 
-def _groups(texts: list[str], size: int = 1 << 20):
+def _groups(texts: list[str], size: int = 3 << 19):
     """Consecutive ranges of about size characters."""
     first, held = 0, 0
     for k, t in enumerate(texts):
@@ -170,7 +279,7 @@ def _packer(path: str, seq_len: int, end_id: int, with_ids: bool):
     def pack(batches):
         tokens, part, seq, fill = pieces(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in _groups(texts):
                 rows = []

@@ -583,3 +583,15 @@ def test_pipeline_stages(spark):
             assert {r.doc_id: r.text for r in frames.collect()} == kept
     assert 0 < len(kept) < len(rows)
     check_packing(frames.collect(), list(kept.items()))
+
+
+MIXED = st.lists(st.sampled_from(["the", "The", "they're", "don't", "IT'S", "x²", "½", "a1b2", "...", ".,", "?!", "***", "_", "snake_case", "É", "straße", "×", "İ", "Σας", "é", "文字", "“q”", " ", "\n", "\x1c", "\x85", " ", ".", ",", "ab.cd", "<|endoftext|>", "<|", "ǅ", "K"]), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(MIXED, st.sampled_from(["", " "])), min_size=1, max_size=4))
+def test_pieces_match_the_tokenizer(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [joint.join(t) for t, joint in texts]
+    pieces = packing.pieces(path)
+    assert [p.tolist() for p in pieces(texts)] == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
