@@ -185,9 +185,7 @@ def decode_one(data: bytes, name: str, params: dict) -> bytes:
     if name in ("RunLengthDecode", "RL"):
         return run_length_decode(data)
     if name in ("CCITTFaxDecode", "CCF"):
-        from quire.pdf.fax import fax_decode
-
-        return fax_decode(data, params)
+        raise PdfError("CCITTFaxDecode is not supported")
     if name in PASSED:
         return data
     raise PdfError(f"unknown filter {name}")
