@@ -56,8 +56,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that what a kernel makes of one stays small."""
+#: What kernels remember in a worker, by kernel.
+memories: dict[str, dict] = {}
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512, kernel: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what a kernel makes of one stays small. Workers outlive stages: what other kernels remember is dropped."""
+    for name, memory in memories.items():
+        if name != kernel:
+            memory.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -24,11 +24,15 @@ What is common is read from counters over all documents, of a fixed number
 (2**SKETCH_BITS); which shingles are called common decides only how fast this
 is, never what is found.
 
-Only components are wanted, so no group's pairs are all compared: equal sets
-are one class; each neighbourhood's members are first compared with one hub
-(two rounds, with other hubs), and only pairs not yet connected are then
-searched by the trees. A neighbourhood of more than PART documents is dealt
-out in pairs of parts. A set is known by a 64-bit hash of its shingles.
+Only components are wanted, so no pairs are sent round: equal sets are one
+class; each neighbourhood's members are first compared with one hub, which
+connects most of a group of copies; then the trees are asked for what is not
+yet connected. They pass on which members have a candidate, not the pairs; the
+members' sets are joined to them, each neighbourhood is verified in one go,
+and a star for each of its components comes out. A pair is looked at in the
+first neighbourhood that its documents share. A neighbourhood of more than
+PART documents is dealt out in pairs of parts. A set is known by a 64-bit hash
+of its shingles.
 
 Nulls: a null text is empty; texts without words link with nothing, and so do
 rows with a null doc_id (their component is null). Repeated rows are linked as
@@ -45,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import connected_components, partitions, sorted_groups, stored
+from quire.llm.common import connected_components, partitions, sliced, sorted_groups, stored
 
 SIZE = 5
 PERCENT = 75
@@ -53,9 +57,11 @@ SIGNATURE = 32
 RARE_SHARE = 0.6
 SKETCH_BITS = 19
 COMMON = 200
-GROUPS = 128
+GROUPS = 256
 LEAF = 16
-PART = 1024
+PART = 512
+#: A count of 255 or more is kept as 255 and read as this: no bound is lost.
+_MANY = 10_000_000
 _CHUNKS = 32
 MARK_BITS = 23
 
@@ -71,8 +77,26 @@ def needed(a, b):
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in each group."""
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    """Counts of a set's shingles in each group, as bytes."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255).astype(np.uint8)
+
+
+def read_points(points: list[bytes]) -> np.ndarray:
+    """Rows of counts for the bound."""
+    out = np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS).astype(np.int64)
+    out[out == 255] = _MANY
+    return out
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two of a pair's shingles are taken for one with a chance under 1e-9."""
+    return shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -97,7 +121,7 @@ def signature(shingles: np.ndarray, is_common: np.ndarray) -> np.ndarray:
 
 def _count_batches(batches):
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             own = kernels.shingle_set(text)
             np.add.at(total, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -135,7 +159,7 @@ def common_counters(texts: DataFrame) -> np.ndarray:
 def _signature_batches(shared):
     def run(batches):
         is_common, seen = shared.value, set()
-        for batch in batches:
+        for batch in sliced(batches):
             cls, size, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 own = kernels.shingle_set(text)
@@ -155,21 +179,23 @@ def _signature_batches(shared):
     return run
 
 
-def _set_batches(shared):
-    """Sets and points of the classes whose marks are set, each once for a task."""
+def _set_batches(shared_marks, shared_common):
+    """Sets, points and signatures of the classes whose marks are set, each once for a task."""
 
     def run(batches):
-        marks, seen = shared.value, set()
-        for batch in batches:
+        marks, is_common, seen = shared_marks.value, shared_common.value, set()
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 own = kernels.shingle_set(text)
                 c = class_of(own) if len(own) else None
                 if c is not None and c not in seen and marks[_mark(c)]:
                     seen.add(c)
-                    rows.append((c, len(own), point(own).astype("<u4").tobytes(), own.tobytes()))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cls", "n", "point", "members"])
+                    rows.append((c, len(own), point(own).tobytes(), np.sort(signature(own, is_common).view(np.int64)).tobytes(), packed(own)))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["cls", "n", "point", "filed", "members"]
+            )
 
     return run
 
@@ -178,16 +204,32 @@ def _mark(cls: int) -> int:
     return (cls >> 17) & ((1 << MARK_BITS) - 1)
 
 
-def _marks(classes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of some classes; a few others may share a bit."""
+def _mark_words(classes: DataFrame) -> DataFrame:
+    """A bit map of fixed size of some classes, in words of 32768 bits; a few other classes share a bit."""
     place = F.shiftright("cls", 17).bitwiseAND((1 << MARK_BITS) - 1)
-    words = classes.select((place / 32768).cast("int").alias("w"), (place % 32768).alias("b")).groupBy("w").agg(F.expr("bitmap_construct_agg(b)").alias("m")).collect()
-    out = np.zeros((1 << MARK_BITS) // 32768 * 32768, bool).reshape(-1, 32768)
-    for r in words:
+    return classes.select((place / 32768).cast("int").alias("w"), (place % 32768).alias("b")).groupBy("w").agg(F.expr("bitmap_construct_agg(b)").alias("m"))
+
+
+def _marks(classes: DataFrame) -> np.ndarray:
+    out = np.zeros(((1 << MARK_BITS) // 32768, 32768), bool)
+    for r in _mark_words(classes).collect():
         out[r.w] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
     return out.ravel()
 
 
+def marked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of some classes (and of a few others), so that a join moves little else. The bit map, 2**MARK_BITS bits, is broadcast."""
+    place = F.shiftright("cls", 17).bitwiseAND((1 << MARK_BITS) - 1)
+    byte = F.conv(F.hex(F.substr(F.col("m"), ((F.col("p") % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        sets.withColumn("p", place).withColumn("w", (F.col("p") / 32768).cast("int"))
+        .join(F.broadcast(_mark_words(classes)), "w")
+        .withColumn("byte", byte)
+        .where("shiftright(byte, CAST(p % 8 AS INT)) & 1 = 1")
+        .select(*sets.columns)
+    )
+
+
 # --- pairs ----------------------------------------------------------------
 
 
@@ -196,9 +238,9 @@ def _bound_batches(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in (4, 5))
+        a, b = (read_points(batch.column(c).to_pylist()) for c in (4, 5))
         n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        keep = np.minimum(a, b).sum(1, dtype=np.int64) >= needed(n, m)
+        keep = np.minimum(a, b).sum(1) >= needed(n, m)
         kept = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -215,7 +257,7 @@ def _verify_batches(batches):
     for batch in batches:
         a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
         for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = unpacked(x), unpacked(y)
             keep.append(bool(linked(overlap(x, y), len(x), len(y))))
         kept = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["src", "dst"])
@@ -231,7 +273,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .select("a", "b", "n_a", "n_b", "point_a", "point_b")
         .mapInArrow(_bound_batches, "a long, b long")
     )
-    whole = sets.select("cls", "members")
+    bounded = stored(bounded, "bounded")
+    whole = marked(sets.select("cls", "members"), bounded.select(F.explode(F.array("a", "b")).alias("cls")))
     return (
         bounded.join(ends(whole, "a", ["members"]), "a").join(ends(whole, "b", ["members"]), "b")
         .select("a", "b", "members_a", "members_b")
@@ -278,26 +321,97 @@ class CountTree:
         return rows[ok]
 
 
-def _tree_batches(batches):
-    """Sorted neighbourhoods in; out come pairs of documents that are not connected yet and whose bound allows a link."""
+def _first_shared(filed: list[np.ndarray], key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of documents that share key share no smaller one."""
+    smaller = [f[: np.searchsorted(f, key)] for f in filed]
+    values, at, counts = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    kept = np.cumsum(counts > 1) - 1
+    if not len(values) or kept[-1] < 0:
+        return np.ones(len(i), bool)
+    return ~_shares(_bits(smaller, at, counts > 1, kept), i, j).astype(bool)
+
+
+def _bits(sets: list[np.ndarray], at: np.ndarray, use: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A row of bits for each set: which of the used values it holds. at: the sets' values in order, as numbers."""
+    out = np.zeros((len(sets), int(place[-1]) // 64 + 1), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kept = use[at]
+    bit = place[at[kept]]
+    np.bitwise_or.at(out, (row[kept], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out
+
+
+def _shares(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits rows i and j share, some million words at a time."""
+    out, step = np.zeros(len(i), np.int64), max(1, (1 << 20) // bits.shape[1])
+    for at in range(0, len(i), step):
+        out[at : at + step] = np.bitwise_count(bits[i[at : at + step]] & bits[j[at : at + step]]).sum(1)
+    return out
+
+
+def _candidates(key, side, comp, n, points, filed):
+    """Pairs (i, j) of a neighbourhood's members that are not connected, whose bound allows a link, and that meet here first."""
+    tree = CountTree(points, n)
+    pairs = []
+    for k in range(len(n)):
+        rows = tree.search(points[k], int(n[k]))
+        rows = rows[(rows > k) & (comp[rows] != comp[k])]
+        if side is not None:
+            rows = rows[side[rows] != side[k]]
+        pairs.append((np.full(len(rows), k), rows))
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    if len(i):
+        first = _first_shared(filed, key, i, j)
+        i, j = i[first], j[first]
+    return i, j
+
+
+def _member_batches(batches):
+    """Sorted neighbourhoods in; out come the members that have a candidate."""
     for group in sorted_groups(batches, 3):
-        part, other = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        key, part, other = (group.column(c)[0].as_py() for c in range(3))
         cls, side, comp, n = (group.column(c).to_numpy() for c in (3, 4, 5, 6))
         if len(cls) < 2 or (comp == comp[0]).all():
             continue
-        points = np.frombuffer(b"".join(group.column(7).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        tree = CountTree(points, n)
-        a, b = [], []
-        for k in range(len(cls)):
-            rows = tree.search(points[k], int(n[k]))
-            rows = rows[(cls[rows] > cls[k]) & (comp[rows] != comp[k])]
-            if part != other:
-                rows = rows[side[rows] != side[k]]
-            a.append(np.full(len(rows), cls[k]))
-            b.append(cls[rows])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        filed = [np.frombuffer(f, np.int64) for f in group.column(8).to_pylist()]
+        i, j = _candidates(key, None if part == other else side, comp, n, read_points(group.column(7).to_pylist()), filed)
+        has = np.zeros(len(cls), bool)
+        has[i] = has[j] = True
+        m = int(has.sum())
+        if m:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * m), pa.array([part] * m, pa.int32()), pa.array([other] * m, pa.int32()), pa.array(cls[has]), group.column(4).filter(pa.array(has)), pa.array(comp[has])],
+                names=["key", "part", "other", "cls", "side", "component"],
+            )
+
+
+def _link_batches(batches):
+    """Sorted neighbourhoods of sets in; out comes a star for each component of their links."""
+    for group in sorted_groups(batches, 3):
+        key, part, other = (group.column(c)[0].as_py() for c in range(3))
+        cls, side, comp = (group.column(c).to_numpy() for c in (3, 4, 5))
+        filed = [np.frombuffer(f, np.int64) for f in group.column(6).to_pylist()]
+        sets = [unpacked(x) for x in group.column(7).to_pylist()]
+        n = np.array([len(x) for x in sets])
+        i, j = _candidates(key, None if part == other else side, comp, n, read_points([point(x).tobytes() for x in sets]), filed)
+        if not len(i):
+            continue
+        _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(counts > 1) - 1
+        shared = _shares(_bits(sets, at, counts > 1, np.maximum(place, 0)), i, j)
+        ok = linked(shared, n[i], n[j])
+        i, j = i[ok], j[ok]
+        label = cls.copy()
+        while True:
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, label[i])
+            if (low == label).all():
+                break
+            label = low
+        moved = label != cls
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(label[moved])], names=["src", "dst"])
 
 
 def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -312,31 +426,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id is not null and text is not null")
     common = spark.sparkContext.broadcast(common_counters(known.select("text")))
     signed = stored(rows.mapInArrow(_signature_batches(common), "doc_id long, cls long, n long, keys array<long>"), "signed")
-    filed = signed.where("doc_id is not null and keys is not null").select(F.explode("keys").alias("key"), "cls", "n")
+    filed = signed.where("doc_id is not null and keys is not null").select(F.explode("keys").alias("key"), "cls")
     shared_keys = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("c")).where("low <> high").select("key", "c")
-    near = stored(filed.join(shared_keys, "key").select("key", "c", "cls", "n"), "near")
+    near = stored(filed.join(shared_keys, "key").select("key", "c", "cls").distinct(), "near")
     marks = spark.sparkContext.broadcast(_marks(near.select("cls")))
     sets = stored(
-        known.select("text").mapInArrow(_set_batches(marks), "cls long, n long, point binary, members binary").dropDuplicates(["cls"]),
-        "sets",
+        known.select("text").mapInArrow(_set_batches(marks, common), "cls long, n long, point binary, filed binary, members binary").dropDuplicates(["cls"]),
+        "sets", 256,
     )
 
-    # two rounds of hubs: one order for all neighbourhoods, then one of each neighbourhood's own
-    edges = None
-    for turn in range(2):
-        order = F.xxhash64("cls") if turn == 0 else F.xxhash64("cls", "key")
-        placed = near.withColumn("component", F.lit(None).cast("long")) if edges is None else _with_components(near, edges)
-        placed = placed if edges is None else stored(placed, "placed")
-        hubs = placed.groupBy("key").agg(
-            F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low is null or low <> high").select("key", "hub")
-        pairs = placed.join(hubs, "key").where(
-            f"cls <> hub.cls and (component is null or component <> hub.component) and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"
-        )
-        pairs = pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
-        found = stored(verified(pairs, sets), "edges")
-        edges = found if edges is None else edges.union(found)
+    # one hub for each neighbourhood, by an order that all share
+    hubs = near.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls")).alias("hub"))
+    pairs = near.join(hubs, "key").where("cls <> hub.cls")
+    edges = stored(verified(pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct(), sets), "edges", 256)
 
+    # what is not connected yet, neighbourhood by neighbourhood
     placed = stored(_with_components(near, edges), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     left = (
@@ -344,14 +448,15 @@ def join_components(docs: DataFrame) -> DataFrame:
         .withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(sets.select("cls", "point"), "cls")
-        .select("key", F.least("side", "other").cast("int").alias("part"), F.greatest("side", "other").cast("int").alias("other"), "cls", "side", "component", "n", "point")
-    )
-    pairs = (
-        left.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other")
-        .mapInArrow(_tree_batches, "a long, b long").distinct()
+        .select("key", F.least("side", "other").cast("int").alias("part"), F.greatest("side", "other").cast("int").alias("other"), "cls", "side", "component")
     )
-    edges = edges.union(stored(verified(pairs, sets), "edges"))
+    grouped = lambda df: df.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other", "cls")
+    found = stored(grouped(left.join(sets.select("cls", "n", "point", "filed"), "cls").select(*left.columns, "n", "point", "filed")).mapInArrow(
+        _member_batches, "key long, part int, other int, cls long, side int, component long"
+    ), "found")
+    whole = marked(sets.select("cls", "filed", "members"), found.select("cls"))
+    links = grouped(found.join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
+    edges = edges.union(stored(links.distinct(), "edges", 256))
 
     rows = signed.select("doc_id", "cls", "n")
     classes = stored(_with_components(rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")), edges), "classes")

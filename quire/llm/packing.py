@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import partitions, sliced, stored
+from quire.llm.common import memories, partitions, sliced, stored
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -194,6 +194,7 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+memories[__name__] = _loaded
 
 
 def pieces(path: str) -> Pieces:
@@ -260,7 +261,7 @@ _PACKED = pa.schema([
 ])
 
 
-def _groups(texts: list[str], size: int = 3 << 19):
+def _groups(texts: list[str], size: int = 1 << 20):
     """Consecutive ranges of about size characters."""
     first, held = 0, 0
     for k, t in enumerate(texts):
@@ -279,7 +280,7 @@ def _packer(path: str, seq_len: int, end_id: int, with_ids: bool):
     def pack(batches):
         tokens, part, seq, fill = pieces(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4")
-        for batch in sliced(batches, 1000):
+        for batch in sliced(batches, 1000, __name__):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in _groups(texts):
                 rows = []

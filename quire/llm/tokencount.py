@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMORY_WORDS = 800_000
+from quire.llm.common import memories, sliced
+
+MEMORY_WORDS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -122,6 +124,7 @@ class Counter(dict):
 
 
 _loaded: dict[str, Counter] = {}
+memories[__name__] = _loaded
 
 
 def counter(path: str) -> Counter:
@@ -133,7 +136,7 @@ def counter(path: str) -> Counter:
 def _batches(path: str):
     def run(batches):
         of = counter(path).__getitem__
-        for batch in batches:
+        for batch in sliced(batches, kernel=__name__):
             words, tokens = [], []
             for text in batch.column(1).to_pylist():
                 own = (text or "").split()
