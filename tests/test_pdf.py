@@ -300,3 +300,67 @@ def test_journal():
     again = writer.Journal.from_bytes(j.to_bytes())
     again.redo()
     assert again.state() == {"a": 2, "b": 5} and not again.redo()
+
+
+def texts(data: bytes) -> list[str]:
+    doc = Document(data)
+    return [layout.plain_text(layout.blocks_of(layout.lines_of(layout.words_of(content.page_chars(doc, p))))) for p in doc.pages()]
+
+
+def test_writing_structure():
+    from quire.pdf import edit
+
+    e = writer.Editor(Document(hello()))
+    edit.set_outlines(e, [{"title": "A", "page": 0}, {"title": "Ä1", "page": 1, "depth": 1}, {"title": "B", "page": 1}])
+    edit.set_page_labels(e, [{"start_page": 0, "style": "lower_roman"}, {"start_page": 1, "style": "decimal", "prefix": "p", "logical_start": 7}])
+    one, two = edit.add_layer(e, "one"), edit.add_layer(e, "two", False)
+    edit.set_layer_visible(e, one, False)
+    edit.set_layer_visible(e, two, True)
+    gone = edit.add_layer(e, "gone")
+    edit.remove_layer(e, gone)
+    edit.add_annotation(e, 0, edit.annotation("Link", [0, 0, 10, 10], uri="http://x"))
+    edit.add_annotation(e, 0, edit.annotation("Highlight", [5, 5, 20, 10], "note", color=(1, 1, 0)))
+    edit.delete_annotation(e, 0, 0)
+    edit.add_embedded_file(e, "b.txt", b"bb", "text/plain", "what")
+    edit.add_embedded_file(e, "a.txt", b"a")
+    doc = Document(e.build())
+    assert [(o["title"], o["depth"], o["page"]) for o in structure.outlines(doc)] == [("A", 0, 0), ("Ä1", 1, 1), ("B", 0, 1)]
+    labels = structure.page_labels(doc)
+    assert [structure.label_of(labels, k) for k in (0, 1)] == ["i", "p7"]
+    assert [(x["name"], x["visible"]) for x in structure.layers(doc)] == [("one", False), ("two", True)]
+    (a,) = structure.annotations(doc, doc.pages()[0])
+    assert (a["type"], a["contents"]) == ("Highlight", "note")
+    assert [(f["filename"], f["size"], f["checksum_ok"]) for f in structure.embedded_files(doc)] == [("a.txt", 1, True), ("b.txt", 2, True)]
+    with pytest.raises(PdfError):
+        edit.delete_annotation(e, 0, 5)
+
+
+def test_redaction():
+    from quire.pdf import edit
+
+    b = writer.Builder()
+    page = writer.PageBuilder().text(72, 700, "public secret public", 10, "Courier").text(72, 600, "stays", 10)
+    b.page(page.image("I", writer.rgb_image(1, 1, b"abc"), 300, 300, 50, 50).image("J", writer.rgb_image(1, 1, b"xyz"), 0, 0, 5, 5))
+    doc = Document(b.build())
+    e = writer.Editor(doc)
+    assert edit.redact(doc, e, 0, [[112, 690, 150, 710], [310, 310, 320, 320]]) == 2
+    data = e.build()
+    assert texts(data) == ["public public\n\nstays"] and b"secret" not in Document(data).content(Document(data).pages()[0])
+    ops = [op for op, _ in content.operations(Document(data).content(Document(data).pages()[0]))]
+    assert ops.count("Do") == 1 and ops.count("f") == 2
+    words = layout.words_of(content.page_chars(Document(data), Document(data).pages()[0]))
+    assert abs(words[1]["x"] - (72 + 14 * 6)) < 0.1
+
+
+def test_flattening():
+    from quire.pdf import edit
+
+    e = writer.Editor(Document(hello()))
+    field = e.add({"T": b"f", "FT": Name("Tx"), "V": b"filled in", "Subtype": Name("Widget"), "Rect": [100, 500, 300, 520]})
+    e.objects[e.kids[0].num] = e.objects[e.kids[0].num] | {"Annots": [field]}
+    e.objects[e.root.num] = e.objects[e.root.num] | {"AcroForm": {"Fields": [field]}}
+    doc = Document(e.build())
+    e = writer.Editor(doc)
+    assert edit.flatten_form(doc, e) == 1
+    flat = e.build()
+    assert "filled in" in texts(flat)[0] and structure.form_fields(Document(flat)) == []

@@ -139,3 +139,62 @@ def test_spark_rendering_plans_and_streams(spark, tmp_path):
         assert spark.table("arrived").count() == 4
     finally:
         query.stop()
+
+
+def read_qr(grid) -> str:
+    """Read a symbol back: format, mask, words, blocks; checks the error words too."""
+    from quire.functions import qr
+
+    size = len(grid)
+    version = (size - 17) // 4
+    value = sum(grid[8][size - 1 - k] << k for k in range(8)) | sum(grid[size - 15 + k][8] << k for k in range(8, 15))
+    assert value == sum(grid[k + (k > 5)][8] << k for k in range(8)) | grid[8][7] << 8 | sum(grid[8][14 - k] << k for k in range(9, 15))
+    head = (value ^ 0x5412) >> 10
+    level, mask = {v: k for k, v in qr.LEVEL_BITS.items()}[head >> 3], qr._MASKS[head & 7]
+    fixed = set()
+    for r in range(size):
+        for c in range(size):
+            if (r < 9 and (c < 9 or c >= size - 8)) or (r >= size - 8 and c < 9) or 6 in (r, c) or (version >= 7 and ((r < 6 and c >= size - 11) or (c < 6 and r >= size - 11))):
+                fixed.add((r, c))
+    at = qr._alignment(version)
+    fixed |= {(r + a, c + b) for r in at for c in at if (r, c) not in ((6, 6), (6, size - 7), (size - 7, 6)) for a in range(-2, 3) for b in range(-2, 3)}
+    bits, up = [], True
+    for right in [c for c in range(size - 1, 6, -2)] + [5, 3, 1]:
+        for r in range(size - 1, -1, -1) if up else range(size):
+            bits += [grid[r][c] ^ mask(r, c) for c in (right, right - 1) if (r, c) not in fixed]
+        up = not up
+    words = [int("".join(map(str, map(int, bits[k : k + 8]))), 2) for k in range(0, len(bits) // 8 * 8, 8)]
+    n, blocks = qr.EC_WORDS[level][version - 1], qr.BLOCKS[level][version - 1]
+    room = len(words) - n * blocks
+    short = room // blocks
+    sizes = [short + (k >= blocks - room % blocks) for k in range(blocks)]
+    data, it = [[] for _ in sizes], iter(words)
+    for k in range(short + 1):
+        for j, s in enumerate(sizes):
+            if k < s:
+                data[j].append(next(it))
+    errors = [[] for _ in sizes]
+    for _ in range(n):
+        for e in errors:
+            e.append(next(it))
+    assert errors == [qr.error_words(d, n) for d in data]
+    flat = "".join(f"{w:08b}" for d in data for w in d)
+    length = 8 if version < 10 else 16
+    count = int(flat[4 : 4 + length], 2)
+    return bytes(int(flat[4 + length + 8 * k :][:8], 2) for k in range(count)).decode()
+
+
+@pytest.mark.parametrize("level", "LMQH")
+@pytest.mark.parametrize("text", ["", "Hello", "grüße 文字", "x" * 60, "y" * 110])
+def test_qr_codes_read_back(text, level):
+    from quire.functions import qr
+
+    assert read_qr(qr.qr_code(text, level)) == text
+
+
+def test_qr_error_words_against_a_published_example():
+    from quire.functions import qr
+
+    assert qr.error_words([32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17], 10) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
+    with pytest.raises(ValueError):
+        qr.qr_code("z" * 400)
