@@ -75,3 +75,22 @@ def code128_values(text: Column) -> Column:
     values = F.transform(F.split(text, ""), lambda c: F.ascii(c) - 32)
     total = F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(104), lambda a, b: a + b)
     return F.when(text.rlike(r"^[ -~]+$"), F.concat(F.array(F.lit(104)), values, F.array(total % 103, F.lit(106))))
+
+
+#: Widths of bars and spaces of the Code 128 symbols, by value; the last is the stop.
+CODE128 = (
+    "212222 222122 222221 121223 121322 131222 122213 122312 132212 221213 221312 231212 112232 122132 122231 113222 123122 123221 223211 221132 "
+    "221231 213212 223112 312131 311222 321122 321221 312212 322112 322211 212123 212321 232121 111323 131123 131321 112313 132113 132311 211313 "
+    "231113 231311 112133 112331 132131 113123 113321 133121 313121 211331 231131 213113 213311 213131 311123 311321 331121 312113 312311 332111 "
+    "314111 221411 431111 111224 111422 121124 121421 141122 141221 112214 112412 122114 122411 142112 142211 241211 221114 413111 241112 134111 "
+    "111242 121142 121241 114212 124112 124211 411212 421112 421211 212141 214121 412121 111143 111341 131141 114113 114311 411113 411311 113141 "
+    "114131 311141 411131 211412 211214 211232 2331112"
+).split()
+
+
+def code128(text: Column) -> Column:
+    """Modules of a Code 128 symbol (set B)."""
+    modules = ["".join(("1", "0")[k % 2] * int(w) for k, w in enumerate(widths)) for widths in CODE128]
+    table = F.array(*map(F.lit, modules))
+    values = code128_values(text)
+    return F.when(values.isNotNull(), F.array_join(F.transform(values, lambda v: F.element_at(table, v + 1)), ""))

@@ -87,6 +87,34 @@ def _encrypt_blocks(keys, blocks):
     return x
 
 
+#: A column of the state after substitution and mixing, for each byte in each row.
+_MIXED = [[int.from_bytes(bytes(np.roll([_BY[2][_BOX[x]], _BOX[x], _BOX[x], _BY[3][_BOX[x]]], row).tolist())) for x in range(256)] for row in range(4)]
+_SUBSTITUTE = _BOX.tolist()
+
+
+def _key_words(key: bytes) -> list[int]:
+    raw = _round_keys(key).tobytes()
+    return [int.from_bytes(raw[k : k + 4]) for k in range(0, len(raw), 4)]
+
+
+def _encrypt_word(words: list[int], block: int) -> int:
+    """One block, for chains in which each needs the one before."""
+    t0, t1, t2, t3 = _MIXED
+    a, b, c, d = ((block >> 96) ^ words[0], (block >> 64 & 0xFFFFFFFF) ^ words[1], (block >> 32 & 0xFFFFFFFF) ^ words[2], (block & 0xFFFFFFFF) ^ words[3])
+    last = len(words) - 4
+    for k in range(4, last, 4):
+        a, b, c, d = (
+            t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ words[k],
+            t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ words[k + 1],
+            t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ words[k + 2],
+            t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ words[k + 3],
+        )
+    s, out = _SUBSTITUTE, 0
+    for k, (w, x, y, z) in enumerate(((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))):
+        out = out << 32 | ((s[w >> 24] << 24 | s[x >> 16 & 255] << 16 | s[y >> 8 & 255] << 8 | s[z & 255]) ^ words[last + k])
+    return out
+
+
 def _decrypt_blocks(keys, blocks):
     x = blocks ^ keys[-1]
     for k in range(len(keys) - 2, -1, -1):
@@ -120,10 +148,11 @@ def aes_cbc_encrypt(key: bytes, data: bytes, iv: bytes | None = None, pad: bool
     if pad:
         n = 16 - len(data) % 16
         data += bytes([n]) * n
-    keys, out = _round_keys(key), []
-    for block in np.frombuffer(data, np.uint8).reshape(-1, 16):
-        last = _encrypt_blocks(keys, block[None] ^ last)
-        out.append(last.tobytes())
+    words = _key_words(key)
+    chain, out = int.from_bytes(last.tobytes()), []
+    for at in range(0, len(data), 16):
+        chain = _encrypt_word(words, chain ^ int.from_bytes(data[at : at + 16]))
+        out.append(chain.to_bytes(16))
     return lead + b"".join(out)
 
 

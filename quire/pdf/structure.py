@@ -386,3 +386,46 @@ def images(doc) -> list[dict]:
                 "filter": names[-1] if names else "None", "is_mask": bool(doc.get(s, "ImageMask", bool)), "has_smask": "SMask" in s.dict, "bytes": len(s.raw),
             })
     return out
+
+
+# --- colours for printing ---
+
+
+def output_intents(doc) -> list[dict]:
+    out = []
+    for x in doc.get(doc.catalog, "OutputIntents", list) or []:
+        profile = doc.get(x, "DestOutputProfile")
+        out.append({
+            "subtype": str(doc.get(x, "S")), "condition": read_text(doc.get(x, "OutputConditionIdentifier")), "info": read_text(doc.get(x, "Info")),
+            "registry": read_text(doc.get(x, "RegistryName")), "components": doc.get(profile, "N", int) if isinstance(profile, Stream) else None,
+        })
+    return out
+
+
+def overprint(doc, state) -> dict:
+    """What a graphics state says of overprinting."""
+    fill = doc.get(state, "op", bool)
+    stroke = bool(doc.get(state, "OP", bool))
+    return {"stroke": stroke, "fill": stroke if fill is None else fill, "mode": doc.get(state, "OPM", int) or 0}
+
+
+def icc_profile(data: bytes) -> dict | None:
+    """The head of an ICC profile: version, class, colour space and description."""
+    if len(data) < 132 or data[36:40] != b"acsp":
+        return None
+    tags = {}
+    for k in range(min(int.from_bytes(data[128:132]), 100)):
+        entry = data[132 + 12 * k : 144 + 12 * k]
+        if len(entry) == 12:
+            tags[entry[:4].decode("latin-1")] = int.from_bytes(entry[4:8]), int.from_bytes(entry[8:12])
+    name = None
+    if "desc" in tags:
+        raw = data[tags["desc"][0] : sum(tags["desc"])]
+        if raw[:4] == b"desc":
+            name = raw[12 : 12 + int.from_bytes(raw[8:12])].rstrip(b"\0").decode("latin-1")
+        elif raw[:4] == b"mluc" and len(raw) >= 28:
+            size, at = int.from_bytes(raw[20:24]), int.from_bytes(raw[24:28])
+            name = raw[at : at + size].decode("utf-16-be", "replace")
+    spaces = {"GRAY": 1, "RGB ": 3, "CMYK": 4, "Lab ": 3}
+    space = data[16:20].decode("latin-1")
+    return {"version": f"{data[8]}.{data[9] >> 4}", "class": data[12:16].decode("latin-1"), "space": space.strip(), "components": spaces.get(space), "description": name, "tags": sorted(tags)}

@@ -210,3 +210,14 @@ def search(parsed: DataFrame, pattern: str, key: str = "doc_id", case_insensitiv
 
     p = parsed.select(key, F.explode("pages").alias("p")).select(key, "p.page_index", F.col("p.chars").alias("c"))
     return p.select(key, "page_index", F.explode(hits("c")).alias("h")).select(key, "page_index", "h.*")
+
+
+def formatted(parsed: DataFrame, kind: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and the whole document as text, html, json or markdown."""
+    from quire.pdf.output import format_pages
+
+    @F.pandas_udf("string")
+    def run(pages_):
+        return pages_.map(lambda p: None if p is None else format_pages(list(p), kind))
+
+    return parsed.select(key, run("pages").alias(kind))

@@ -112,6 +112,12 @@ def test_barcodes(spark):
     assert r.c2.startswith("1000101110111010") and len(r.c2) == 4 * 15 + 3 and r.c3 == [104, 55, 73, 75, 73, 101, 106]
 
 
+def test_code128(spark):
+    assert len(set(barcode.CODE128)) == 107 and all(sum(map(int, w)) == (13 if len(w) == 7 else 11) for w in barcode.CODE128)
+    r = one(spark, barcode.code128(F.lit("Wiki")), barcode.code128(F.lit("é")))
+    assert r.c0.startswith("11010010000") and r.c0.endswith("1100011101011") and len(r.c0) == 11 * 6 + 13 and r.c1 is None
+
+
 def test_word_islands_match_the_kernel(spark):
     chars = [("d", 0, k, c, x, y, 10.0, 6.0) for k, (c, x, y) in enumerate([("a", 0.0, 0.0), ("b", 6.0, 0.0), (" ", 12.0, 0.0), ("c", 18.0, 0.0), ("d", 40.0, 0.0), ("e", 46.0, 9.0)])]
     frame = spark.createDataFrame(chars, "doc string, page int, char_seq int, unicode string, x double, y double, font_size double, width double")

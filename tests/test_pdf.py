@@ -137,6 +137,7 @@ def test_ciphers_against_published_vectors():
     assert crypt.aes_ecb(key, block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
     assert crypt.aes_ecb(bytes(range(32)), block).hex() == "8ea2b7ca516745bfeafc49904b496089"
     assert crypt.aes_ecb(key, crypt.aes_ecb(key, block), decrypt=True) == block
+    assert crypt.aes_cbc_encrypt(key, block, bytes(16), pad=False) == crypt.aes_ecb(key, block)
     assert crypt.aes_cbc_decrypt(key, crypt.aes_cbc_encrypt(key, b"text of any length")) == b"text of any length"
 
 
