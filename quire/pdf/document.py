@@ -358,3 +358,37 @@ def open_document(data: bytes, password: str | bytes = b"", repair: bool = True)
 
 
 __all__ = ["DEFAULT_BOX", "Document", "INFO_KEYS", "Name", "open_document", "rebuild"]
+
+
+def hint_tables(doc: Document) -> dict | None:
+    """The page offset hints of a linearized document: objects and bytes of each page."""
+    head = doc.linearization()
+    place = doc.resolve(head.get("H")) if head else None
+    if not isinstance(place, list) or not place:
+        return None
+    try:
+        _, _, s = indirect_object(doc.data, int(doc.resolve(place[0])), doc.resolve)
+        body = filters.decode(s.raw, s.dict, doc.resolve)
+    except (PdfError, AttributeError, TypeError):
+        return None
+    bits = int.from_bytes(body)
+    total, at = 8 * len(body), 0
+
+    def take(n: int) -> int:
+        nonlocal at
+        if at + n > total:
+            raise PdfError("hint tables end early")
+        at += n
+        return bits >> (total - at) & ((1 << n) - 1) if n else 0
+
+    try:
+        least_objects, first, object_bits, least_length, length_bits = take(32), take(32), take(16), take(32), take(16)
+        for n in (32, 16, 32, 16, 16, 16, 16, 16):
+            take(n)
+        pages = int(head.get("N", 0))
+        objects = [least_objects + take(object_bits) for _ in range(pages)]
+        at += -at % 8
+        lengths = [least_length + take(length_bits) for _ in range(pages)]
+    except PdfError:
+        return None
+    return {"first_page_offset": first, "pages": [{"objects": n, "length": size} for n, size in zip(objects, lengths)]}
