@@ -15,7 +15,7 @@ import numpy as np
 
 from quire.pdf import content
 from quire.pdf.content import IDENTITY, apply, concat
-from quire.pdf.functions import Function  # noqa: F401  (shading colours)
+from quire.pdf.functions import Function
 from quire.pdf.structure import components
 from quire.pdf.syntax import PdfError, Stream
 
@@ -48,7 +48,7 @@ _PAINT = {"S": (0, 1, 0), "s": (0, 1, 0), "f": (1, 0, 0), "F": (1, 0, 0), "f*":
 def commands(doc, page: dict, limit: int = 12) -> list[dict]:
     """The draw commands of a page, with those of its form objects."""
     out: list[dict] = []
-    _run(doc, doc.content(page), doc.resolve(page.get("Resources")) or {}, IDENTITY, {"fill": (0, 0, 0), "stroke": (0, 0, 0), "width": 1.0}, out, limit)
+    _run(doc, doc.content(page), doc.resolve(page.get("Resources")) or {}, IDENTITY, {"fill": (0, 0, 0), "stroke": (0, 0, 0), "width": 1.0, "clip": (), "ca": 1.0, "CA": 1.0}, out, limit)
     return out
 
 
@@ -61,8 +61,9 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
     machine = content.TextMachine(content.fonts_of(doc, resources))
     machine.ctm = ctm
     objects = doc.get(resources, "XObject", dict) or {}
-    stack, paths, at = [], [], (0.0, 0.0)
+    stack, paths, at, clipping = [], [], (0.0, 0.0), None
     state = dict(state)
+    put = lambda **c: out.append(c | {"clip": state["clip"], "alpha": state["ca"], "stroke_alpha": state["CA"]})
     for op, args in content.operations(data):
         nums = [float(a) for a in args if isinstance(a, (int, float)) and not isinstance(a, bool)]
         if op == "q":
@@ -71,6 +72,17 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
             state = stack.pop()
         elif op == "w" and nums:
             state["width"] = nums[0]
+        elif op == "gs" and args:
+            own = doc.get(doc.get(resources, "ExtGState"), str(args[0]), dict) or {}
+            for key in ("ca", "CA"):
+                value = doc.get(own, key, (int, float))
+                state[key] = state[key] if value is None else float(value)
+        elif op in ("W", "W*"):
+            clipping = op == "W*"
+        elif op == "sh" and args:
+            shading = doc.get(doc.get(resources, "Shading"), str(args[0]))
+            if shading is not None:
+                put(kind="shading", shading=shading, matrix=machine.ctm, box=[-1e9, -1e9, 1e9, 1e9])
         elif op in _COLOR_OPS and len(nums) >= _COLOR_OPS[op][2]:
             which, to_rgb, n = _COLOR_OPS[op]
             state[which] = to_rgb(*nums[:n])
@@ -94,17 +106,20 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
         elif op == "h" and paths:
             paths[-1].append(("Z",))
         elif op in _PAINT or op == "n":
+            if clipping is not None and paths:
+                state["clip"] = (*state["clip"], ([[(s[0], *(apply(machine.ctm, *p) for p in s[1:])) for s in path] for path in paths], clipping))
+            clipping = None
             if op in _PAINT and paths:
                 fill, stroke, even = _PAINT[op]
                 placed = [[(s[0], *(apply(machine.ctm, *p) for p in s[1:])) for s in path] + ([("Z",)] if op in ("s", "b", "b*") else []) for path in paths]
                 points = [p for path in placed for s in path for p in s[1:]]
-                out.append({"kind": "path", "paths": placed, "fill": state["fill"] if fill else None, "stroke": state["stroke"] if stroke else None, "width": state["width"] * content.scale_of(machine.ctm), "even_odd": bool(even), "box": _box(points)})
+                put(kind="path", paths=placed, fill=state["fill"] if fill else None, stroke=state["stroke"] if stroke else None, width=state["width"] * content.scale_of(machine.ctm), even_odd=bool(even), box=_box(points))
             paths = []
         elif op in ("Do", "BI") and args:
             s = args[0] if op == "BI" else doc.resolve(objects.get(str(args[0])))
             if isinstance(s, Stream) and (op == "BI" or s.dict.get("Subtype") == "Image"):
                 corners = [apply(machine.ctm, *p) for p in ((0, 0), (1, 0), (1, 1), (0, 1))]
-                out.append({"kind": "image", "stream": s, "matrix": machine.ctm, "box": _box(corners)})
+                put(kind="image", stream=s, matrix=machine.ctm, box=_box(corners))
             elif isinstance(s, Stream) and s.dict.get("Subtype") == "Form" and limit:
                 own = [float(doc.resolve(v)) for v in doc.get(s, "Matrix", list) or IDENTITY]
                 _run(doc, doc.decoded(s), doc.get(s, "Resources", dict) or resources, concat(tuple(own), machine.ctm), state, out, limit - 1)
@@ -113,11 +128,11 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
         if len(machine.chars) > before:
             own = machine.chars[before:]
             x0, y0, size = own[0][1], own[0][2], own[0][3]
-            out.append({"kind": "text", "text": "".join(c[0] for c in own), "x": x0, "y": y0, "size": size, "font": own[0][4], "fill": state["fill"], "box": [x0, y0 - 0.2 * size, own[-1][1] + own[-1][5], y0 + 0.8 * size]})
+            put(kind="text", text="".join(c[0] for c in own), x=x0, y=y0, size=size, font=own[0][4], fill=state["fill"], box=[x0, y0 - 0.2 * size, own[-1][1] + own[-1][5], y0 + 0.8 * size])
 
 
 def bounds(cmds: list[dict]):
-    boxes = [c["box"] for c in cmds]
+    boxes = [c["box"] for c in cmds if c["kind"] != "shading"]
     return [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)] if boxes else None
 
 
@@ -187,22 +202,67 @@ def page_box(doc, page: dict):
     return boxes["crop_box"] or boxes["media_box"]
 
 
+def shading_colors(doc, shading, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(RGB, painted) of an axial or radial shading at points of its space; None for other kinds."""
+    from quire.pdf.color import to_rgb
+
+    d = shading.dict if isinstance(shading, Stream) else shading
+    kind = doc.get(d, "ShadingType", int)
+    numbers = lambda key, default: [float(doc.resolve(v)) for v in doc.get(d, key, list) or default]
+    if kind not in (2, 3):
+        return None
+    c, (t0, t1) = numbers("Coords", []), numbers("Domain", [0, 1])
+    before, after = (bool(doc.resolve(v)) for v in doc.get(d, "Extend", list) or [False, False])
+    if kind == 2:
+        x0, y0, x1, y1 = c
+        n = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        u = ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (n or 1)
+        inside = ((u >= 0) | before) & ((u <= 1) | after)
+    else:
+        x0, y0, r0, x1, y1, r1 = c
+        dx, dy, dr = x1 - x0, y1 - y0, r1 - r0
+        a = dx * dx + dy * dy - dr * dr
+        b = (x - x0) * dx + (y - y0) * dy + r0 * dr
+        g = (x - x0) ** 2 + (y - y0) ** 2 - r0 * r0
+        u, inside = np.zeros_like(x), np.zeros(x.shape, bool)
+        root = np.sqrt(np.maximum(b * b - a * g, 0))
+        roots = [(b + root) / a, (b - root) / a] if abs(a) > 1e-12 else [g / np.where(np.abs(b) > 1e-12, 2 * b, 1)]
+        if a < 0:
+            roots = roots[::-1]
+        for v in roots:
+            ok = ~inside & (b * b - a * g >= -1e-9) & (r0 + v * dr >= 0) & ((v >= 0) | before) & ((v <= 1) | after)
+            u[ok], inside = v[ok], inside | ok
+    functions = doc.resolve(d.get("Function"))
+    functions = [Function(doc, f) for f in (functions if isinstance(functions, list) else [functions])]
+    steps = np.linspace(0, 1, 257)
+    table = np.array([to_rgb(doc, d.get("ColorSpace"), [v for f in functions for v in f([t0 + t * (t1 - t0)])]) for t in steps])
+    return table[np.round(np.clip(u, 0, 1) * 256).astype(int)], inside
+
+
 def to_svg(doc, page: dict, dpi: float = 72.0) -> str:
     m, w, h = page_transform(page_box(doc, page), doc.rotation(page), dpi / 72)
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{w:g}" height="{h:g}" viewBox="0 0 {w:g} {h:g}">']
+    outline = lambda paths: " ".join(s[0] + " ".join(f"{x:.2f},{y:.2f}" for x, y in (apply(m, *p) for p in s[1:])) for path in paths for s in path)
+    clips = 0
     for c in commands(doc, page):
+        for paths, even in c["clip"]:
+            clips += 1
+            out.append(f'<clipPath id="c{clips}"><path d="{outline(paths)}"' + (' clip-rule="evenodd"' if even else "") + f'/></clipPath><g clip-path="url(#c{clips})">')
+        if c["alpha"] < 1 or c["stroke_alpha"] < 1:
+            out.append(f'<g fill-opacity="{c["alpha"]:g}" stroke-opacity="{c["stroke_alpha"]:g}">')
         if c["kind"] == "path":
-            d = " ".join(s[0] + " ".join(f"{x:.2f},{y:.2f}" for x, y in (apply(m, *p) for p in s[1:])) for path in c["paths"] for s in path)
+            d = outline(c["paths"])
             paint = f'fill="{_rgb(c["fill"]) if c["fill"] else "none"}"' + (f' stroke="{_rgb(c["stroke"])}" stroke-width="{c["width"] * content.scale_of(m):.2f}"' if c["stroke"] else "")
             out.append(f'<path d="{d}" {paint}' + (' fill-rule="evenodd"' if c["even_odd"] else "") + "/>")
         elif c["kind"] == "text":
             x, y = apply(m, c["x"], c["y"])
             out.append(f'<text x="{x:.2f}" y="{y:.2f}" font-size="{c["size"] * content.scale_of(m):.2f}" fill="{_rgb(c["fill"])}">{_escape(c["text"])}</text>')
-        else:
+        elif c["kind"] == "image":
             pixels = image_pixels(doc, c["stream"])
             if pixels is not None:
                 t = concat((1, 0, 0, -1, 0, 1), concat(c["matrix"], m))
                 out.append(f'<image width="1" height="1" preserveAspectRatio="none" transform="matrix({" ".join(f"{v:.4f}" for v in t)})" href="data:image/png;base64,{base64.b64encode(png(pixels)).decode()}"/>')
+        out += ["</g>"] * (len(c["clip"]) + (c["alpha"] < 1 or c["stroke_alpha"] < 1))
     return "\n".join([*out, "</svg>"])
 
 
@@ -243,36 +303,53 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
     if not (0 < w <= MAX_SIDE and 0 < h <= MAX_SIDE):
         raise PdfError(f"a picture of {w} x {h}")
     out = np.full((h, w, 3), 255, np.uint8)
-    color = lambda c: np.array([round(255 * min(max(v, 0), 1)) for v in c], np.uint8)
+    color = lambda c: np.array([255 * min(max(v, 0), 1) for v in c])
+
+    def paint(mask, value, alpha):
+        """Lay a colour (or one for each pixel of the mask) over the picture."""
+        if alpha >= 1:
+            out[mask] = np.round(value)
+        else:
+            out[mask] = np.round(alpha * value + (1 - alpha) * out[mask])
+
+    ys, xs = np.mgrid[0:h, 0:w] + 0.5
     for c in commands(doc, page):
+        clip = np.ones((h, w), bool)
+        for paths, even in c["clip"]:
+            clip &= _cover([f for p in paths if len(f := _flat(p, m)) > 1], w, h, even)
         if c["kind"] == "path":
             flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
             if c["fill"]:
-                out[_cover(flat, w, h, c["even_odd"])] = color(c["fill"])
+                paint(_cover(flat, w, h, c["even_odd"]) & clip, color(c["fill"]), c["alpha"])
             if c["stroke"]:
-                half, quads = max(c["width"] * content.scale_of(m), 1) / 2, []
+                half, mask = max(c["width"] * content.scale_of(m), 1) / 2, np.zeros((h, w), bool)
                 for path, points in zip(c["paths"], flat):
                     ring = points + points[:1] if path[-1][0] == "Z" else points
                     for (xa, ya), (xb, yb) in zip(ring, ring[1:]):
                         n = max(np.hypot(xb - xa, yb - ya), 1e-9)
                         dx, dy = (yb - ya) / n * half, (xa - xb) / n * half
-                        quads.append([(xa + dx, ya + dy), (xb + dx, yb + dy), (xb - dx, yb - dy), (xa - dx, ya - dy)])
-                for q in quads:
-                    out[_cover([q], w, h, False)] = color(c["stroke"])
-        elif c["kind"] == "image":
+                        mask |= _cover([[(xa + dx, ya + dy), (xb + dx, yb + dy), (xb - dx, yb - dy), (xa - dx, ya - dy)]], w, h, False)
+                paint(mask & clip, color(c["stroke"]), c["stroke_alpha"])
+        elif c["kind"] in ("image", "shading"):
+            a, b, cc, d, e, f = concat(c["matrix"], m)
+            det = a * d - b * cc
+            if not det:
+                continue
+            u, v = (d * (xs - e) - cc * (ys - f)) / det, (a * (ys - f) - b * (xs - e)) / det
+            if c["kind"] == "shading":
+                found = shading_colors(doc, c["shading"], u, v)
+                if found is not None:
+                    inside = found[1] & clip
+                    paint(inside, 255 * np.clip(found[0][inside], 0, 1), c["alpha"])
+                continue
             pixels = image_pixels(doc, c["stream"])
             if pixels is not None:
-                a, b, cc, d, e, f = concat(c["matrix"], m)
-                det = a * d - b * cc
-                if det:
-                    ys, xs = np.mgrid[0:h, 0:w] + 0.5
-                    u, v = (d * (xs - e) - cc * (ys - f)) / det, (a * (ys - f) - b * (xs - e)) / det
-                    inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1)
-                    rows = ((1 - v[inside]) * pixels.shape[0]).astype(int).clip(0, pixels.shape[0] - 1)
-                    out[inside] = pixels[rows, (u[inside] * pixels.shape[1]).astype(int)]
+                inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1) & clip
+                rows = ((1 - v[inside]) * pixels.shape[0]).astype(int).clip(0, pixels.shape[0] - 1)
+                paint(inside, pixels[rows, (u[inside] * pixels.shape[1]).astype(int)].astype(float), c["alpha"])
         elif text_bars:
             x0, y0, x1, y1 = _box([apply(m, c["box"][0], c["y"]), apply(m, c["box"][2], c["y"] + 0.5 * c["size"])])
-            out[max(0, int(y0)) : max(0, int(np.ceil(y1))), max(0, int(x0)) : max(0, int(np.ceil(x1)))] = color(c["fill"])
+            paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), color(c["fill"]), c["alpha"])
     return out
 
 

@@ -89,6 +89,29 @@ def test_pixels():
         render.to_pixels(doc, page, 72 * 1000)
 
 
+def test_clips_alpha_and_shadings():
+    b = writer.Builder()
+    p = writer.PageBuilder(100, 50)
+    p.parts += [b"q 0 0 50 50 re W n 1 0 0 rg 20 0 60 50 re f Q", b"q /G gs 0 0 1 rg 60 0 20 20 re f Q", b"q 80 0 20 50 re W n /S sh Q"]
+    b.page(p)
+    n = b.kids[0].num
+    fade = {"FunctionType": 2, "Domain": [0, 1], "C0": [0], "C1": [1], "N": 1}
+    b.objects[n] = b.objects[n] | {"Resources": {
+        "ExtGState": {"G": {"ca": 0.5}},
+        "Shading": {"S": {"ShadingType": 2, "ColorSpace": Name("DeviceGray"), "Coords": [0, 0, 0, 50], "Function": fade}},
+    }}
+    doc = Document(b.build())
+    (page,) = doc.pages()
+    x = render.to_pixels(doc, page)
+    assert (x[25, 30] == [255, 0, 0]).all() and (x[25, 55] == 255).all() and (x[40, 70] == [128, 128, 255]).all()
+    assert x[48, 90, 0] < 20 and x[1, 90, 0] > 235 and abs(int(x[25, 90, 0]) - 127) < 5
+    svg = render.to_svg(doc, page)
+    assert svg.count("<clipPath") == 2 and 'fill-opacity="0.5"' in svg and svg.count("<g ") == svg.count("</g>")
+    radial = {"ShadingType": 3, "ColorSpace": Name("DeviceGray"), "Coords": [0, 0, 0, 0, 0, 10], "Function": fade}
+    rgb, inside = render.shading_colors(doc, radial, np.array([0.0, 5.0, 20.0]), np.zeros(3))
+    assert inside.tolist() == [True, True, False] and abs(rgb[1, 0] - 0.5) < 0.01 and rgb[0, 0] == 0
+
+
 def test_skew():
     page = np.full((200, 300), 255, np.uint8)
     page[20:180:16, 30:270] = 0
