@@ -365,3 +365,36 @@ def test_flattening():
     assert edit.flatten_form(doc, e) == 1
     flat = e.build()
     assert "filled in" in texts(flat)[0] and structure.form_fields(Document(flat)) == []
+
+
+def test_fax_codes_are_prefix_free():
+    from quire.pdf import fax
+
+    for codes in (fax.WHITE + fax.LONG, fax.BLACK + fax.LONG, list(fax.MODES)):
+        assert len(set(codes)) == len(codes) and not any(a != b and b.startswith(a) for a in codes for b in codes)
+    assert len(fax.WHITE) == len(fax.BLACK) == 91 and sum(2.0 ** -len(c) for c in fax.WHITE + fax.LONG) < 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 70), st.lists(st.lists(st.tuples(st.integers(0, 40), st.booleans()), max_size=8), min_size=1, max_size=6))
+def test_fax_round_trip(columns, rows):
+    import numpy as np
+
+    from quire.pdf import fax
+
+    pixels = np.zeros((len(rows), columns), np.uint8)
+    for r, runs in enumerate(rows):
+        for at, on in runs:
+            pixels[r, at:] = on
+    out = filters.decode(fax.fax_encode(pixels), {"Filter": Name("CCITTFaxDecode"), "DecodeParms": {"K": -1, "Columns": columns, "Rows": len(rows), "BlackIs1": True}})
+    assert (np.unpackbits(np.frombuffer(out, np.uint8).reshape(len(rows), -1), axis=1)[:, :columns] == pixels).all()
+
+
+def test_fax_group_3():
+    from quire.pdf import fax
+
+    text = fax.EOL + fax.WHITE[4] + fax.BLACK[3] + fax.WHITE[1] + fax.EOL + fax.WHITE[0] + fax.BLACK[8] + fax.EOL * 6
+    text += "0" * (-len(text) % 8)
+    data = int(text, 2).to_bytes(len(text) // 8)
+    assert fax.fax_decode(data, {"K": 0, "Columns": 8}) == bytes([0b11110001, 0b00000000])
+    assert fax.fax_decode(b"", {"Columns": 8, "Rows": 1}) == b"\xff"
