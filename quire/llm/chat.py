@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions
+from quire.llm.common import partitions, sliced
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 LEVELS = 3
@@ -109,7 +109,7 @@ def render(role: str | None, text: str | None) -> tuple[str, int, int, int]:
 
 
 def _render_batches(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         conv, turn, role, text = (batch.column(i) for i in range(4))
         done = [render(r, t) for r, t in zip(role.to_pylist(), text.to_pylist())]
         yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -60,11 +61,31 @@ def partitions(spark: SparkSession) -> int:
 memories: dict[str, dict] = {}
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512, kernel: str = "") -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that what a kernel makes of one stays small. Workers outlive stages: what other kernels remember is dropped."""
+def release(kernel: str = "") -> None:
     for name, memory in memories.items():
         if name != kernel:
             memory.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_slices(values: pa.Array, f, rows: int = 512) -> list:
+    """f over the values of an Arrow array, a few rows as Python objects at a time; f maps a list to a list."""
+    out: list = []
+    for at in range(0, len(values), rows):
+        out += f(values.slice(at, rows).to_pylist())
+    return out
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512, kernel: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what a kernel makes of one stays small.
+
+    Workers outlive stages: what other kernels remember is dropped, and memory
+    that is free goes back to the system.
+    """
+    release(kernel)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

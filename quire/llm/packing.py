@@ -37,7 +37,7 @@ SEQ_LEN = 4096
 END_ID = 2
 DIMS, BITS = 3, 12
 #: Words whose pieces a worker's young memory holds.
-MEMORY_WORDS = 350_000
+MEMORY_WORDS = 250_000
 #: Rows from whose keys the ranges' bounds are taken.
 BOUND_ROWS = 20_000
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
+from quire.llm.common import in_slices, release, sliced
 
 MAX_LABELLED = 20_000
 FEATURES = (
@@ -191,7 +192,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, n_pairs
 
 
 def _feature_batches(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         x = feature_matrix(batch.column(1).cast(pa.binary()).to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["y", "x"]
@@ -222,19 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit(x, np.array([r.y for r in got]))
 
 
-def scored(texts, model: Model):
-    """A Series of scores for a Series of texts."""
-    import pandas as pd
-
-    return pd.Series(model.scores(feature_matrix([None if t is None else t.encode() for t in texts])))
-
-
 def score_column(model: Model, text):
     """A column expression: the score of a text column."""
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def score(texts):
-        return scored(texts, model)
+        release()
+        return pa.array(in_slices(texts.cast(pa.binary()), lambda own: model.scores(feature_matrix(own)).tolist()), pa.float64())
 
     return score(text.cast("string"))
 
