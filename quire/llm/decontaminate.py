@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
+from quire.llm.common import in_slices, release, sliced
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -51,6 +52,9 @@ _SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+(?=\S)")
 
 
 def words_of(text: bytes) -> np.ndarray:
+    """Hashes of the words in lower case; ASCII that is no digit or letter divides them."""
+    if not text.isascii():
+        text = text.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
     return kernels.word_hashes(text, kernels.NOT_ALNUM)
 
 
@@ -163,7 +167,7 @@ def index_parts(benchmark: DataFrame, theta: float = THETA, max_words: int = MAX
 def _leak_batches(shared):
     def run(batches):
         index = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 rows += [(doc_id, *leak) for leak in index.leaks(text)]
@@ -193,11 +197,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -
     for index in index_parts(benchmark, theta):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.pandas_udf("boolean")
+        @F.arrow_udf("boolean")
         def clean(texts, shared=shared):
-            import pandas as pd
-
-            return pd.Series([not shared.value.leaks(None if t is None else t.encode()) for t in texts], dtype=bool)
+            release()
+            return pa.array(in_slices(texts.cast(pa.binary()), lambda own: [not shared.value.leaks(t) for t in own]), pa.bool_())
 
         docs = docs.where(clean(F.col("text").cast("string")))
     return docs

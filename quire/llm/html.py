@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import sliced, stored
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
@@ -55,6 +55,8 @@ OUT_WORDS = frozenset(
 )
 #: Left out only outside an article, whose own header holds its title.
 OUTER_TAGS, OUTER_WORDS = frozenset(["header"]), frozenset(["header", "alert"])
+#: A class that begins so says what a container has or is, not what it is for (has-sidebar, long-form).
+_STATES = frozenset("has with without no is not long short".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dd dt figcaption article main tr table tbody ul ol dl".split())
 _WHOLE = frozenset(["html", "body", "article", "main"])
 #: A start tag closes an open element of these names, unless a bound stands between.
@@ -66,7 +68,7 @@ _SIBLINGS = {
 _P_BOUND = frozenset("button caption html marquee object td template th table".split())
 
 _MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -83,9 +85,10 @@ def left_out(tag: str, attributes: str, in_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & OUT_WORDS or (not in_article and words & OUTER_WORDS):
-                return True
+            for own in value.split():
+                words = [w.lower() for w in _WORD.findall(own)]
+                if words and words[0] not in _STATES and (not OUT_WORDS.isdisjoint(words) or (not in_article and not OUTER_WORDS.isdisjoint(words))):
+                    return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
     return False
@@ -175,10 +178,7 @@ class Page:
             if m.start() > at:
                 self._text.append(unescape(html[at : m.start()]))
             at = m.end()
-            if m[1] is not None:
-                self._text.append(m[1])
-                continue
-            slash, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+            slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not tag:
                 continue
             tag = tag.lower()
@@ -211,7 +211,7 @@ class Page:
 
 
 def _subtree_batches(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         key, host, sig, mark = [], [], [], []
         for k, h, html in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(html)
@@ -224,7 +224,7 @@ def _subtree_batches(batches):
 
 
 def _text_batches(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         ids, urls, html, gone = (c.to_pylist() for c in batch.columns)
         texts = [Page(h).text(set(g or ())) for h, g in zip(html, gone)]
         yield pa.RecordBatch.from_arrays(

@@ -244,6 +244,7 @@ def test_page_text():
     <form><input>Search</form>Loose text<ul><li>one<li>two</ul><aside>Side</aside></article><section class="comments"><p>Nice!</p></section></main>
     <!-- gone --><footer>&copy; 2020</footer></body></html>"""
     assert html.Page(page).text() == "Head & line\nFirst bold\nSecond! line after\nLoose text\none\ntwo"
+    assert html.Page("<div class='wrap has-sidebar'><article class=long-form>kept<p class='adSlot'>gone</p></article></div>").text() == "kept"
     assert html.Page(None).text() == html.Page("").text() == html.Page("<div class=ad>x").text() == ""
     assert html.Page("plain &lt;b&gt; text <3 you").text() == "plain <b> text <3 you"
 
