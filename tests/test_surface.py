@@ -83,3 +83,20 @@ def test_print_colours():
     doc = Document(e.build())
     assert structure.output_intents(doc)[0]["components"] == 3
     assert structure.overprint(doc, {"OP": True, "OPM": 1}) == {"stroke": True, "fill": True, "mode": 1} and structure.overprint(doc, {"op": False})["fill"] is False
+
+
+def test_documents_in_hand(tmp_path):
+    from quire import api
+
+    (tmp_path / "a.pdf").write_bytes(sample())
+    doc = api.open_file(str(tmp_path / "a.pdf"))
+    assert len(doc) == 2 and doc.metadata == {"Title": "T"} and doc[1].text() == "second" and [p.label for p in doc] == ["1", "2"]
+    assert doc.search("O", case_insensitive=True) == {0: [(4, 5, "o"), (7, 8, "o")], 1: [(3, 4, "o")]} and doc.search("zzz") == {}
+    assert doc[0].size == (612, 792) and doc[0].rotation == 0 and doc[0].bbox() and not doc[0].annotations() and doc[0].svg().startswith("<svg") and doc[0].png(36).startswith(b"\x89PNG")
+    assert doc.text("markdown").startswith("## Page 1") and not doc.encrypted and doc.version == "1.7" and doc.signatures == [] and doc.invoice is None
+    doc.edit().reorder([1, 0]).rotate(0, 90).set_info("Author", "A").clean().save(str(tmp_path / "b.pdf"))
+    again = api.open_file(str(tmp_path / "b.pdf"))
+    assert again[0].text() == "second" and again[0].rotation == 90 and again.metadata["Author"] == "A"
+    assert len(api.Document(api.merge([doc, again]))) == 4 and len(api.Document(doc.edit().delete_page(0).bytes())) == 1
+    with pytest.raises(PdfError, match="password"):
+        api.Document(doc.edit().bytes(encrypt={"method": "RC4-128", "user": "u", "owner": "o"}))
