@@ -10,6 +10,13 @@ vectors with an equal chunk meet; pairs whose whole codes are near enough are
 candidates; these are reranked by the cosine of the original vectors, in
 double precision.
 
+Codes are signs of the vectors as they are, not of centred ones: a bit then
+differs with a chance that the pair's own angle sets, however the vectors lie
+round their mean. What the fitted rotations really do to pairs at the threshold
+is measured on pairs laid at vectors of the sample; rotations that are drawn
+and not fitted, for which the chance is exact, are added until the wanted share
+of those pairs meets. The length of a chunk decides cost only.
+
 No pairs are sent round. A bucket of a table passes on which of its members
 have candidates; their vectors are joined to them, and one matrix product for
 each bucket gives each member's number of links and a spanning star for each
@@ -42,8 +49,9 @@ FIT_VECTORS = 10_000
 FIT_ROUNDS = 30
 BUCKET = 64
 MAX_CHUNK = 24
-#: The largest share of differing bits in a candidate: twice that of a pair at the threshold and more.
+#: A candidate may differ in the share of bits of a pair at the threshold, and so much more at least.
 BIT_MARGIN = 0.13
+PROBES = 2000
 PART = 2048
 
 
@@ -82,25 +90,66 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = FIT_ROUNDS) -> np.nda
     return rotation
 
 
+def probe_pairs(sample: np.ndarray, threshold: float, n: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: one of the sample, and one turned from it in any direction or towards another of the sample."""
+    rng = np.random.default_rng(len(sample))
+    a = sample[rng.integers(len(sample), size=n)]
+    to = np.concatenate([rng.standard_normal((n // 2, sample.shape[1])), sample[rng.integers(len(sample), size=n - n // 2)]])
+    to = to - (to * a).sum(1)[:, None] * a
+    length = np.sqrt((to * to).sum(1))
+    a, to = a[length > 1e-6], to[length > 1e-6] / length[length > 1e-6, None]
+    return a, threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * to
+
+
 class Codes:
     """Rotations for vectors of one length, and the tables that their codes are cut into."""
 
     def __init__(self, sample: np.ndarray, n_vectors: int, threshold: float = THRESHOLD, recall: float = RECALL):
         d = sample.shape[1]
-        self.mean = sample.mean(0)
-        self.chunk = int(np.clip(round(math.log2(max(n_vectors / BUCKET, 1))), 1, min(MAX_CHUNK, d)))
-        same_bit = 1 - math.acos(threshold) / math.pi
-        self.max_share = math.acos(threshold) / math.pi + BIT_MARGIN
-        hit = same_bit**self.chunk
-        tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+        centred = sample - sample.mean(0)
+        share = math.acos(threshold) / math.pi
+        codes = lambda chunk: math.ceil(max(1.0, math.log(1 - recall) / math.log(1 - (1 - share) ** chunk)) / max(1, d // chunk))
+        self.rotations = [learn_rotation(centred, 0)]
+        self.chunk = self._cheapest(sample, n_vectors, share, codes)
         self.per_code = max(1, d // self.chunk)
-        self.rotations = [learn_rotation(sample - self.mean, seed) for seed in range(-(-tables // self.per_code))]
+        self.rotations += [learn_rotation(centred, seed) for seed in range(1, codes(self.chunk))]
+        a, b = probe_pairs(sample, threshold)
+        met = np.zeros(len(a), bool)
+        far = np.zeros(len(a), np.int64)
+        done = 0
+        while done < len(self.rotations) or len(a) and met.mean() < recall:
+            if done == len(self.rotations):
+                self.rotations.append(learn_rotation(centred, done, 0))
+            differs = (a @ self.rotations[done] >= 0) != (b @ self.rotations[done] >= 0)
+            far += differs.sum(1)
+            met |= ~differs[:, : self.per_code * self.chunk].reshape(len(a), self.per_code, self.chunk).any(2).all(1)
+            done += 1
         self.tables = len(self.rotations) * self.per_code
         self.bits = d * len(self.rotations)
+        spread = math.sqrt(share * (1 - share) / self.bits)
+        self.max_share = max(share + BIT_MARGIN, share + 6 * spread, far.max(initial=0) / self.bits + 2 * spread)
+
+    def _cheapest(self, sample: np.ndarray, n_vectors: int, share: float, codes) -> int:
+        """The length of a chunk with the least work: tables, times what a row and the vectors that it meets in one cost.
+
+        If all bits were balanced and independent, buckets of BUCKET vectors
+        would cost least; how many really meet is counted in the sample.
+        """
+        row = BUCKET * max(0.0, math.log(2) / -math.log(1 - share) - 1)
+        signs = sample @ self.rotations[0] >= 0
+        d, m = signs.shape[1], len(signs)
+        best = []
+        for chunk in range(1, min(MAX_CHUNK, d) + 1):
+            meet = []
+            for c in range(min(16, d // chunk)):
+                counts = np.unique(signs[:, c * chunk : (c + 1) * chunk] @ (1 << np.arange(chunk)), return_counts=True)[1].astype(float)
+                meet.append((counts * (counts - 1)).sum() / max(1, m * (m - 1)))
+            best.append((codes(chunk) * (d // chunk) * (row + n_vectors * float(np.mean(meet))), chunk))
+        return min(best)[1]
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed codes of all rotations (rows of bytes) and the chunk in each table."""
-        x = units - self.mean
+        x = units
         signs = np.concatenate([x @ r >= 0 for r in self.rotations], 1)
         d = x.shape[1]
         weights = 1 << np.arange(self.chunk, dtype=np.int64)

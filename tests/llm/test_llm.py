@@ -547,6 +547,27 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("shape", ["mean", "hot"])
+def test_vectors_round_a_common_direction(spark, shape):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    common = unit(rng.standard_normal(64))
+    if shape == "mean":  # cosine 0.8 between any two, and pairs just over the threshold
+        x = unit(0.8**0.5 * common + 0.2**0.5 * unit(rng.standard_normal((1500, 64))))
+    else:  # a third are near copies of one vector, some of which link to few others only
+        x = np.concatenate([unit(rng.standard_normal((1000, 64))), unit(common + 0.36 * unit(rng.standard_normal((500, 64))))])[rng.permutation(1500)]
+    own = x[:300]
+    turn = rng.standard_normal(own.shape)
+    cos = rng.uniform(0.901, 0.92, (300, 1))
+    x = np.concatenate([x, cos * own + np.sqrt(1 - cos**2) * unit(turn - (turn * own).sum(1, keepdims=True) * own)])
+    want = brute_links(x)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = sorted(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    found, true = sum(r.n_links for r in got), want.sum()
+    assert true >= 600 and 0.99 * true <= found <= true and all(r.n_links <= want[r.vec_id].sum() for r in got)
+    assert np.mean([r.component_id == c for r, c in zip(got, labels_of(want))]) > 0.99
+
+
 def test_vector_edges(spark):
     nan = float("nan")
     rows = [
