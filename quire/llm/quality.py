@@ -8,12 +8,13 @@ way. A text's score is the sum of one entry from each table: vectorised
 additions, no tree is walked.
 
 Only features of the text are inputs. The model is fitted on at most
-max_labelled labelled rows (those with the smallest hashes of their id), of
+max_labelled labelled ids (those with the smallest hashes), a row for each, of
 which the driver receives features only, never texts.
 
 Nulls: a null text is empty and is scored like any other; labels without id or
 quality are not used, and if an id has several labels their mean decides (a
-tie counts as 1). With no labels, or one class only, every text gets that
+tie counts as 1). Where documents repeat an id, equal feature rows count once
+and the mean of its different ones is fitted. With no labels, or one class only, every text gets that
 class's share (0.5 without labels). Repeated rows are each scored. An empty
 table gives no rows. Columns besides doc_id and text are not read.
 """
@@ -195,7 +196,7 @@ def _feature_batches(batches):
     for batch in sliced(batches):
         x = feature_matrix(batch.column(1).cast(pa.binary()).to_pylist())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["y", "x"]
+            [batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"]
         )
 
 
@@ -208,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on the labelled rows that are not held out, max_labelled ids at most.
 
     The chosen ids and labels (under 20 bytes each, so bounded) are broadcast;
-    the documents are read once and not shuffled.
+    the documents are read once, and only the features of labelled ones are
+    shuffled, to give one row for each id.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q"))
@@ -217,8 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
         .select("doc_id", (F.col("q") >= 0.5).cast("double").alias("y"))
     )
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
-    got = known.mapInArrow(_feature_batches, "y double, x array<double>").orderBy("y", "x").limit(4 * max_labelled).collect()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = known.mapInArrow(_feature_batches, "doc_id long, y double, x array<double>").distinct()
+    means = F.array(*(F.avg(F.col("x")[k]) for k in range(len(FEATURES))))
+    got = sorted(rows.groupBy("doc_id", "y").agg(means.alias("x")).collect(), key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in got]) if got else np.zeros((0, len(FEATURES)))
     return fit(x, np.array([r.y for r in got]))
 

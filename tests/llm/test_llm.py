@@ -311,6 +311,25 @@ def test_quality_edges(spark):
     assert quality.classify(frame.limit(0), model).count() == 0
 
 
+def test_repeated_ids_do_not_crowd_out_a_class(spark):
+    """Rows of one hot id or of many repeats neither drop the positives nor weigh more than one row."""
+    rng = random.Random(8)
+    text = lambda good: prose(rng, 40) if good else "!!! ||| ### " * rng.randrange(5, 15)
+    known = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, text(k % 2)) for k in known]
+    labels = spark.createDataFrame([(k, k % 2) for k in known], "doc_id long, quality int")
+    bad = [r for r in rows if not r[0] % 2]
+    repeated = rows + bad[:1] * 400 + bad * 9
+    x = quality.feature_matrix([t.encode() for _, t in rows])
+    once, often = (quality.train(docs_frame(spark, r), labels, max_labelled=len(known)).scores(x) for r in (rows, repeated))
+    assert (once == often).all()
+    assert all((s >= 0.5) == bool(k % 2) for (k, _), s in zip(rows, often))
+    # different texts of one id: as many rows as there are, one in the fit
+    hot = rows + [(bad[0][0], "!!! ||| ### " * n) for n in range(20, 320)]
+    got = quality.train(docs_frame(spark, hot), labels, max_labelled=len(known)).scores(x)
+    assert all((s >= 0.5) == bool(k % 2) for (k, _), s in zip(rows, got))
+
+
 def test_pairs_catch_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = np.zeros((4000, len(quality.FEATURES)))
