@@ -3,9 +3,12 @@
 Each page is parsed once into blocks (the text of block elements, in page
 order), and every element's subtree is hashed. Spark counts, for each host,
 the pages in which a subtree recurs; subtrees that recur in many pages of
-their host are its template and are deleted. Copies of one page count once, so
-an article that a site publishes often does not become a template; and inside
-an article element paragraphs and headings are never taken for one.
+their host are its template and are deleted. Many is a share of a small host's
+pages, and ENOUGH_PAGES on a large one, whose sections may have templates of
+their own (pages without a host are no site, so there the share alone decides).
+Copies of one page count once, so an article that a site publishes often does
+not become a template; and inside an article element paragraphs and headings
+are never taken for one.
 
 Markup says the rest: the article or main element, where there is one, bounds
 the text, and elements that are by name, role or class a menu, header, footer,
@@ -34,6 +37,8 @@ from quire.llm.common import sliced, stored
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: So many pages of a host are enough, whatever their share of it.
+ENOUGH_PAGES = 200
 
 #: Element names as HTML defines them.
 BLOCK = frozenset(
@@ -244,12 +249,13 @@ def subtrees(pages: DataFrame) -> DataFrame:
     return keyed(pages).select("key", "host", "html").mapInArrow(_subtree_batches, "key long, host string, sig long, mark long")
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, mark) of subtrees in at least min_pages pages of different content and min_share of such pages of the host."""
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+    """(host, mark) of subtrees in at least min_pages pages of different content and min_share of such pages of the host, or enough_pages of them."""
     different = found.select("host", "mark", "sig").distinct()
     counts = different.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     pages = found.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")
+    enough = F.when(F.col("host") != "", F.col("n") >= enough_pages).otherwise(False)
+    return counts.join(pages, "host").where((F.col("n") >= min_share * F.col("pages")) | enough).select("host", "mark")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -267,6 +267,13 @@ def test_site_templates_go_and_articles_stay(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_templates_of_a_section_go_on_a_large_host(spark):
+    """A notice on enough pages goes though it is on few of the host's; one on fewer than that stays."""
+    rows = [(k, f"http://a.example/{k}", f"<body><p>Page {k}</p>{'<div>Notice to all</div>' * (k < 210)}{'<div>Said often</div>' * (300 <= k < 340)}</body>") for k in range(1300)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Page {k}" + "\nSaid often" * (300 <= k < 340) for k in range(1300)}
+
+
 def test_pages_by_plain_rules(spark):
     """The test pages' text is the text of their article's blocks."""
     from html import unescape
