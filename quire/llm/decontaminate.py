@@ -21,7 +21,9 @@ can't matter (whole).
 
 Test items are a small query set: they are indexed in parts of at most
 MAX_PART_WORDS words, each collected and broadcast by itself, and the texts
-are read once for each part.
+are read once for each part. Term document frequencies, the number of items,
+their mean length and the window are those of all items, so scores don't depend
+on the parts.
 
 Nulls: null texts, null items and items without words match nothing; a null
 doc_id is kept. Equal items are all reported. Repeated rows each give their
@@ -32,6 +34,7 @@ not read.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import in_slices, release, sliced
+from quire.llm.common import in_slices, release, sliced, stored
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -68,10 +71,24 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:half]), " ".join(words[half:])
 
 
+@dataclass
+class Corpus:
+    """Of all items that have words: their number, words, longest one's words, and sorted terms (those of a part at least) with document frequencies."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Items' postings with weights relative to each item's own score, and their maxima by term and by block."""
+    """Items' postings with weights relative to each item's own score, and their maxima by term and by block.
 
-    def __init__(self, items: list[tuple[int, str]], theta: float = THETA, block_items: int = BLOCK_ITEMS):
+    corpus is given where the items are a part of all.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], theta: float = THETA, block_items: int = BLOCK_ITEMS, corpus: Corpus | None = None):
         self.theta, self.block_items = theta, block_items
         kept = [(i, t, w) for i, t in items if t and len(w := words_of(t.encode()))]
         self.item_ids = [i for i, _, _ in kept]
@@ -80,7 +97,6 @@ class Index:
             q, a = (words_of(x.encode()) for x in question_and_answer(text))
             self.parts.append([(min(SHINGLE, len(x)), np.unique(kernels.shingle_hashes(x, SHINGLE))) for x in (q, a, words)])
         lengths = np.array([len(w) for *_, w in kept], float)
-        self.window = max(MIN_WINDOW, 2 * int(lengths.max(initial=0)))
         term, item, tf = [], [], []
         for k, (*_, words) in enumerate(kept):
             t, n = np.unique(words, return_counts=True)
@@ -89,9 +105,12 @@ class Index:
             tf.append(n)
         term, item, tf = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((term, np.uint64), (item, np.int64), (tf, np.int64)))
         self.terms, at = np.unique(term, return_inverse=True)
-        df = np.bincount(at, minlength=len(self.terms))
-        idf = np.log1p((len(kept) - df + 0.5) / (df + 0.5))
-        mean = lengths.mean() if len(kept) else 1.0
+        if corpus is None:
+            corpus = Corpus(len(kept), int(lengths.sum()), int(lengths.max(initial=0)), self.terms, np.bincount(at, minlength=len(self.terms)))
+        self.window = max(MIN_WINDOW, 2 * corpus.longest)
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log1p((corpus.items - df + 0.5) / (df + 0.5))
+        mean = corpus.words / corpus.items if corpus.items else 1.0
         weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         own = np.bincount(item, weight, minlength=len(kept))
         weight = weight / own[item]
@@ -154,14 +173,41 @@ class Index:
         return [(self.item_ids[i], *v) for i, v in sorted(best.items())]
 
 
+def _term_batches(batches):
+    """part and item text in; out come a row for each distinct term of an item, and one with a null term and the item's length."""
+    for batch in sliced(batches):
+        part, term, length = [], [], []
+        for p, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            words = words_of(text)
+            if len(words):
+                own = np.unique(words).view(np.int64).tolist()
+                part += [p] * (len(own) + 1)
+                term += [*own, None]
+                length += [None] * len(own) + [len(words)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(term, pa.int64()), pa.array(length, pa.int64())], names=["part", "term", "length"])
+
+
 def index_parts(benchmark: DataFrame, theta: float = THETA, max_words: int = MAX_PART_WORDS):
     """Indexes over all items: one, or as many as keep each under about max_words words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     parts = -(-total // max_words)
+    if parts == 1:
+        yield Index([(r.item_id, r.text) for r in items.collect()], theta)
+    if parts < 2:
+        return
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    rows = items.select("part", "text").mapInArrow(_term_batches, "part long, term long, length long")
+    counts = stored(rows.groupBy("part", "term").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest")), "terms")
+    whole = counts.where("term is null").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    df = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    known = stored(counts.where("term is not null").select("part", "term").join(df, "term"), "frequencies")
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Index([(r.item_id, r.text) for r in own.collect()], theta)
+        own = known.where(F.col("part") == part).select("term", "df").toArrow()
+        terms = own.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        corpus = Corpus(whole.n or 0, whole.words or 0, whole.longest or 0, terms[order], own.column("df").to_numpy()[order])
+        yield Index([(r.item_id, r.text) for r in items.where(F.col("part") == part).collect()], theta, corpus=corpus)
 
 
 def _leak_batches(shared):

@@ -122,6 +122,17 @@ def test_items_in_parts_give_the_same_leaks(spark):
     assert len(many) > 2 and ids(many) == ids(decontaminate.index_parts(bench))
 
 
+def test_scores_do_not_depend_on_the_parts(spark):
+    rng = random.Random(12)
+    items = [(i, f"{prose(rng, rng.randrange(10, 60))}. {prose(rng, rng.randrange(4, 20))}.") for i in range(60)] + [(98, ""), (99, None), (97, "...")]
+    passages = [" ".join([prose(rng, 60), *rng.choice(items[:60])[1].split()[: rng.randrange(5, 40)], prose(rng, 60)]).encode() for _ in range(150)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = list(decontaminate.index_parts(bench)), list(decontaminate.index_parts(bench, max_words=400))
+    assert len(one) == 1 and len(many) > 3 and {i.window for i in many} == {one[0].window}
+    found = lambda parts: sorted((k, i.item_ids[item], start, round(score, 9)) for i in parts for k, p in enumerate(passages) for item, start, score in i.retrieve(decontaminate.words_of(p)))
+    assert found(many) == found(one) and len(found(one)) > 50
+
+
 # --- 2 sharding -----------------------------------------------------------------
 
 
