@@ -172,8 +172,8 @@ def _signature_batches(shared):
                     seen.add(c)
                     keys.append(signature(own, is_common).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "cls", "n", "keys"],
+                [batch.column(0), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "cls", "n", "keys", *batch.schema.names[2:]],
             )
 
     return run
@@ -418,14 +418,18 @@ def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(connected_components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row."""
+def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
+    """doc_id, cls, n, component (a class of it), low (its smallest doc_id) for every row, and the column mark (a long), if given.
+
+    cls, component and low are null where a text has no words or doc_id is null.
+    """
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = [F.col(mark).alias("mark")] if mark else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
     known = rows.where("doc_id is not null and text is not null")
     common = spark.sparkContext.broadcast(common_counters(known.select("text")))
-    signed = stored(rows.mapInArrow(_signature_batches(common), "doc_id long, cls long, n long, keys array<long>"), "signed")
+    signed = stored(rows.mapInArrow(_signature_batches(common), "doc_id long, cls long, n long, keys array<long>" + ", mark long" * len(own)), "signed")
     filed = signed.where("doc_id is not null and keys is not null").select(F.explode("keys").alias("key"), "cls")
     shared_keys = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("c")).where("low <> high").select("key", "c")
     near = stored(filed.join(shared_keys, "key").select("key", "c", "cls").distinct(), "near")
@@ -458,25 +462,39 @@ def join_components(docs: DataFrame) -> DataFrame:
     links = grouped(found.join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
     edges = edges.union(stored(links.distinct(), "edges", 256))
 
-    rows = signed.select("doc_id", "cls", "n")
+    rows = signed.drop("keys")
     classes = stored(_with_components(rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")), edges), "classes")
-    smallest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = classes.join(smallest, "component").select("cls", "component_id")
-    return rows.join(by_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    smallest = classes.groupBy("component").agg(F.min("low").alias("low"))
+    by_class = classes.drop("low").join(smallest, "component").select("cls", "component", "low")
+    return rows.join(by_class, "cls", "left")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row."""
+    return _placed(docs).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one whose doc_id is the component's.
 
-    Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays.
+    Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays,
+    and it is of a component that has this doc_id, never a copy from another
+    one: the first by component, class and hash of the text, those without
+    words last.
     """
     name = "kept"
-    while name in docs.columns:
+    while any(name + x in docs.columns for x in ("", "_mark", "_text")):
         name += "_"
-    kept = join_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    marked_docs = docs.withColumn(name + "_text", F.xxhash64(F.col("text").cast("string")))
+    kept = (
+        _placed(marked_docs, name + "_text").where("doc_id = coalesce(low, doc_id)")
+        .groupBy("doc_id").agg(F.min(F.struct(F.col("cls").isNull().alias("empty"), "component", "cls", "mark")).alias("first"))
+        .select(F.col("doc_id").alias(name), F.col("first.mark").alias(name + "_mark"))
+    )
+    same = (F.col("doc_id") == F.col(name)) & (F.col(name + "_text") == F.col(name + "_mark"))
+    named = marked_docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).drop(name + "_text")
     return named.unionByName(docs.where("doc_id is null"))
 
 

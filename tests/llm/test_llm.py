@@ -486,6 +486,17 @@ def test_jaccard_components(spark, monkeypatch):
     assert jaccard_join.join_components(frame.limit(0)).count() == 0
 
 
+def test_a_repeated_id_keeps_its_own_group(spark):
+    """Where an id repeats, the row that stays is of a group with that id, not a copy from another group."""
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(80)]
+    first = [(k, texts[k]) for k in range(40)]
+    own, copies = [(100 + k, texts[40 + k]) for k in range(40)], [(100 + k, texts[k]) for k in range(40)]
+    empty = [(100 + k, None) for k in range(40)]
+    for rows in (first + own + copies + empty, empty + copies + own + first):
+        assert sorted(tuple(r) for r in jaccard_join.keep_one(docs_frame(spark, rows)).collect()) == first + own
+
+
 def test_jaccard_on_the_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert collections.Counter(tuple(r) for r in registry.QUERIES["op8_count_tree_jaccard"](spark, SF).collect()) == brute_components(rows)
