@@ -433,6 +433,32 @@ def test_license_passages(spark):
     assert got[1].score == 1.0 and 0.6 <= got[2].score < 1
 
 
+def test_repeated_or_shuffled_words_are_no_license(spark):
+    """A place of the template counts once, and only in the template's order."""
+    passage = dict((label, p) for p, label in licenses.PASSAGES)["mit"].split()
+    blocks = [" ".join(passage[k : k + 4]) for k in range(0, len(passage), 4)]
+    every = [" ".join(passage[k : k + 4]) for k in range(len(passage) - 3)]
+    rows = [
+        (1, "of this software and " * 20), (2, " ".join(reversed(blocks))), (3, " ".join(reversed(every))), (4, " ".join(passage) + " of this software and" * 20),
+        (5, "of this software and " * 20 + " ".join(passage)), (6, " ".join(passage[:9] + ["x", "y"] + passage[9:20] + passage[21:])),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert [got[k].labels for k in range(1, 7)] == ["", "", "", "mit", "mit", "mit"]
+    assert [got[k].score for k in (1, 2, 3, 4, 5)] == [0.0, 0.0, 0.0, 1.0, 1.0] and 0.6 <= got[6].score < 1
+
+
+def test_whole_license_texts(spark):
+    rng = random.Random(31)
+    rows = []
+    for k, (text, _) in enumerate(licenses.TEXTS):
+        words = text.split()
+        rows += [(10 * k, f"{prose(rng, 20)} {text.upper()} {prose(rng, 20)}"), (10 * k + 1, " ".join(w for w in words if rng.random() > 0.03)), (10 * k + 2, " ".join(words[60:90]))]
+    got = {r.doc_id: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    for k, (_, label) in enumerate(licenses.TEXTS):
+        assert label in got[10 * k].labels.split(",") and got[10 * k].score == 1.0
+        assert label in got[10 * k + 1].labels.split(",") and got[10 * k + 2].labels == ""
+
+
 # --- 8 Jaccard join ---------------------------------------------------------------------
 
 
