@@ -124,7 +124,8 @@ def template_table(spark: SparkSession, phrases=None, passages=None) -> DataFram
 
 def _joining(hashes: str, known: list[int], k: int):
     """Of an array of rolling hashes those that are in a template: (hash, place, the run's words)."""
-    run = lambda h, at: F.when(h.isin(known), F.struct(h.alias("h"), at.alias("at"), F.slice("words", at + 1, F.lit(k)).alias("own")))
+    own = lambda at: F.array(*(F.get("words", at + j) for j in range(k)))  # noqa: E731  (slice would copy all words for each run)
+    run = lambda h, at: F.when(h.isin(known), F.struct(h.alias("h"), at.alias("at"), own(at).alias("own")))
     return F.filter(F.transform(hashes, run), lambda x: x.isNotNull())
 
 
@@ -132,7 +133,7 @@ def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """All runs of all texts that stand in a template, with the row's own hit first: row, doc_id, n_words, template, label, base, n_grams, diagonal, tpos."""
     known = {k: [r.h for r in templates.where(F.col("k") == k).select("h").distinct().collect()] for k in (SHORT, LONG)}
     n = F.size("words")
-    start = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id())
+    start = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", n)
     pairs = start.withColumn(
         "pairs", F.zip_with(F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))), _pair)
     )
@@ -140,7 +141,8 @@ def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
     fours = pairs.withColumn("fours", F.zip_with(F.slice("pairs", F.lit(1), m), F.slice("pairs", F.lit(3), m), _four))
     own = F.struct(F.lit(_ALWAYS).cast("long").alias("h"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("own"))
     found = F.concat(_joining("pairs", known[SHORT], SHORT), _joining("fours", known[LONG], LONG), F.array(own))
-    runs = fours.select("row", "doc_id", n.alias("n_words"), F.explode(found).alias("r")).select("row", "doc_id", "n_words", "r.*")
+    # no array but the hits' own words goes past the explode
+    runs = fours.select("row", "doc_id", "n_words", found.alias("found")).select("row", "doc_id", "n_words", F.explode("found").alias("r")).select("row", "doc_id", "n_words", "r.*")
     return (
         runs.join(F.broadcast(templates), "h")
         .where(F.col("own") == F.col("gram"))
