@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -46,13 +47,8 @@ class Page:
 
     def search(self, pattern: str, case_insensitive: bool = False) -> list[tuple[int, int, str]]:
         """(first glyph, end, text) of overlapping hits."""
-        text = "".join(c[0] for c in self.chars())
-        where, wanted = (text.lower(), pattern.lower()) if case_insensitive else (text, pattern)
-        out, at = [], where.find(wanted) if wanted else -1
-        while at >= 0:
-            out.append((at, at + len(wanted), text[at : at + len(wanted)]))
-            at = where.find(wanted, at + 1)
-        return out
+        hits = re.compile(f"(?=({re.escape(pattern)}))", re.IGNORECASE if case_insensitive else 0)
+        return [(first, end, text) for text, first, end, *_ in content.find(self.chars(), hits)]
 
     def annotations(self) -> list[dict]:
         return structure.annotations(self.document.raw, self.raw)

@@ -14,16 +14,16 @@ _WORDS = "page_index int, word_seq int, text string, x double, y double, width d
 _HITS = "page_index int, char_start int, char_end int, matched_text string"
 
 
-def _parsed(content):
+def _parsed(content, part: str):
     from quire.sources.pdf import parse_bytes
 
-    return parse_bytes(content, parts=frozenset(["pages"])).get("pages") or []
+    return parse_bytes(content, parts=frozenset([part])).get("pages") or []
 
 
 @udtf(returnType=_PAGES)
 class PdfPages:
     def eval(self, content: bytes):
-        for p in _parsed(content):
+        for p in _parsed(content, "text"):
             b = p["media_box"]
             yield p["page_index"], b["urx"] - b["llx"], b["ury"] - b["lly"], p["rotate"], p["label"], p["text"]
 
@@ -31,7 +31,7 @@ class PdfPages:
 @udtf(returnType=_WORDS)
 class PdfWords:
     def eval(self, content: bytes):
-        for p in _parsed(content):
+        for p in _parsed(content, "words"):
             for k, w in enumerate(p["words"]):
                 yield p["page_index"], k, w["text"], w["x"], w["y"], w["width"], w["font_size"]
 
@@ -39,8 +39,8 @@ class PdfWords:
 @udtf(returnType=_HITS)
 class PdfSearch:
     def eval(self, content: bytes, pattern: str, max_results: int = 0):
-        for p in _parsed(content):
-            text = "".join(c["unicode"] for c in p["chars"])
+        for p in _parsed(content, "raw"):
+            text = p["raw"]
             at, n = text.find(pattern) if pattern else -1, 0
             while at >= 0 and (not max_results or n < max_results):
                 yield p["page_index"], at, at + len(pattern), pattern

@@ -14,9 +14,14 @@ def duplicates(rows: DataFrame, data: str, key: str) -> DataFrame:
 
 
 def remapped(rows: DataFrame, data: str, key: str) -> DataFrame:
-    """key and keeper for every row, by equal data."""
-    hashed = rows.select(F.col(key), F.sha2(F.col(data).cast("binary"), 256).alias("sha256"))
-    return hashed.join(hashed.groupBy("sha256").agg(F.min(key).alias("keeper")), "sha256").select(key, "keeper")
+    """key and keeper for every row, by equal data.
+
+    The keepers of data with copies are written first: the join then has plain
+    tables on both sides, and many copies of one value can be split.
+    """
+    hashed = rows.select(F.col(key), F.coalesce(F.sha2(F.col(data).cast("binary"), 256), F.lit("")).alias("sha256"))
+    copied = hashed.groupBy("sha256").agg(F.min(key).alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("sha256", "keeper")
+    return hashed.join(stored(copied, "keepers"), "sha256", "left").select(key, F.coalesce("keeper", key).alias("keeper"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -36,15 +41,25 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> Dat
 
     A frontier is joined to the edges until nothing new turns up. Each round's
     frontier is a written table, so a lost executor costs one round at most.
+    What is seen is looked through for a round's candidates only (a broadcast
+    while those are few), and its parts are put together as they grow, two of
+    like age at a time, so a long chain does not read ever more files.
     """
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
-    seen = frontier = stored(roots.select("node").distinct(), "roots")
+    edges = stored(edges.select("src", "dst"), "edges")
+    frontier = stored(roots.select("node").distinct(), "roots")
+    parts = [(1, frontier)]
     for _ in range(max_rounds):
-        new = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = stored(new, "frontier")
+        seen = parts[0][1]
+        for _, part in parts[1:]:
+            seen = seen.union(part)
+        found = stored(frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct(), "found")
+        frontier = stored(found.join(seen.join(found, "node", "left_semi"), "node", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier)
+        parts.append((1, frontier))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (age, last), (_, before) = parts.pop(), parts.pop()
+            parts.append((2 * age, stored(before.union(last), "seen") if age > 4 else before.union(last)))
     raise RuntimeError("the references do not end")
 
 

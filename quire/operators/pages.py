@@ -62,9 +62,25 @@ def page_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def merge(pages: DataFrame, target: Column, order: list[str]) -> DataFrame:
-    """Pages of all documents with the same target as one document: target and page_index from 0, in the given order."""
+    """Pages of all documents with the same target as one document: target and page_index from 0, in the given order.
+
+    All but the last column of order name a document. Pages are numbered within
+    their own document; only the documents' page counts, one narrow row each,
+    are summed up along a target, so no task holds a target's pages.
+    """
     named = pages.withColumn("target", target)
-    return named.withColumn("page_index", (F.row_number().over(Window.partitionBy("target").orderBy(*order)) - 1).cast("long"))
+    document = order[:-1]
+    if not document:
+        return named.withColumn("page_index", (F.row_number().over(Window.partitionBy("target").orderBy(*order)) - 1).cast("long"))
+    own = Window.partitionBy("target", *document)
+    placed = named.withColumn("__place", F.row_number().over(own.orderBy(order[-1])))
+    before = Window.partitionBy("target").orderBy(*document).rowsBetween(Window.unboundedPreceding, -1)
+    starts = named.groupBy("target", *document).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("target", *document)]
+    joined = placed.alias("a").join(starts.select("target", *document, "__start").alias("b"), same)
+    number = (F.col("__start") + F.col("__place") - 1).cast("long").alias("page_index")
+    rest = [F.col(f"a.{c}") for c in named.columns if c != "page_index"]
+    return joined.select(*rest, number)
 
 
 def split(pages: DataFrame, key: str, first: int, last: int | None = None) -> DataFrame:
@@ -107,6 +123,7 @@ def html_page(blocks: Column) -> Column:
     return F.concat(F.lit('<div class="page">\n'), F.array_join(ps, ""), F.lit("</div>"))
 
 
+#: Fixed value: how an HTML document begins.
 HTML_HEAD = (
     '<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <title>Extracted Text</title>\n  <style>\n'
     "    .page { margin-bottom: 2em; padding-bottom: 1em; border-bottom: 1px solid #ccc; }\n    p { margin: 0.5em 0; }\n  </style>\n</head>\n<body>\n"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,31 +12,42 @@ def _quoted(pattern: str) -> str:
     return r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _ahead(pattern: str, case_insensitive: bool) -> str:
+    """A pattern that matches, without length, before every hit; case is folded in the match, so places are those of the text itself."""
+    return f"{'(?iu)' if case_insensitive else ''}(?={_quoted(pattern)})"
+
+
 def count_hits(text: Column, pattern: str, case_insensitive: bool = False) -> Column:
     """Overlapping hits of a text; an empty pattern has none. A lookahead counts them, so the text is passed over once."""
     if not pattern:
         return F.lit(0).cast("long")
-    text, pattern = (F.lower(text), pattern.lower()) if case_insensitive else (text, pattern)
-    return F.regexp_count(text, F.lit(f"(?={_quoted(pattern)})")).cast("long")
+    return F.regexp_count(text, F.lit(_ahead(pattern, case_insensitive))).cast("long")
 
 
 def hits(docs: DataFrame, key: str, pattern: str, text: str = "text", case_insensitive: bool = False, max_results: int = 0) -> DataFrame:
     """A row for each overlapping hit: key, char_start, char_end, matched_text; the first max_results of a document (0: all).
 
-    The text is cut before every hit; the parts' running length is where the
-    hits start.
+    The hits of a text are one array in its own row, so nothing is shuffled.
+    Where max_results are asked for, the text is cut before its first hits and
+    the parts' running length is where they start; all hits are found by one
+    pass of an Arrow function, as their number is not bounded.
     """
-    if not pattern:
+    n = len(pattern)
+    if not n:
         return docs.select(key, F.lit(0).cast("long").alias("char_start"), F.lit(0).cast("long").alias("char_end"), F.col(text).alias("matched_text")).limit(0)
-    probe, wanted = (F.lower(F.col(text)), pattern.lower()) if case_insensitive else (F.col(text), pattern)
-    parts = docs.select(key, text, probe.alias("probe"), F.monotonically_increasing_id().alias("row")).where(F.contains("probe", F.lit(wanted)))
-    parts = parts.select("row", key, text, "probe", F.posexplode(F.split("probe", f"(?={_quoted(wanted)})")).alias("at", "part"))
-    order = Window.partitionBy("row").orderBy("at")
-    start = F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    found = parts.withColumn("char_start", start).where(F.substr(F.col("probe"), F.col("char_start").cast("int") + 1, F.lit(len(wanted))) == wanted)
-    if max_results:
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("char_start"))).where(F.col("rank") <= max_results)
-    return found.select(key, "char_start", (F.col("char_start") + len(wanted)).alias("char_end"), F.substr(F.col(text), F.col("char_start").cast("int") + 1, F.lit(len(wanted))).alias("matched_text"))
+    if not max_results:
+        return _found(docs, key, re.escape(pattern), text, case_insensitive, 0)
+    whole = F.col(text)
+    starts = F.aggregate(
+        F.split(whole, _ahead(pattern, case_insensitive), max_results + 2),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+    at_once = whole.rlike(("(?iu)" if case_insensitive else "") + r"\A" + _quoted(pattern))
+    own = F.slice(starts, F.when(at_once, 1).otherwise(2), F.lit(max_results))
+    found = F.transform(own, lambda k: F.struct(k.cast("long").alias("char_start"), (k + n).cast("long").alias("char_end"), F.substr(whole, k + 1, F.lit(n)).alias("matched_text")))
+    return docs.select(key, F.explode(found).alias("h")).select(key, "h.*")
 
 
 #: Classes of the search dialect, as Java (and RE2) and as Python write them.
@@ -89,14 +100,27 @@ def count_pattern(text: Column, pattern: str, case_insensitive: bool = False) ->
 
 def pattern_hits(docs: DataFrame, key: str, pattern: str, text: str = "text", case_insensitive: bool = False, max_results: int = 0) -> DataFrame:
     """A row for each start at which a pattern matches (hits may overlap): key, char_start, char_end, matched_text."""
-    compiled = re.compile(f"(?=({translate_pattern(pattern, 'python')}))", re.IGNORECASE if case_insensitive else 0)
+    return _found(docs, key, translate_pattern(pattern, "python"), text, case_insensitive, max_results)
 
-    @F.pandas_udf("array<struct<char_start:long,char_end:long,matched_text:string>>")
-    def find(texts):
-        def one(t):
-            found = [(m.start(1), m.end(1), m[1]) for m in compiled.finditer(t or "") if m[1]]
-            return found[:max_results] if max_results else found
 
-        return texts.map(one)
+def _found(docs: DataFrame, key: str, source: str, text: str, case_insensitive: bool, max_results: int) -> DataFrame:
+    compiled = re.compile(f"(?=({source}))", re.IGNORECASE if case_insensitive else 0)
+
+    @F.arrow_udf("array<struct<char_start:long,char_end:long,matched_text:string>>")
+    def find(texts):
+        import pyarrow as pa
+
+        starts, ends, own, offsets = [], [], [], [0]
+        for t in texts:
+            for m in compiled.finditer(t.as_py() or ""):
+                if m[1]:
+                    starts.append(m.start(1))
+                    ends.append(m.end(1))
+                    own.append(m[1])
+                    if max_results and len(own) - offsets[-1] == max_results:
+                        break
+            offsets.append(len(own))
+        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(own, pa.string())], names=["char_start", "char_end", "matched_text"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return docs.select(key, F.explode(find(F.col(text))).alias("h")).select(key, "h.*")

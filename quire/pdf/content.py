@@ -79,19 +79,35 @@ class TextMachine:
         self.ctm = self.tm = self.line = IDENTITY
         self.state = {"font": "", "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "rise": 0.0}
         self.stack = []
+        self._shown: dict[tuple, dict[int, tuple[str, float, float]]] = {}
+
+    def _glyph(self, font: Font | None, code: int) -> tuple[str, float, float]:
+        """Text, width and step of a code in the present state."""
+        s = self.state
+        text, width = font.glyph(code) if font else (chr(code), 500.0)
+        wide = width / 1000 * s["size"]
+        step = (wide + s["tc"] + (s["tw"] if code == 32 else 0)) * s["tz"]
+        return "" if text == "\x00" else text, abs(wide * s["tz"]), step
 
     def show(self, raw: bytes) -> None:
+        """Show a string. All its glyphs lie on one line, along the first row of the text matrix."""
         s = self.state
-        font = self.fonts.get(s["font"])
-        codes = font.codes(raw) if font else ((b, 1) for b in raw)
-        for code, _ in codes:
-            text = font.text(code) if font else bytes([code]).decode("latin-1")
-            width = font.width(code) if font else 500.0
-            m = concat((s["size"] * s["tz"], 0, 0, s["size"], 0, s["rise"]), concat(self.tm, self.ctm))
-            if text and text not in ("\x00",):
-                self.chars.append((text, m[4], m[5], scale_of((m[0] / (s["tz"] or 1), m[1] / (s["tz"] or 1), m[2], m[3], 0, 0)), s["font"], abs(width / 1000 * s["size"] * s["tz"])))
-            step = (width / 1000 * s["size"] + s["tc"] + (s["tw"] if code == 32 else 0)) * s["tz"]
-            self.tm = concat((1, 0, 0, 1, step, 0), self.tm)
+        name, size, tz = s["font"], s["size"], s["tz"]
+        font = self.fonts.get(name)
+        known = self._shown.setdefault((name, size, tz, s["tc"], s["tw"]), {})
+        a, b, c, d, x, y = concat(self.tm, self.ctm)
+        x, y = x + s["rise"] * c, y + s["rise"] * d
+        high = scale_of((size * a, size * b, size * c, size * d, 0, 0))
+        chars, at = self.chars, 0.0
+        for code in raw if font is None or not font.two_bytes else (code for code, _ in font.codes(raw)):
+            glyph = known.get(code)
+            if glyph is None:
+                glyph = known[code] = self._glyph(font, code)
+            text, width, step = glyph
+            if text:
+                chars.append((text, x + at * a, y + at * b, high, name, width))
+            at += step
+        self.tm = concat((1, 0, 0, 1, at, 0), self.tm)
 
     def next_line(self, x: float, y: float) -> None:
         self.line = self.tm = concat((1, 0, 0, 1, x, y), self.line)
@@ -154,6 +170,11 @@ def page_chars(doc, page: dict) -> list[tuple]:
 
 def page_bbox(doc, page: dict) -> list[float] | None:
     """The box of all painted paths, images and glyphs of a page; None for an empty page."""
+    return chars_and_bbox(doc, page)[1]
+
+
+def chars_and_bbox(doc, page: dict) -> tuple[list[tuple], list[float] | None]:
+    """A page's glyphs and the box of all it paints, from one pass over its content."""
     xs: list[float] = []
     ys: list[float] = []
 
@@ -166,7 +187,7 @@ def page_bbox(doc, page: dict) -> list[float] | None:
     machine = TextMachine(fonts_of(doc, doc.resolve(page.get("Resources"))))
     path: list[tuple[float, float]] = []
     for op, args in operations(doc.content(page)):
-        nums = [float(a) for a in args if isinstance(a, (int, float))]
+        nums = [float(a) for a in args if isinstance(a, (int, float))] if op in _PATH else []
         if op in ("m", "l") and len(nums) >= 2:
             path.append((nums[-2], nums[-1]))
         elif op in ("c", "v", "y"):
@@ -183,8 +204,33 @@ def page_bbox(doc, page: dict) -> list[float] | None:
             add(machine.ctm, (0, 0), (1, 0), (0, 1), (1, 1))
         machine.step(op, args)
     for _, x, y, size, _, width in machine.chars:
-        add(IDENTITY, (x, y - 0.2 * size), (x + width, y + 0.8 * size))
-    return [min(xs), min(ys), max(xs), max(ys)] if xs else None
+        xs += (x, x + width)
+        ys += (y - 0.2 * size, y + 0.8 * size)
+    return machine.chars, [min(xs), min(ys), max(xs), max(ys)] if xs else None
+
+
+_PATH = frozenset(["m", "l", "c", "v", "y", "re"])
+
+
+def find(chars: list[tuple], compiled, max_results: int = 0) -> list[tuple]:
+    """Hits of a pattern with one group, in the glyphs as they are shown: (text, first glyph, end, x0, y0, x1, y1)."""
+    text = "".join(c[0] for c in chars)
+    plain = len(text) == len(chars)
+    index = None
+    out = []
+    for m in compiled.finditer(text):
+        if not m[1]:
+            continue
+        if not plain and index is None:
+            index = [k for k, c in enumerate(chars) for _ in c[0]]
+        first, last = m.start(1), m.end(1) - 1
+        if index is not None:
+            first, last = index[first], index[last]
+        own = chars[first : last + 1]
+        out.append((m[1], first, last + 1, min(g[1] for g in own), min(g[2] for g in own), max(g[1] + g[5] for g in own), max(g[2] + g[3] for g in own)))
+        if max_results and len(out) == max_results:
+            break
+    return out
 
 
 def image_sizes(doc, page: dict) -> dict[str, tuple[float, float]]:

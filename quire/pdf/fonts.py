@@ -7,11 +7,24 @@ import re
 from quire.pdf import filters
 from quire.pdf.syntax import Lexer, Name, PdfError, Stream
 
-#: Simplified widths of the standard 14 fonts (one per class of letter), in thousandths.
-_MONO = 600
-_NARROW = {c: 278 for c in " !,./:;I[\\]fijlt'|"} | {c: 333 for c in "()-r`"} | {c: 222 for c in "ijl'"}
-_WIDE = {c: 833 for c in "Mm"} | {"W": 944, "@": 1015, "%": 889} | {c: 722 for c in "CDHNRUw"} | {c: 778 for c in "GOQ"} | {c: 667 for c in "ABEKPSVXY&"} | {c: 611 for c in "FTZ"} | {c: 500 for c in "Jcksvxyz"}
-_SERIF = {c: 250 for c in " ,."} | {c: 278 for c in "ijlt/:;|"} | {c: 333 for c in "()-IJfrs`'![]"} | {"M": 889, "m": 778, "W": 944, "@": 921, "%": 833, "&": 778} | {c: 722 for c in "ADGHKNOQRUVXYw"} | {c: 667 for c in "BCLTE"} | {c: 611 for c in "FZ"} | {c: 556 for c in "PS"} | {c: 444 for c in "aceyz"}
+#: Widths of the standard fonts for the codes 32 to 122, in thousandths; other codes have the width of a space.
+HELVETICA = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278,
+    556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
+    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
+    667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 278, 278,
+    278, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556,
+    556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500,
+)
+TIMES = (
+    250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 250, 250, 250, 250, 250, 250,
+    500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 250, 250, 250, 250, 250, 250,
+    250, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722,
+    556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 250, 250, 250, 250, 250,
+    250, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500,
+    500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444,
+)
+COURIER, OTHER = 600, 500
 STANDARD_14 = (
     "Courier Courier-Bold Courier-Oblique Courier-BoldOblique Helvetica Helvetica-Bold Helvetica-Oblique Helvetica-BoldOblique "
     "Times-Roman Times-Bold Times-Italic Times-BoldItalic Symbol ZapfDingbats"
@@ -46,18 +59,23 @@ def glyph_text(name: str) -> str:
     return ""
 
 
+#: The text of each code.
+WINANSI = bytes(range(256)).decode("cp1252", "replace").replace("�", "•")
+MACROMAN = bytes(range(256)).decode("mac-roman")
+
+
 def winansi(code: int) -> str:
-    return bytes([code]).decode("cp1252", "replace").replace("�", "•")
+    return WINANSI[code]
 
 
-def standard_width(font: str, text: str) -> float:
+def standard_width(font: str, code: int) -> float:
+    """The width of a code in one of the standard fonts."""
     if font.startswith("Courier"):
-        return _MONO
-    if font in ("Symbol", "ZapfDingbats") or not text:
-        return 500
-    if font.startswith("Times"):
-        return _SERIF.get(text, 500)
-    return _NARROW.get(text, _WIDE.get(text, 556))
+        return COURIER
+    table = HELVETICA if font.startswith("Helvetica") else TIMES if font.startswith("Times") else None
+    if table is None:
+        return OTHER
+    return table[code - 32] if 32 <= code < 32 + len(table) else table[0]
 
 
 class CMap:
@@ -131,6 +149,7 @@ class Font:
                 at += 1
             elif isinstance(x, (int, float)):
                 at = int(x)
+        self._glyphs: dict[int, tuple[str, float]] = {}
         self.widths: dict[int, float] = {}
         self.default = 500.0
         self._read_widths(d)
@@ -178,17 +197,22 @@ class Font:
             return chr(code) if 0 < code < 0xD800 or 0xDFFF < code else ""
         if code in self.differences:
             return self.differences[code]
-        if self.encoding == "MacRomanEncoding":
-            return bytes([code]).decode("mac-roman")
-        return winansi(code)
+        return MACROMAN[code] if self.encoding == "MacRomanEncoding" else WINANSI[code]
 
     def width(self, code: int) -> float:
         if code in self.widths:
             return self.widths[code]
         if not self.two_bytes and self.plain in STANDARD_14 and not self.widths:
-            return standard_width(self.plain, self.text(code))
+            return standard_width(self.plain, code)
         return self.default
 
+    def glyph(self, code: int) -> tuple[str, float]:
+        """Text and width of a code, worked out once."""
+        found = self._glyphs.get(code)
+        if found is None:
+            found = self._glyphs[code] = self.text(code), self.width(code)
+        return found
+
     def info(self) -> dict:
         return {"base_font": self.base, "subtype": self.subtype, "encoding": self.encoding, "embedded": self.embedded, "to_unicode": self.cmap is not None}
 

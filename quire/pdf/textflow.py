@@ -8,7 +8,7 @@ from quire.pdf.fonts import standard_width
 
 
 def text_width(text: str, size: float = 12, font: str = "Helvetica", char_spacing: float = 0.0, word_spacing: float = 0.0) -> float:
-    return sum(standard_width(font, c) / 1000 * size + char_spacing + (word_spacing if c == " " else 0) for c in text)
+    return sum(standard_width(font, ord(c)) / 1000 * size + char_spacing + (word_spacing if c == " " else 0) for c in text)
 
 
 def _broken(word: str, width: float, measure) -> list[str]:

@@ -16,5 +16,5 @@ def document_text(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def pdf_text(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, status and the text of PDF files; only text is read of them."""
-    parsed = pdf.parse(files, key=key, parts=["pages"])
+    parsed = pdf.parse(files, key=key, parts=["text"])
     return parsed.select(key, "status", F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n").alias("text"))

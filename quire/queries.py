@@ -390,6 +390,11 @@ def _written(spark, sf_dir):
     return d.select("doc_id", write.text_to_pdf(F.col("text"), F.col("source")).alias("content"))
 
 
+def _glyph_text():
+    """The glyphs of all pages without white space."""
+    return F.regexp_replace(F.array_join(F.transform("pages", lambda p: p["raw"]), ""), r"\s+", "")
+
+
 @query(_WRAP + """
 SELECT d.doc_id, max(1, n) AS n_pages, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest
 FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents) d
@@ -398,10 +403,8 @@ def pdf_roundtrip_chars(spark, sf_dir):
     """All documents written as PDF, parsed, and their glyphs put together again."""
     from quire.sources import pdf
 
-    parsed = pdf.parse(_written(spark, sf_dir), parts=["pages"])
-    page = lambda p: F.array_join(F.transform(p["chars"], lambda c: c["unicode"]), "")
-    flat = F.regexp_replace(F.array_join(F.transform("pages", page), ""), r"\s+", "")
-    rows = parsed.select("doc_id", F.col("page_count").cast("long").alias("n_pages"), flat.alias("t"))
+    parsed = pdf.parse(_written(spark, sf_dir), parts=["raw"])
+    rows = parsed.select("doc_id", F.col("page_count").cast("long").alias("n_pages"), _glyph_text().alias("t"))
     return rows.select("doc_id", "n_pages", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -412,8 +415,7 @@ def pdf_search_hits(spark, sf_dir):
     """Hits on the pages of the written documents; they cross lines as the glyphs do."""
     from quire.sources import pdf
 
-    parsed = pdf.parse(_written(spark, sf_dir), parts=["pages"])
-    return pdf.search(parsed, "tion").groupBy("doc_id", "page_index").agg(F.count("*").alias("hits"))
+    return pdf.search_files(_written(spark, sf_dir), "tion").groupBy("doc_id", "page_index").agg(F.count("*").alias("hits"))
 
 
 @query("SELECT doc_id, 'ok' AS status, '1.7' AS version, false AS encrypted, source AS title FROM documents")
@@ -431,9 +433,8 @@ def pdf_merge_turns(spark, sf_dir):
 
     t = _table(spark, sf_dir, "conversations")
     files = t.select("conv_id", "turn", write.text_to_pdf(F.col("text")).alias("content"))
-    parsed = pdf.parse(write.merge(files, F.col("conv_id"), "turn"), key="target", parts=["pages"])
-    flat = F.regexp_replace(F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["chars"], lambda c: c["unicode"]), "")), ""), r"\s+", "")
-    return parsed.select(F.col("target").cast("long").alias("conv_id"), F.md5(flat).alias("digest"))
+    parsed = pdf.parse(write.merge(files, F.col("conv_id"), "turn"), key="target", parts=["raw"])
+    return parsed.select(F.col("target").cast("long").alias("conv_id"), F.md5(_glyph_text()).alias("digest"))
 
 
 @query("SELECT item_id, true AS encrypted, true AS locked, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest FROM benchmark")
@@ -443,10 +444,11 @@ def pdf_encrypt_decrypt(spark, sf_dir):
 
     b = _table(spark, sf_dir, "benchmark")
     files = b.select("item_id", write.encrypt(write.text_to_pdf(F.col("text")), "secret", "owner").alias("content"))
-    shut = pdf.parse(files, key="item_id", parts=["images"]).select("item_id", "encrypted", "locked")
-    open_ = pdf.parse(files, key="item_id", password="secret", parts=["pages"])
-    flat = F.regexp_replace(F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["chars"], lambda c: c["unicode"]), "")), ""), r"\s+", "")
-    return shut.join(open_.select("item_id", F.md5(flat).alias("digest")), "item_id")
+    # the locked reading's verdict and the open one's text come from one pass over the written bytes
+    shut = pdf.parse(files.select(F.struct("item_id", "content").alias("file"), "content"), key="file", parts=["info"])
+    kept = shut.select("file.item_id", "file.content", F.col("encrypted"), F.col("locked"))
+    open_ = pdf.parse(kept.select(F.struct("item_id", "encrypted", "locked").alias("row"), "content"), key="row", password="secret", parts=["raw"])
+    return open_.select("row.item_id", "row.encrypted", "row.locked", F.md5(_glyph_text()).alias("digest"))
 
 
 @query("SELECT page_id, 'ok' AS status, md5(regexp_replace(regexp_replace(html, '[^a-zA-Z]+', '', 'g'), '\\s+', '', 'g')) AS digest FROM pages")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ pages array<struct<page_index:int,media_box:{_BOX},crop_box:{_BOX},rotate:int,la
   words:array<{_WORD}>,
   blocks:array<struct<text:string,lines:array<struct<text:string,x:double,y:double,words:array<{_WORD}>>>>>,
   annotations:array<struct<annot_seq:int,type:string,rect:{_BOX},contents:string,flags:int,uri:string,data:string>>,
-  bbox:{_BOX}, text:string>>,
+  bbox:{_BOX}, text:string, raw:string>>,
 outlines array<struct<node_id:int,parent_id:int,ord:int,depth:int,title:string,is_open:boolean,page:int,uri:string>>,
 fields array<struct<name:string,partial_name:string,type:string,flags:int,read_only:boolean,required:boolean,value:string,options:array<string>>>,
 layers array<struct<ref:int,name:string,visible:boolean,locked:boolean>>,
@@ -49,9 +50,18 @@ def _kind(x) -> str:
     return {"NoneType": "null", "bool": "bool", "int": "integer", "float": "real", "bytes": "string", "list": "array"}.get(type(x).__name__, type(x).__name__.lower())
 
 
+#: What a page has besides its boxes, rotation and label; raw is the glyphs' text in the order in which they are shown.
+PAGE_PARTS = frozenset(["chars", "words", "blocks", "annotations", "bbox", "text", "raw"])
+
+
 def parse_bytes(data: bytes | None, password: str = "", parts: frozenset[str] | None = None) -> dict:
-    """One document as a nested row. parts: only these columns besides the plain ones (all if None)."""
+    """One document as a nested row. parts: only these columns besides the plain ones (all if None).
+
+    "pages" are pages with all their parts; any of PAGE_PARTS gives pages with
+    these parts only, and nothing else is worked out.
+    """
     want = lambda name: parts is None or name in parts
+    own = PAGE_PARTS if want("pages") else PAGE_PARTS & parts
     try:
         if data is None:
             raise PdfError("NotPdf")
@@ -64,9 +74,9 @@ def parse_bytes(data: bytes | None, password: str = "", parts: frozenset[str] |
             return out | {"status": "locked"}
         found = doc.pages()
         out |= {"page_count": len(found), "metadata": list(doc.metadata().items())}
-        if want("pages"):
+        if own:
             page_of, labels = structure.page_numbers(doc), structure.page_labels(doc)
-            out["pages"] = [_page(doc, k, p, page_of, labels) for k, p in enumerate(found)]
+            out["pages"] = [_page(doc, k, p, page_of, labels, own) for k, p in enumerate(found)]
         for name, read in (
             ("outlines", structure.outlines), ("fields", structure.form_fields), ("layers", structure.layers), ("files", structure.embedded_files),
             ("signatures", structure.signatures), ("images", structure.images), ("invoice", structure.invoice),
@@ -80,21 +90,58 @@ def parse_bytes(data: bytes | None, password: str = "", parts: frozenset[str] |
         if want("objects"):
             out["objects"] = [{"obj_num": r.num, "kind": _kind(v := doc.resolve(r)), "value": json.dumps(to_json(v), sort_keys=True, ensure_ascii=False)} for r in doc.refs()]
         return out
-    except (PdfError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, OverflowError) as e:
+    except Exception as e:  # noqa: BLE001  (whatever a damaged file makes a reader raise)
         return {"status": "error", "error": str(e) or type(e).__name__}
 
 
-def _page(doc, k: int, page: dict, page_of, labels) -> dict:
+def _page(doc, k: int, page: dict, page_of, labels, parts: frozenset[str] = PAGE_PARTS) -> dict:
     boxes = doc.page_boxes(page)
-    chars = content.page_chars(doc, page)
-    words = layout.words_of(chars)
-    blocks = layout.blocks_of(layout.lines_of(words))
-    annots = [a | {"rect": _box(a["rect"]), "data": json.dumps(a["data"], sort_keys=True, ensure_ascii=False)} for a in structure.annotations(doc, page, page_of)]
-    return {
-        "page_index": k, "media_box": _box(boxes["media_box"]), "crop_box": _box(boxes["crop_box"]), "rotate": doc.rotation(page), "label": structure.label_of(labels, k),
-        "chars": [dict(zip(("char_seq", "unicode", "x", "y", "font_size", "font_name", "width"), (n, *c))) for n, c in enumerate(chars)],
-        "words": words, "blocks": blocks, "annotations": annots, "bbox": _box(content.page_bbox(doc, page)), "text": layout.plain_text(blocks),
-    }
+    out = {"page_index": k, "media_box": _box(boxes["media_box"]), "crop_box": _box(boxes["crop_box"]), "rotate": doc.rotation(page), "label": structure.label_of(labels, k)}
+    chars = []
+    if "bbox" in parts:
+        chars, box = content.chars_and_bbox(doc, page)
+        out["bbox"] = _box(box)
+    elif parts - {"annotations"}:
+        chars = content.page_chars(doc, page)
+    if "chars" in parts:
+        out["chars"] = chars
+    if "raw" in parts:
+        out["raw"] = "".join(c[0] for c in chars)
+    if parts & {"words", "blocks", "text"}:
+        words = layout.words_of(chars)
+        if "words" in parts:
+            out["words"] = words
+        if parts & {"blocks", "text"}:
+            blocks = layout.blocks_of(layout.lines_of(words))
+            if "blocks" in parts:
+                out["blocks"] = blocks
+            if "text" in parts:
+                out["text"] = layout.plain_text(blocks)
+    if "annotations" in parts:
+        out["annotations"] = [a | {"rect": _box(a["rect"]), "data": json.dumps(a["data"], sort_keys=True, ensure_ascii=False)} for a in structure.annotations(doc, page, page_of)]
+    return out
+
+
+def _chars_array(pages: list[dict], kind: pa.ListType) -> pa.Array:
+    """The glyph tuples of pages as Arrow columns; no object is made for a glyph."""
+    lists = [p.get("chars") for p in pages]
+    columns = list(zip(*(c for own in lists for c in own or ()))) or [()] * 6
+    n = [len(own or ()) for own in lists]
+    seq = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if n else np.zeros(0, np.int32)
+    fields = {f.name: f.type for f in kind.value_type}
+    arrays = [pa.array(seq), *(pa.array(c, fields[name]) for c, name in zip(columns, ("unicode", "x", "y", "font_size", "font_name", "width")))]
+    struct = pa.StructArray.from_arrays(arrays, names=["char_seq", "unicode", "x", "y", "font_size", "font_name", "width"])
+    offsets = pa.array([None if own is None else at for own, at in zip(lists, np.cumsum([0, *n]).tolist())] + [sum(n)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, struct)
+
+
+def _pages_array(rows: list[dict], kind: pa.ListType) -> pa.Array:
+    lists = [r.get("pages") for r in rows]
+    pages = [p for own in lists for p in own or ()]
+    arrays = [_chars_array(pages, f.type) if f.name == "chars" else pa.array([p.get(f.name) for p in pages], f.type) for f in kind.value_type]
+    struct = pa.StructArray.from_arrays(arrays, names=[f.name for f in kind.value_type])
+    ends = np.cumsum([0, *(len(own or ()) for own in lists)]).tolist()
+    return pa.ListArray.from_arrays(pa.array([None if own is None else at for own, at in zip(lists, ends)] + [ends[-1]], pa.int32()), struct)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -119,7 +166,8 @@ def parse(files: DataFrame, key: str = "doc_id", data: str = "content", password
             for at in range(0, batch.num_rows, 16):
                 own = batch.slice(at, 16)
                 rows = [parse_bytes(d, password, wanted) for d in own.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r.get(f.name) for r in rows], f.type) for f in arrow)], names=[key, *arrow.names])
+                columns = [_pages_array(rows, f.type) if f.name == "pages" else pa.array([r.get(f.name) for r in rows], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([own.column(0), *columns], names=[key, *arrow.names])
 
     del kind
     return files.select(key, F.col(data).cast("binary")).mapInArrow(run, full)
@@ -175,43 +223,69 @@ def summary(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     return parsed.select(key, "status", "page_count", F.coalesce(F.array_size("images"), F.lit(0)).alias("image_count"), n.alias("image_bytes"), "encrypted")
 
 
-def search(parsed: DataFrame, pattern: str, key: str = "doc_id", case_insensitive: bool = False, regex: bool = False, max_results: int = 0) -> DataFrame:
-    """Hits with boxes: page_index, matched_text, char_start, char_end, x0, y0, x1, y1. Hits cross lines, as the glyphs do."""
+_HIT = "matched_text:string,char_start:int,char_end:int,x0:double,y0:double,x1:double,y1:double"
+_HIT_NAMES = [f.split(":")[0] for f in _HIT.split(",")]
+
+
+def _compiled(pattern: str, case_insensitive: bool, regex: bool):
     import re
 
     from quire.operators.search import translate_pattern
 
     source = translate_pattern(pattern, "python") if regex else re.escape(pattern)
-    found = "array<struct<matched_text:string,char_start:int,char_end:int,x0:double,y0:double,x1:double,y1:double>>"
-    compiled = re.compile(f"(?=({source}))", re.IGNORECASE if case_insensitive else 0)
+    return re.compile(f"(?=({source}))", re.IGNORECASE if case_insensitive else 0)
+
+
+def search(parsed: DataFrame, pattern: str, key: str = "doc_id", case_insensitive: bool = False, regex: bool = False, max_results: int = 0) -> DataFrame:
+    """Hits with boxes: page_index, matched_text, char_start, char_end, x0, y0, x1, y1. Hits cross lines, as the glyphs do."""
+    compiled = _compiled(pattern, case_insensitive, regex)
 
-    @F.pandas_udf(found)
+    @F.arrow_udf(f"array<struct<{_HIT}>>")
     def hits(pages_):
-        def one(glyphs):
-            glyphs = [] if glyphs is None else list(glyphs)
-            text, index = "", []
-            for k, g in enumerate(glyphs):
-                text += g["unicode"]
-                index += [k] * len(g["unicode"])
-            out = []
-            for m in compiled.finditer(text) if pattern else ():
-                if not m[1]:
-                    continue
-                own = glyphs[index[m.start(1)] : index[m.end(1) - 1] + 1]
-                out.append({
-                    "matched_text": m[1], "char_start": index[m.start(1)], "char_end": index[m.end(1) - 1] + 1, "x0": min(g["x"] for g in own), "y0": min(g["y"] for g in own),
-                    "x1": max(g["x"] + g["width"] for g in own), "y1": max(g["y"] + g["font_size"] for g in own),
-                })
-                if max_results and len(out) == max_results:
-                    break
-            return out
-
-        return pages_.map(one)
+        out = []
+        for own in pages_:
+            glyphs = own.values
+            columns = [] if glyphs is None else [glyphs.field(n).to_pylist() for n in ("unicode", "x", "y", "font_size", "font_name", "width")]
+            found = content.find(list(zip(*columns)), compiled, max_results) if pattern else []
+            out.append([dict(zip(_HIT_NAMES, h)) for h in found])
+        return pa.array(out, pa.list_(pa.struct([(n, t) for n, t in zip(_HIT_NAMES, (pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4))])))
 
     p = parsed.select(key, F.explode("pages").alias("p")).select(key, "p.page_index", F.col("p.chars").alias("c"))
     return p.select(key, "page_index", F.explode(hits("c")).alias("h")).select(key, "page_index", "h.*")
 
 
+def search_files(files: DataFrame, pattern: str, key: str = "doc_id", data: str = "content", password: str = "", case_insensitive: bool = False, regex: bool = False, max_results: int = 0) -> DataFrame:
+    """The hits of search() straight from files: each is read and searched in one pass, and no glyph leaves its task.
+
+    A file that cannot be read has no hits.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    compiled = _compiled(pattern, case_insensitive, regex)
+    rest = StructType.fromDDL("page_index int, " + _HIT.replace(":", " "))
+    schema = StructType([files.select(key).schema[0], *rest.fields])
+
+    def run(batches):
+        arrow = to_arrow_schema(rest)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                own = batch.slice(at, 16)
+                place, rows = [], []
+                for k, d in enumerate(own.column(1).to_pylist()):
+                    parsed = parse_bytes(d, password, frozenset(["chars"])) if pattern else {}
+                    for p in parsed.get("pages") or ():
+                        found = content.find(p["chars"], compiled, max_results)
+                        place += [k] * len(found)
+                        rows += [(p["page_index"], *h) for h in found]
+                columns = list(zip(*rows)) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, arrow))], names=[key, *arrow.names]
+                )
+
+    return files.select(key, F.col(data).cast("binary")).mapInArrow(run, schema)
+
+
 def formatted(parsed: DataFrame, kind: str = "text", key: str = "doc_id") -> DataFrame:
     """key and the whole document as text, html, json or markdown."""
     from quire.pdf.output import format_pages

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 
-from quire.pdf import color, content, truetype, writer
+from quire.pdf import color, content, fonts, truetype, writer
 from quire.pdf.document import Document, hint_tables
 from quire.pdf.syntax import Name, PdfError, Ref, Stream, write_object
 
@@ -95,3 +95,10 @@ def test_hints():
     doc = rebuild(lead + stream + rest)
     assert doc.linearized and hint_tables(doc) == {"first_page_offset": 500, "pages": [{"objects": 4, "length": 105}, {"objects": 5, "length": 109}]}
     assert hint_tables(Document(writer.lines_to_pdf([["x"]]))) is None and Ref(1) == Ref(1, 0)
+
+
+def test_standard_widths_by_code():
+    width = lambda font, text: [fonts.standard_width(font, ord(c)) for c in text]
+    assert width("Helvetica", ' "*+@AWiz~') == [278, 355, 389, 584, 1015, 667, 944, 222, 500, 278]
+    assert width("Times-Roman", " '*ATELRsyz~") == [250, 180, 250, 722, 611, 611, 611, 667, 389, 500, 444, 250]
+    assert width("Courier-Bold", "iW") == [600, 600] and width("Symbol", "a") == [500] and fonts.standard_width("Helvetica", 200) == 278

@@ -84,6 +84,35 @@ def test_search(spark):
             search.translate_pattern(bad)
 
 
+def test_places_of_hits_are_those_of_the_text(spark):
+    """Folding case may change a text's length; places and matched text are the text's own."""
+    d = spark.createDataFrame([(1, "İx anan"), (2, "ananAN"), (3, "x"), (4, None), (5, "ANAN")], "doc_id long, text string")
+    want = {(1, 3, 7, "anan"), (2, 0, 4, "anan"), (2, 2, 6, "anAN"), (5, 0, 4, "ANAN")}
+    for n in (0, 5):
+        assert {tuple(r) for r in search.hits(d, "doc_id", "ANAN", case_insensitive=True, max_results=n).collect()} == want
+        assert {tuple(r) for r in search.hits(d, "doc_id", "anan", max_results=n).collect()} == {(1, 3, 7, "anan"), (2, 0, 4, "anan")}
+    assert {tuple(r) for r in search.hits(d, "doc_id", "anan", case_insensitive=True, max_results=1).collect()} == want - {(2, 2, 6, "anAN")}
+    odd = spark.createDataFrame([(1, r"a\E.b a\Eb a\E.b")], "doc_id long, text string")
+    assert [r.char_start for r in search.hits(odd, "doc_id", r"a\E.b", max_results=3).collect()] == [0, 11]
+
+
+def test_merge_numbers_all_pages(spark):
+    rows = [(d, p, f"{d}/{p}") for d in (0, 1, 2, 3, None) for p in range((d or 1) + 1)] + [(2, 0, "2/0")]
+    frame = spark.createDataFrame(rows, "doc long, page_index long, text string")
+    got = sorted(tuple(r) for r in pages.merge(frame, F.coalesce(F.col("doc"), F.lit(1)) % 2, ["doc", "page_index"]).select("target", "page_index", "doc", "text").collect())
+    for target in (0, 1):
+        own = [r for r in got if r[0] == target]
+        assert [r[1] for r in own] == list(range(len(own)))
+        assert [r[3] for r in own] == [t for _, _, t in sorted((r for r in rows if (1 if r[0] is None else r[0]) % 2 == target), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+
+
+def test_copies_of_nothing_and_long_chains(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None), (5, "b")], "doc_id long, text string")
+    assert {tuple(r) for r in objects.remapped(d, "text", "doc_id").collect()} == {(1, 1), (2, 2), (3, 1), (4, 2), (5, 5)}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(5, 0), (90, 91)], "src long, dst long")
+    assert sorted(r.node for r in objects.reachable(chain, spark.createDataFrame([(0,)], "node long")).collect()) == list(range(13))
+
+
 def test_pages_operators(spark):
     assert pages.wrap("a" * 80 + " b\n\nc d", 78) == ["a" * 78, "aa b", "", "c d"] and pages.wrap("") == [] and pages.wrap(" " * 90)[0] == " " * 77
     d = spark.createDataFrame([(1, "x\n" * 120), (2, ""), (3, None)], "doc_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import struct
 import zipfile
 
@@ -105,6 +106,34 @@ def test_documents_source(spark, folder):
     assert again.status == "ok" and again.pages[0].text == "Hello you"
 
 
+def test_damaged_files_are_rows(spark):
+    """No byte of a container that is changed fails the job: the file's row says error, or it is read."""
+    rng = random.Random(7)
+    rows = []
+    for kind, body in (("Docx", DOCX), ("Epub", EPUB), ("Xlsx", XLSX), ("Pptx", PPTX), ("Xps", XPS), ("Cbz", CBZ)):
+        for _ in range(60):
+            data = bytearray(body)
+            for _ in range(rng.randrange(1, 5)):
+                data[rng.randrange(len(data))] = rng.randrange(256)
+            rows.append((f"{kind}{len(rows)}", kind, bytes(data)))
+    got = documents.parse(spark.createDataFrame(rows, "doc_id string, format string, content binary")).collect()
+    assert len(got) == len(rows) and {r.status for r in got} == {"ok", "error"} and all(r.error for r in got if r.status == "error")
+    made = documents.to_pdf(spark.createDataFrame(rows, "doc_id string, format string, content binary")).collect()
+    assert len(made) == len(rows)
+
+
+def test_search_in_files_is_search_in_tables(spark, folder):
+    files = pdf.read_files(spark, folder)
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    for args in (("o",), ("HELLO W",), (r"[A-Z]\w",)):
+        own = {"case_insensitive": args[0] == "HELLO W", "regex": "w" in args[0]}
+        want = rows(pdf.search(pdf.parse(files, parts=["chars"]), *args, **own))
+        assert rows(pdf.search_files(files, *args, **own)) == want and want
+    assert len(rows(pdf.search_files(files, "o", max_results=1))) == 2 and not rows(pdf.search_files(files, ""))
+    (good,) = [r for r in pdf.parse(files, parts=["raw"]).collect() if r.status == "ok"]
+    assert good.pages[0].raw == "Hello World" and good.pages[0].chars is None and good.pages[0].words is None and good.outlines is None
+
+
 def test_pdf_tables(spark, folder):
     parsed = pdf.parse(pdf.read_files(spark, folder)).cache()
     status = {r.doc_id.rsplit("/", 1)[-1]: r.status for r in parsed.collect()}
