@@ -477,25 +477,27 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the one whose doc_id is the component's.
+    """One row of each component, with all its columns: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays,
-    and it is of a component that has this doc_id, never a copy from another
-    one: the first by component, class and hash of the text, those without
-    words last.
+    Where that doc_id repeats within its component, the row first by class and
+    hash of the text stays. Rows without words link with nothing and rows with
+    a null doc_id can't be linked, so all of these stay. A doc_id may stay more
+    than once: with texts of different components.
     """
     name = "kept"
     while any(name + x in docs.columns for x in ("", "_mark", "_text")):
         name += "_"
-    marked_docs = docs.withColumn(name + "_text", F.xxhash64(F.col("text").cast("string")))
+    text = F.col("text").cast("string")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked_docs = docs.where(~alone).withColumn(name + "_text", F.xxhash64(text))
     kept = (
-        _placed(marked_docs, name + "_text").where("doc_id = coalesce(low, doc_id)")
-        .groupBy("doc_id").agg(F.min(F.struct(F.col("cls").isNull().alias("empty"), "component", "cls", "mark")).alias("first"))
-        .select(F.col("doc_id").alias(name), F.col("first.mark").alias(name + "_mark"))
+        _placed(marked_docs, name + "_text").where("component is not null and doc_id = low")
+        .groupBy("component").agg(F.min(F.struct("doc_id", "cls", "mark")).alias("first"))
+        .select(F.col("first.doc_id").alias(name), F.col("first.mark").alias(name + "_mark"))
     )
-    same = (F.col("doc_id") == F.col(name)) & (F.col(name + "_text") == F.col(name + "_mark"))
-    named = marked_docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).drop(name + "_text")
-    return named.unionByName(docs.where("doc_id is null"))
+    same = (F.col("doc_id").cast("long") == F.col(name)) & (F.col(name + "_text") == F.col(name + "_mark"))
+    one = marked_docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", name + "_text"]).drop(name + "_text")
+    return one.unionByName(docs.where(alone))
 
 
 def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

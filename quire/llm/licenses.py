@@ -90,8 +90,13 @@ _ALWAYS = -1
 
 
 def words_of(text: F.Column) -> F.Column:
-    """The words of a text: A-Z lower-cased, split at ASCII that is no digit or letter."""
-    folded = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    """The words of a text: A-Z lower-cased, split at ASCII that is no digit or letter.
+
+    Other letters are folded with them, which is faster and changes no result:
+    words are counted and compared with ASCII words only, and the one letter
+    that folding would turn into ASCII, the Kelvin sign, is kept from it.
+    """
+    folded = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u00e5")))
     return F.array_remove(F.split(folded, SEPARATORS, -1), "")
 
 
