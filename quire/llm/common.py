@@ -18,12 +18,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (as in local tests) a local folder is
-    made, once for each application.
+    Only where the session has none and all runs on this machine (as in local
+    tests) a local folder is made, once for each application; a cluster that
+    names none is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
@@ -118,26 +121,65 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa
         yield _joined(held)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def with_groups(rows: DataFrame, key: str, size: str, limit: int, **aggregates) -> DataFrame:
+    """rows with aggregates over the rows of the same key, where size says how many these are.
+
+    Keys of at most limit rows meet in a task. Of larger ones the aggregates,
+    of which there are at most rows / limit, are written first: the join then
+    has a plain table on each side and is a broadcast or can be split.
+    """
+    own = [f.alias(name) for name, f in aggregates.items()]
+    small, large = rows.where(F.col(size) <= limit), rows.where(F.col(size) > limit)
+    return small.join(small.groupBy(key).agg(*own), key).unionByName(large.join(stored(large.groupBy(key).agg(*own), "groups"), key))
+
+
+#: Edge lists of at most so many edges (16 bytes each) are settled by one task.
+ONE_TASK_EDGES = 500_000
+
+
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def find(x):
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of an edge list (src, dst): rows (node, component).
 
-    component is the smallest node reachable. Alternates the large-star and
-    small-star steps, which turn every component into a star around its
-    smallest node in about log(n) rounds. Group minima are partial
-    aggregates and the joins are equi-joins that AQE may split, so a hub
-    with very many links does not meet in one task. Self-loops and nulls are
-    ignored; nodes without an edge are not returned.
+    component is the smallest node reachable. A list of at most one_task edges
+    goes through one task. For longer ones the large-star and small-star steps
+    alternate, which turn every component into a star around its smallest node
+    in about log(n) rounds. Group minima are partial aggregates and are written
+    before they are joined: with a plain table on each side a join is split by
+    AQE where a hub has very many links, which it could not be next to an
+    aggregate by the same key. Self-loops and nulls are ignored; nodes without
+    an edge are not returned.
     """
     cur = stored(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(),
         "edges",
     )
+    if cur.count() <= one_task:
+        return stored(cur.repartition(1).mapInArrow(_union_find, "node long, component long"), "components")
     before = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small_low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(small_low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -30,9 +30,11 @@ connects most of a group of copies; then the trees are asked for what is not
 yet connected. They pass on which members have a candidate, not the pairs; the
 members' sets are joined to them, each neighbourhood is verified in one go,
 and a star for each of its components comes out. A pair is looked at in the
-first neighbourhood that its documents share. A neighbourhood of more than
-PART documents is dealt out in pairs of parts. A set is known by a 64-bit hash
-of its shingles.
+first neighbourhood that its documents share. Of a neighbourhood of more than
+PART documents the largest component, whose members need not be compared with
+each other, and the rest are dealt out in parts: a part of the rest meets every
+part, so that c documents of which r are not yet connected cost c rows and
+r * c / PART more. A set is known by a 64-bit hash of its shingles.
 
 Nulls: a null text is empty; texts without words link with nothing, and so do
 rows with a null doc_id (their component is null). Repeated rows are linked as
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import connected_components, partitions, sliced, sorted_groups, stored
+from quire.llm.common import connected_components, partitions, sliced, sorted_groups, stored, with_groups
 
 SIZE = 5
 PERCENT = 75
@@ -59,7 +61,7 @@ SKETCH_BITS = 19
 COMMON = 200
 GROUPS = 256
 LEAF = 16
-PART = 512
+PART = 256
 #: A count of 255 or more is kept as 255 and read as this: no bound is lost.
 _MANY = 10_000_000
 _CHUNKS = 32
@@ -414,8 +416,35 @@ def _link_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(label[moved])], names=["src", "dst"])
 
 
-def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    return rows.join(connected_components(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
+    return rows.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """What is not connected yet, in blocks of at most 2 * PART members: key, part, other, cls, side, component.
+
+    placed: key, c (its members), cls, component. A small neighbourhood is one
+    block. A larger one has parts of those outside its largest component, and
+    behind them parts of that component, which do not meet each other.
+    """
+    columns = ["key", "part", "other", "cls", "side", "component"]
+    small = placed.where(F.col("c") <= PART)
+    ends = small.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    whole = small.join(ends, "key").select("key", F.lit(0).alias("part"), F.lit(0).alias("other"), "cls", F.lit(0).alias("side"), "component")
+    large = placed.where(F.col("c") > PART)
+    counts = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
+    main = stored(main.select(
+        "key", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("rest"), F.ceil(F.col("most") / PART).cast("int").alias("mains"),
+    ), "main")
+    in_main = F.col("component") == F.col("main")
+    h = F.xxhash64("cls", "key")
+    sided = large.join(main, "key").withColumn(
+        "side", F.when(in_main, F.col("rest") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    )
+    met = F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_main, 0).otherwise(F.col("mains"))))
+    dealt = sided.withColumn("b", met).select("key", F.least("side", "b").alias("part"), F.greatest("side", "b").alias("other"), "cls", "side", "component")
+    return whole.select(*columns).unionByName(dealt.select(*columns))
 
 
 def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
@@ -432,6 +461,7 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     signed = stored(rows.mapInArrow(_signature_batches(common), "doc_id long, cls long, n long, keys array<long>" + ", mark long" * len(own)), "signed")
     filed = signed.where("doc_id is not null and keys is not null").select(F.explode("keys").alias("key"), "cls")
     shared_keys = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("c")).where("low <> high").select("key", "c")
+    shared_keys = stored(shared_keys, "shared")
     near = stored(filed.join(shared_keys, "key").select("key", "c", "cls").distinct(), "near")
     marks = spark.sparkContext.broadcast(_marks(near.select("cls")))
     sets = stored(
@@ -440,20 +470,11 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     )
 
     # one hub for each neighbourhood, by an order that all share
-    hubs = near.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls")).alias("hub"))
-    pairs = near.join(hubs, "key").where("cls <> hub.cls")
-    edges = stored(verified(pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct(), sets), "edges", 256)
+    pairs = with_groups(near, "key", "c", PART, hub=F.min_by("cls", F.struct(F.xxhash64("cls"), "cls"))).where("cls <> hub")
+    edges = stored(verified(pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), sets), "edges", 256)
 
     # what is not connected yet, neighbourhood by neighbourhood
-    placed = stored(_with_components(near, edges), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = (
-        placed.join(open_keys, "key")
-        .withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
-        .withColumn("side", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("side", "other").cast("int").alias("part"), F.greatest("side", "other").cast("int").alias("other"), "cls", "side", "component")
-    )
+    left = _blocks(stored(_with_components(near, connected_components(edges)), "placed"))
     grouped = lambda df: df.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other", "cls")
     found = stored(grouped(left.join(sets.select("cls", "n", "point", "filed"), "cls").select(*left.columns, "n", "point", "filed")).mapInArrow(
         _member_batches, "key long, part int, other int, cls long, side int, component long"
@@ -462,10 +483,16 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     links = grouped(found.join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
     edges = edges.union(stored(links.distinct(), "edges", 256))
 
+    # classes without a link are their own component; only linked ones need their component's smallest doc_id
     rows = signed.drop("keys")
-    classes = stored(_with_components(rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")), edges), "classes")
-    smallest = classes.groupBy("component").agg(F.min("low").alias("low"))
-    by_class = classes.drop("low").join(smallest, "component").select("cls", "component", "low")
+    lows = rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own"))
+    components = connected_components(edges).withColumnRenamed("node", "cls")
+    linked_lows = stored(lows.join(components, "cls"), "linked")
+    smallest = stored(linked_lows.groupBy("component").agg(F.min("own").alias("low")), "smallest")
+    linked_classes = linked_lows.join(smallest, "component").select("cls", "component", "low")
+    by_class = stored(
+        lows.join(linked_classes, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("low", "own").alias("low")), "by_class"
+    )
     return rows.join(by_class, "cls", "left")
 
 

@@ -66,9 +66,10 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: find(x) for x in linked}
+    for most in (common.ONE_TASK_EDGES, 0):
+        got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long"), one_task=most).collect()}
+        assert got == {x: find(x) for x in linked}
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
