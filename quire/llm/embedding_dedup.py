@@ -17,13 +17,19 @@ is measured on pairs laid at vectors of the sample; rotations that are drawn
 and not fitted, for which the chance is exact, are added until the wanted share
 of those pairs meets. The length of a chunk decides cost only.
 
-No pairs are sent round. A bucket of a table passes on which of its members
-have candidates; their vectors are joined to them, and one matrix product for
-each bucket gives each member's number of links and a spanning star for each
-local component. A pair that meets in several tables counts in the first one.
-Equal vectors are one class with a weight, so copies cost nothing. A bucket of
-more than PART members is dealt out in pairs of parts, so no task holds a
-group of any size.
+No pairs are sent round. A row of a table is its bucket, a class number and the
+code, of which all other tables' chunks are parts. A bucket passes on which of
+its members have candidates; their vectors are joined to them, and matrix
+products for each bucket give each member's number of links and a spanning star
+for each local component. A pair that meets in several tables counts in the
+first one. Equal vectors are one class with a weight, so copies cost nothing. A
+bucket of more than PART members is dealt out in pairs of parts, so no task
+holds a group of any size; c members that nearly all link, whose links are to be
+counted, cost c * c / PART rows of a code each.
+
+Rotations are fitted for the LENGTHS most frequent lengths of vectors, on
+fit_vectors vectors of each; vectors of other lengths get rotations that are
+drawn by a seed, as many as the exact chance asks for.
 
 Nulls: a vector that is null, zero, or holds a null or non-finite component
 links with nothing, and so does a row with a null vec_id. Vectors of different
@@ -53,6 +59,10 @@ MAX_CHUNK = 24
 BIT_MARGIN = 0.13
 PROBES = 2000
 PART = 2048
+COUNTED = 64
+LENGTHS = 8
+#: Rows of a matrix product at a time.
+BLOCK = 512
 
 
 def unit_rows(vectors: list) -> list[np.ndarray | None]:
@@ -106,14 +116,14 @@ class Codes:
 
     def __init__(self, sample: np.ndarray, n_vectors: int, threshold: float = THRESHOLD, recall: float = RECALL):
         d = sample.shape[1]
-        centred = sample - sample.mean(0)
+        centred = sample - sample.mean(0) if len(sample) else sample
         share = math.acos(threshold) / math.pi
         codes = lambda chunk: math.ceil(max(1.0, math.log(1 - recall) / math.log(1 - (1 - share) ** chunk)) / max(1, d // chunk))
         self.rotations = [learn_rotation(centred, 0)]
         self.chunk = self._cheapest(sample, n_vectors, share, codes)
         self.per_code = max(1, d // self.chunk)
         self.rotations += [learn_rotation(centred, seed) for seed in range(1, codes(self.chunk))]
-        a, b = probe_pairs(sample, threshold)
+        a, b = probe_pairs(sample, threshold) if len(sample) else (sample, sample)
         met = np.zeros(len(a), bool)
         far = np.zeros(len(a), np.int64)
         done = 0
@@ -140,8 +150,8 @@ class Codes:
         d, m = signs.shape[1], len(signs)
         best = []
         for chunk in range(1, min(MAX_CHUNK, d) + 1):
-            meet = []
-            for c in range(min(16, d // chunk)):
+            meet = [] if m else [0.5**chunk]
+            for c in range(min(16, d // chunk) if m else 0):
                 counts = np.unique(signs[:, c * chunk : (c + 1) * chunk] @ (1 << np.arange(chunk)), return_counts=True)[1].astype(float)
                 meet.append((counts * (counts - 1)).sum() / max(1, m * (m - 1)))
             best.append((codes(chunk) * (d // chunk) * (row + n_vectors * float(np.mean(meet))), chunk))
@@ -149,40 +159,53 @@ class Codes:
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed codes of all rotations (rows of bytes) and the chunk in each table."""
-        x = units
-        signs = np.concatenate([x @ r >= 0 for r in self.rotations], 1)
-        d = x.shape[1]
-        weights = 1 << np.arange(self.chunk, dtype=np.int64)
-        chunks = [
-            signs[:, k * d + c * self.chunk : k * d + (c + 1) * self.chunk] @ weights
-            for k in range(len(self.rotations))
-            for c in range(self.per_code)
-        ]
+        signs = np.concatenate([units @ r >= 0 for r in self.rotations], 1)
         packed = np.packbits(signs, axis=1)
         pad = -packed.shape[1] % 8
-        return np.pad(packed, ((0, 0), (0, pad))), np.stack(chunks, 1)
+        return np.pad(packed, ((0, 0), (0, pad))), self._chunks(signs)
 
+    def _chunks(self, signs: np.ndarray) -> np.ndarray:
+        n, used = len(signs), self.per_code * self.chunk
+        own = signs.reshape(n, len(self.rotations), -1)[:, :, :used].reshape(n, self.tables, self.chunk)
+        return own @ (1 << np.arange(self.chunk, dtype=np.int64))
+
+    def chunks_of(self, codes: np.ndarray) -> np.ndarray:
+        """The chunks that packed codes hold."""
+        return self._chunks(np.unpackbits(codes, axis=1, count=self.bits).astype(bool))
+
+
+class Models:
+    """Codes by length of vectors: those fitted, and others made from the numbers of vectors when first asked for."""
+
+    def __init__(self, fitted: dict[int, Codes], n_vectors: int, threshold: float, recall: float):
+        self.known, self.rest = dict(fitted), (n_vectors, threshold, recall)
+
+    def __getitem__(self, d: int) -> Codes:
+        if d not in self.known:
+            self.known[d] = Codes(np.zeros((0, d)), *self.rest)
+        return self.known[d]
+
+
+def _key_batches(shared, with_code: bool):
+    """Classes in; out come a row for each class and table: key, d, rep, and the code."""
 
-def _code_batches(shared):
     def run(batches):
-        for batch in batches:
-            models = shared.value
-            rep, unit, weight = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            packed: list = [None] * len(rep)
-            chunks: list = [None] * len(rep)
-            keys: list = [None] * len(rep)
+        models = shared.value
+        for batch in sliced(batches, 256):
+            reps, units = batch.column(0).to_numpy(), batch.column(1)
             by_length: dict[int, list[int]] = {}
-            for k, u in enumerate(unit):
+            for k, u in enumerate(units.to_pylist()):
                 by_length.setdefault(len(u) // 8, []).append(k)
             for d, own in by_length.items():
-                codes, parts = models[d].encode(np.stack([np.frombuffer(unit[k]) for k in own]))
-                tagged = (parts | (np.arange(parts.shape[1]) << MAX_CHUNK)) ^ (d << 44)
-                for k, code, part, tag in zip(own, codes, parts, tagged):
-                    packed[k], chunks[k], keys[k] = code.tobytes(), part.astype("<i4").tobytes(), tag.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), weight, pa.array(packed, pa.binary()), pa.array(chunks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["rep", "unit", "weight", "code", "chunks", "keys"],
-            )
+                model = models[d]
+                codes, chunks = model.encode(np.frombuffer(b"".join(units.take(pa.array(own)).to_pylist())).reshape(len(own), d))
+                # table and chunk take 44 bits at most, the length what is left
+                keys = (chunks | (np.arange(model.tables, dtype=np.int64) << MAX_CHUNK)) ^ (d << 44)
+                columns = [pa.array(keys.ravel()), pa.array(np.full(keys.size, d, np.int32)), pa.array(np.repeat(reps[own], model.tables))]
+                if with_code:
+                    own_codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                    columns.append(own_codes.take(pa.array(np.repeat(np.arange(len(own)), model.tables))))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "d", "rep", "code"][: len(columns)])
 
     return run
 
@@ -221,16 +244,20 @@ def _member_batches(shared):
         for group in sorted_groups(batches, 3):
             key, part, other = (group.column(c)[0].as_py() for c in range(3))
             rep = group.column(3).to_numpy()
+            if len(rep) < 2:
+                continue
             length = group.column(5)[0].as_py()
             model = models[length]
             codes = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(len(rep), -1)
-            chunks = np.frombuffer(b"".join(group.column(7).to_pylist()), "<i4").reshape(len(rep), -1)
             side = None if part == other else group.column(4).to_numpy()
             has = np.zeros(len(rep), bool)
+            chunks, table = None, _table_of(key, length)
             for i, j in _near_codes(codes, side, model.max_share * model.bits):
-                first = _first_here(chunks, i, j, _table_of(key, length))
-                has[i[first]] = True
-                has[j[first]] = True
+                if len(i):
+                    chunks = model.chunks_of(codes) if chunks is None else chunks
+                    first = _first_here(chunks, i, j, table)
+                    has[i[first]] = True
+                    has[j[first]] = True
             n = int(has.sum())
             if n:
                 yield pa.RecordBatch.from_arrays(
@@ -241,30 +268,39 @@ def _member_batches(shared):
     return run
 
 
-def _link_batches(threshold: float):
+def _link_batches(shared, threshold: float):
     """Sorted buckets of vectors in; out come links for each member, and a star for each local component."""
 
     def run(batches):
+        models = shared.value
         for group in sorted_groups(batches, 3):
             key, part, other = (group.column(c)[0].as_py() for c in range(3))
             rep, side, weight = (group.column(c).to_numpy() for c in (3, 4, 6))
             units = np.frombuffer(b"".join(group.column(5).to_pylist())).reshape(len(rep), -1)
-            chunks = np.frombuffer(b"".join(group.column(7).to_pylist()), "<i4").reshape(len(rep), -1)
+            chunks = models[units.shape[1]].encode(units)[1]
             table = _table_of(key, units.shape[1])
-            linked = units @ units.T >= threshold
-            np.fill_diagonal(linked, False)
-            if part != other:
-                linked &= side[:, None] != side[None, :]
-            for t in range(table):
-                linked &= chunks[:, None, t] != chunks[None, :, t]
-            links = linked @ weight
+            links, src, dst = np.zeros(len(rep), np.int64), [], []
+            for at in range(0, len(rep), BLOCK):
+                own = slice(at, at + BLOCK)
+                linked = units[own] @ units.T >= threshold
+                linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+                if part != other:
+                    linked &= side[own, None] != side[None, :]
+                for t in range(table):
+                    linked &= chunks[own, None, t] != chunks[None, :, t]
+                links[own] = linked @ weight
+                i, j = np.nonzero(linked)
+                src.append(i + at)
+                dst.append(j)
+            i, j = np.concatenate(src), np.concatenate(dst)
             label = rep.copy()
-            while True:
-                low = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+            while len(i):
+                low = label.copy()
+                np.minimum.at(low, i, label[j])
                 if (low == label).all():
                     break
                 label = low
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(label), pa.array(links.astype(np.int64))], names=["rep", "label", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(label), pa.array(links)], names=["rep", "label", "links"])
 
     return run
 
@@ -279,32 +315,32 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
         "units",
     )
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit"))
-    reps = stored(classes, "classes")
-    # a class is known by its hash; its number in what follows is its own, for vec_id may repeat
-    reps = reps.withColumn("node", F.conv(F.substring("cls", 1, 15), 16, 10).cast("long"))
-    models = {}
-    for r in reps.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).collect():
+    # a class is known by its hash of 128 bits; in what follows by a number of its own, given as the table is written (vec_id may repeat)
+    reps = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sizes = reps.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n"))
+    fitted = {}
+    for r in sizes.orderBy(F.desc("n"), "d").limit(LENGTHS).collect():
         own = reps.where(F.octet_length("unit") == r.d * 8).orderBy("cls").limit(fit_vectors).select("unit").collect()
-        models[r.d] = Codes(np.stack([np.frombuffer(x.unit) for x in own]), r.n, threshold, recall)
-    shared = spark.sparkContext.broadcast(models)
-    coded = stored(
-        reps.select(F.col("node").alias("rep"), "unit", "weight")
-        .mapInArrow(_code_batches(shared), "rep long, unit binary, weight long, code binary, chunks binary, keys array<long>"),
-        "coded",
+        fitted[r.d] = Codes(np.stack([np.frombuffer(x.unit) for x in own]), r.n, threshold, recall)
+    shared = spark.sparkContext.broadcast(Models(fitted, reps.count() if fitted else 0, threshold, recall))
+    units = reps.select(F.col("node").alias("rep"), "unit")
+    # into how many parts a bucket is dealt is read from one vector in COUNTED, by hash; it decides cost only, never what is compared
+    counted = units.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).mapInArrow(_key_batches(shared, False), "key long, d int, rep long")
+    large = stored(
+        counted.groupBy("key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large"
     )
-    members = coded.select("rep", (F.octet_length("unit") / 8).cast("int").alias("d"), "code", "chunks", F.explode("keys").alias("key"))
-    sizes = coded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    split = members.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    members = units.mapInArrow(_key_batches(shared, True), "key long, d int, rep long, code binary")
+    split = members.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
     blocks = split.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", F.least("side", "b").cast("int").alias("part"), F.greatest("side", "b").cast("int").alias("other"), "rep", "side", "d", "code", "chunks"
+        "key", F.least("side", "b").cast("int").alias("part"), F.greatest("side", "b").cast("int").alias("other"), "rep", "side", "d", "code"
     )
     grouped = lambda df: df.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other", "rep")
     found = grouped(blocks).mapInArrow(_member_batches(shared), "key long, part int, other int, rep long, side int")
-    vectors = coded.select("rep", "unit", "weight", "chunks")
+    vectors = reps.select(F.col("node").alias("rep"), "unit", "weight")
     links = stored(
-        grouped(found.join(vectors, "rep").select("key", "part", "other", "rep", "side", "unit", "weight", "chunks"))
-        .mapInArrow(_link_batches(threshold), "rep long, label long, links long"),
+        grouped(found.join(vectors, "rep").select("key", "part", "other", "rep", "side", "unit", "weight"))
+        .mapInArrow(_link_batches(shared, threshold), "rep long, label long, links long"),
         "links",
     )
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -313,11 +349,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
         reps.select("cls", "node", "rep", "weight")
         .join(counts.withColumnRenamed("rep", "node"), "node", "left")
         .join(components, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
     )
     nodes = stored(nodes, "nodes")
-    smallest = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = nodes.join(smallest, "component").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    smallest = stored(nodes.where("component is not null").groupBy("component").agg(F.min("rep").alias("low")), "smallest")
+    by_class = stored(nodes.join(smallest, "component", "left").select(
+        "cls", F.coalesce("low", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    ), "by_class")
     out = rows.select("vec_id", "cls").join(by_class, "cls", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
