@@ -61,7 +61,7 @@ SKETCH_BITS = 19
 COMMON = 200
 GROUPS = 256
 LEAF = 16
-PART = 256
+PART = 128
 #: A count of 255 or more is kept as 255 and read as this: no bound is lost.
 _MANY = 10_000_000
 _CHUNKS = 32
