@@ -1,21 +1,33 @@
 """Main text of web pages, with site templates removed.
 
 Each page is parsed once into blocks (the text of block elements, in page
-order), and every element's subtree is hashed. Spark counts, for each host,
-the pages in which a subtree recurs; subtrees that recur in many pages of
-their host are its template and are deleted. Many is a share of a small host's
-pages, and ENOUGH_PAGES on a large one, whose sections may have templates of
-their own (pages without a host are no site, so there the share alone decides).
+order), and every element's subtree is hashed, twice: its content (element and
+text) and its shape (element, class, id, role and the shapes below it, without
+text). Spark counts, for each host, the pages in which a subtree recurs, and
+subtrees that recur in many pages of their host are its template and are
+deleted, before anything else is decided:
+
+* content that recurs outside an article, on MIN_SHARE of the host's pages or,
+  on a large host whose sections may have templates of their own, on
+  ENOUGH_PAGES of them (pages without a host are no site, so there the share
+  alone decides); inside an article only on nearly all pages (PROSE_SHARE of at
+  least PROSE_PAGES), since articles of a site may quote the same passage;
+* shapes that recur on SHAPE_SHARE of the pages next to an article and never in
+  one: navigation, adverts and footers whose text differs from page to page.
+  They are then deleted on the host's pages that have no article element, too.
+
 Copies of one page count once, so an article that a site publishes often does
-not become a template; and inside an article element paragraphs and headings
-are never taken for one.
+not become a template.
 
-Markup says the rest: the article or main element, where there is one, bounds
-the text, and elements that are by name, role or class a menu, header, footer,
-sidebar, notice, advert, form, script, style or comment are left out.
+Where the host has too few pages to tell, and for what is in an article on few
+pages, markup says the rest: the article or main element, where there is one,
+bounds the text, and elements that are by name, role or class a menu, header,
+footer, sidebar, notice, advert, form, script, style or comment are left out.
 
 A hot host is no hot key: subtrees are counted by (host, hash) with partial
-sums, and a page meets its deletions by a key of its own.
+sums. Page counts, templates and each page's deletions are written before they
+are joined, so that a join has a plain table on both sides: a small one is
+broadcast, a large one is split where pages are equal.
 
 Nulls: a null html gives an empty text; a null url has the host "". Repeated
 rows each give a row. A page in which all is template gives an empty text. An
@@ -39,6 +51,13 @@ MIN_PAGES = 5
 MIN_SHARE = 0.2
 #: So many pages of a host are enough, whatever their share of it.
 ENOUGH_PAGES = 200
+#: Inside an article only what nearly every page has is a template.
+PROSE_PAGES, PROSE_SHARE = 20, 0.8
+SHAPE_SHARE = 0.5
+#: A shape is none of a template if it is in an article on more than this share of the pages that have it outside.
+SHAPE_INSIDE = 0.01
+#: What is counted: content, content of an article's paragraphs, and shapes next to an article, in one, and where there is none.
+CONTENT, PROSE, BESIDE, INSIDE, OTHER = range(5)
 
 #: Element names as HTML defines them.
 BLOCK = frozenset(
@@ -63,6 +82,8 @@ OUTER_TAGS, OUTER_WORDS = frozenset(["header"]), frozenset(["header", "alert"])
 #: A class that begins so says what a container has or is, not what it is for (has-sidebar, long-form).
 _STATES = frozenset("has with without no is not long short".split())
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dd dt figcaption article main tr table tbody ul ol dl".split())
+#: Without attributes and blocks below them these say nothing by their shape.
+_PLAIN = KEPT_IN_ARTICLE | frozenset(["div", "section"])
 _WHOLE = frozenset(["html", "body", "article", "main"])
 #: A start tag closes an open element of these names, unless a bound stands between.
 _SIBLINGS = {
@@ -81,6 +102,17 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _hash(text: str) -> int:
+    mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
+def _marks(attributes: str) -> str:
+    """Class, id and role of an element, numbers in them aside."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+    return "|".join(re.sub(r"\d+", "0", " ".join(sorted(found[n].split()))) for n in ("class", "id", "role") if n in found)
+
+
 def left_out(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is, by its name or its attributes, no article text."""
     if tag in OUT_TAGS or (tag in OUTER_TAGS and not in_article):
@@ -103,16 +135,19 @@ class Page:
     """Blocks and subtrees of a page.
 
     blocks: (text, left out by the markup, inside an article); subtrees: (hash,
-    first block, end, may be deleted) of each block element with text.
+    first block, end, kind) of the content of each block element with text;
+    shapes: the same of its shape, of those outside an article that hold none.
     """
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, bool, bool]] = []
-        self.subtrees: list[tuple[int, int, int, bool]] = []
+        self.subtrees: list[tuple[int, int, int, int]] = []
+        self.shapes: list[tuple[int, int, int, int]] = []
         self._text: list[str] = []
-        # open elements: tag, block or left out?, left out so far, in an article, first block
-        self._open: list[tuple[str, bool, bool, bool, int]] = []
+        # open elements: tag, block or left out?, left out so far, in an article, first block, what marks its shape, shapes below
+        self._open: list[tuple[str, bool, bool, bool, int, str, list[int]]] = []
         self._parse((html or "").replace("\x00", ""))
+        self.has_article = any(inside and not out for _, out, inside in self.blocks)
 
     def _flush(self) -> None:
         if self._text:
@@ -123,13 +158,20 @@ class Page:
             self._text = []
 
     def _pop(self) -> None:
-        tag, block, out, in_article, first = self._open[-1]
+        tag, block, _, in_article, first, marks, below = self._open[-1]
         if block:
             self._flush()
-            if len(self.blocks) > first and tag not in ("html", "body"):
+            end = len(self.blocks)
+            if end > first and tag not in ("html", "body"):
+                prose = in_article and tag in KEPT_IN_ARTICLE
                 held = "\n".join(b[0] for b in self.blocks[first:])
-                mark = xxhash.xxh3_64_intdigest(f"{tag}\n{held}".encode("utf-8", "surrogatepass"))
-                self.subtrees.append((mark - (1 << 64) if mark >> 63 else mark, first, len(self.blocks), not (in_article and tag in KEPT_IN_ARTICLE)))
+                self.subtrees.append((_hash(f"{'prose' if prose else 'content'} {tag}\n{held}"), first, end, PROSE if prose else CONTENT))
+                shape = _hash(f"{tag}|{marks}|{below}")
+                if (marks or below or tag not in _PLAIN) and (in_article or not any(b[2] for b in self.blocks[first:end])):
+                    self.shapes.append((shape, first, end, INSIDE if in_article else BESIDE))
+                over = self._open[-2][6] if len(self._open) > 1 else []
+                if not over or over[-1] != shape:  # however many of a kind follow each other
+                    over.append(shape)
         self._open.pop()
 
     def _close_to(self, tags, bounds) -> None:
@@ -154,12 +196,12 @@ class Page:
             self._flush()
         if tag in VOID:
             return
-        _, _, out, in_article, _ = self._open[-1] if self._open else ("", True, False, False, 0)
+        _, _, out, in_article, *_ = self._open[-1] if self._open else ("", True, False, False)
         own = left_out(tag, attributes, in_article)
         if own and not out:
             self._flush()
         in_article = in_article or (tag in ("article", "main") and not out and not own)
-        self._open.append((tag, block or (own and not out), out or own, in_article, len(self.blocks)))
+        self._open.append((tag, block or (own and not out), out or own, in_article, len(self.blocks), _marks(attributes) if attributes else "", []))
 
     def _end(self, tag: str) -> None:
         if tag == "br":
@@ -201,14 +243,31 @@ class Page:
             self._pop()
         self._flush()
 
+    def deleted(self, template: frozenset[int] | set[int]) -> set[int]:
+        """The blocks of subtrees whose hashes are in template."""
+        gone: set[int] = set()
+        for mark, first, end, _ in self.subtrees:
+            if mark in template:
+                gone.update(range(first, end))
+        for mark, first, end, kind in self.shapes:
+            if kind != INSIDE and mark in template:
+                gone.update(range(first, end))
+        return gone
+
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text, without subtrees whose hashes are in template."""
-        gone = set()
-        for mark, first, end, free in self.subtrees:
-            if free and mark in template:
-                gone.update(range(first, end))
-        main = any(inside and not out for _, out, inside in self.blocks)
-        return "\n".join(t for k, (t, out, inside) in enumerate(self.blocks) if not out and k not in gone and (inside or not main))
+        return self.text_and_deleted(template)[0]
+
+    def text_and_deleted(self, template: frozenset[int] | set[int]) -> tuple[str, int]:
+        """The main text, and the code points of the blocks that the template took away."""
+        gone = self.deleted(template) if template else set()
+        kept = (t for k, (t, out, inside) in enumerate(self.blocks) if not out and k not in gone and (inside or not self.has_article))
+        return "\n".join(kept), sum(len(self.blocks[k][0]) for k in gone)
+
+    def marks(self) -> set[tuple[int, int]]:
+        """(hash, kind) of all that is counted."""
+        beside = BESIDE if self.has_article else OTHER
+        return {(m, kind) for m, _, _, kind in self.subtrees} | {(m, INSIDE if kind == INSIDE else beside) for m, _, _, kind in self.shapes}
 
     def signature(self) -> int:
         """Of all text, so that copies of a page count once."""
@@ -217,23 +276,31 @@ class Page:
 
 def _subtree_batches(batches):
     for batch in sliced(batches):
-        key, host, sig, mark = [], [], [], []
+        key, host, sig, mark, kinds = [], [], [], [], []
         for k, h, html in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(html)
-            own = sorted({m for m, _, _, free in page.subtrees if free})
+            own = sorted(page.marks())
             key += [k] * len(own)
             host += [h] * len(own)
             sig += [page.signature()] * len(own)
-            mark += own
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(host, pa.string()), pa.array(sig, pa.int64()), pa.array(mark, pa.int64())], names=["key", "host", "sig", "mark"])
+            mark += [m for m, _ in own]
+            kinds += [kind for _, kind in own]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.int64()), pa.array(host, pa.string()), pa.array(sig, pa.int64()), pa.array(mark, pa.int64()), pa.array(kinds, pa.int8())],
+            names=["key", "host", "sig", "mark", "kind"],
+        )
 
 
 def _text_batches(batches):
     for batch in sliced(batches):
         ids, urls, html, gone = (c.to_pylist() for c in batch.columns)
-        texts = [Page(h).text(set(g or ())) for h, g in zip(html, gone)]
+        done = [Page(h).text_and_deleted(set(g or ())) for h, g in zip(html, gone)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"]
+            [
+                batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()),
+                pa.array(np.array([len(t) for t, _ in done], np.int64)), pa.array(np.array([n for _, n in done], np.int64)),
+            ],
+            names=["page_id", "url", "text", "n_chars", "template_chars"],
         )
 
 
@@ -245,29 +312,32 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """A row for each page and distinct subtree: key, host, sig, mark."""
-    return keyed(pages).select("key", "host", "html").mapInArrow(_subtree_batches, "key long, host string, sig long, mark long")
+    """A row for each page and distinct subtree: key, host, sig, mark, kind."""
+    return keyed(pages).select("key", "host", "html").mapInArrow(_subtree_batches, "key long, host string, sig long, mark long, kind byte")
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
-    """(host, mark) of subtrees in at least min_pages pages of different content and min_share of such pages of the host, or enough_pages of them."""
-    different = found.select("host", "mark", "sig").distinct()
-    counts = different.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages = found.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    enough = F.when(F.col("host") != "", F.col("n") >= enough_pages).otherwise(False)
-    return counts.join(pages, "host").where((F.col("n") >= min_share * F.col("pages")) | enough).select("host", "mark")
+    """(host, mark) of subtrees that recur in enough pages of different content of the host; see the module's text."""
+    different = found.select("host", "mark", "kind", "sig").distinct()
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    counts = different.groupBy("host", "mark").agg(n(CONTENT).alias("content"), n(PROSE).alias("prose"), n(BESIDE).alias("beside"), n(INSIDE).alias("inside"))
+    counts = counts.where(F.greatest("content", "prose", "beside") >= min_pages)
+    pages = stored(found.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("pages")), "pages")
+    enough = F.when(F.col("host") != "", F.col("content") >= enough_pages).otherwise(False)
+    content = (F.col("content") >= min_pages) & ((F.col("content") >= min_share * F.col("pages")) | enough)
+    prose = (F.col("prose") >= PROSE_PAGES) & (F.col("prose") >= PROSE_SHARE * F.col("pages"))
+    shape = (F.col("beside") >= min_pages) & (F.col("beside") >= SHAPE_SHARE * F.col("pages")) & (F.col("inside") <= SHAPE_INSIDE * F.col("beside"))
+    return counts.join(pages, "host").where(content | prose | (F.col("host") != "") & shape).select("host", "mark")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page, and template_chars: code points of blocks that the site's template took away."""
     found = stored(subtrees(pages), "subtrees")
-    gone = (
-        found.join(templates(found, min_pages, min_share), ["host", "mark"])
-        .groupBy("key").agg(F.collect_set("mark").alias("gone"))
-    )
+    known = stored(templates(found, min_pages, min_share), "templates")
+    gone = stored(found.where(F.col("kind") != INSIDE).join(known, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")), "gone")
     return (
         keyed(pages).join(gone, "key", "left").select("page_id", "url", "html", "gone")
-        .mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")
+        .mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long, template_chars long")
     )
 
 

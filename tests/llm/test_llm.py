@@ -344,10 +344,38 @@ def test_site_templates_go_and_articles_stay(spark):
 def test_templates_of_a_section_go_on_a_large_host(spark):
     """A notice on enough pages goes though it is on few of the host's; one on fewer than that stays."""
     rows = [(k, f"http://a.example/{k}", f"<body><p>Page {k}</p>{'<div>Notice to all</div>' * (k < 210)}{'<div>Said often</div>' * (300 <= k < 340)}</body>") for k in range(1300)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()}
     assert got == {k: f"Page {k}" + "\nSaid often" * (300 <= k < 340) for k in range(1300)}
 
 
+def test_templates_without_telling_tags(spark):
+    """Boilerplate that no element name, class or role gives away: by content, also within main, and by shape where its text differs."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(60):
+        x, y = (f"<p>{prose(rng, rng.randrange(5, 30))}</p>" * rng.randrange(1, 4) for _ in "xy")
+        quoted = "<p>A line that many articles quote.</p>" * (k % 3 == 0)
+        top = f"<div class=q7><div><a href=/x>{prose(rng, 3)}</a></div><div><a href=/y>{prose(rng, 2)}</a></div></div>"
+        body = f"<main><h1>Title {k}</h1>{x}{quoted}<p>Told by the site of a.</p><div class=z1>Same words always</div></main>"
+        # some pages of the host have no main element; there only the template tells
+        bare = f"<div class=w><h1>Title {k}</h1>{y}</div>"
+        rows.append((k, f"http://a.example/{k}", f"<body>{top}{bare if k >= 50 else body}<div class=q9>Written by {prose(rng, 2)}</div></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.extract(frame).collect()}
+    for k, _, page in rows:
+        wanted = [re.sub("<[^>]*>", "", b) for b in re.findall("<h1>.*?</h1>|<p>.*?</p>", page)]
+        assert got[k].text == "\n".join(b for b in wanted if not b.startswith("Told")), k
+        assert got[k].template_chars > 0
+
+
+def test_templates_change_real_pages(spark):
+    """On hosts with pages enough the template is found and taken away."""
+    got = registry.QUERIES["op4_site_template_text"](spark, SF.replace("0.001", "0.1")).collect()
+    share = sum(r.template_chars > 0 for r in got) / len(got)
+    print(f"template removal changes {share:.3f} of {len(got)} pages")
+    assert share > 0.5
+
+
 def test_pages_by_plain_rules(spark):
     """The test pages' text is the text of their article's blocks."""
     from html import unescape
