@@ -149,13 +149,15 @@ class _Reader:
         self.conv_id, self.n, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str) -> None:
+    def add(self, formatted: str, start: int, end: int, in_loss: bool) -> None:
+        """A formatted turn, and the span of it that the loss mask names."""
         for role, text, _, _ in parse(formatted):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode("utf-8", "surrogatepass"))
+        if in_loss:
+            text = unescape(formatted[start:end])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode("utf-8", "surrogatepass"))
         self.chars += len(formatted)
 
     def row(self):
@@ -172,12 +174,12 @@ def _read_batches(batches):
     """Sorted turns in, a row for each conversation out; holds one turn and two digests at a time."""
     now, rows = None, []
     for batch in batches:
-        for conv, formatted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for conv, *turn in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if now is None or conv != now.conv_id:
                 if now is not None:
                     rows.append(now.row())
                 now = _Reader(conv)
-            now.add(formatted)
+            now.add(*turn)
         if len(rows) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
             rows = []
@@ -187,18 +189,28 @@ def _read_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
 
 
+def _part(start, length):
+    """A part of the formatted turn as it was before it was escaped."""
+    return F.regexp_replace(F.substr(F.col("formatted"), start, length), r"\\(\\|###|</turn>|:|\n)", "$1")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests for each conversation, from nothing but its formatted turns in order.
+    """Digests for each conversation, from its formatted turns in order and their loss mask.
 
-    A digest runs over a conversation from its first turn to its last, so one
-    task must pass over it; it streams, and the sort before it spills.
+    Turns are parsed from the formatted text alone; what counts for the loss is
+    the span that body_start, body_end and in_loss name. Ties in turn go by the
+    role and text that the formatted turn holds. A digest runs over a
+    conversation from its first turn to its last, so one task must pass over
+    it; it streams, and the sort before it spills.
     """
     n = partitions(formatted.sparkSession)
+    role = _part(F.lit(len(OPEN) + 1), (F.col("body_start") - len(OPEN) - len(MIDDLE)).cast("int"))
+    text = _part((F.col("body_start") + 1).cast("int"), (F.col("body_end") - F.col("body_start")).cast("int"))
     return (
-        formatted.select("conv_id", "turn", "formatted")
+        formatted.select("conv_id", "turn", "formatted", "body_start", "body_end", "in_loss")
         .repartition(n, "conv_id")
-        .sortWithinPartitions("conv_id", "turn", "formatted")
-        .select("conv_id", "formatted")
+        .sortWithinPartitions(F.col("conv_id"), F.col("turn"), role, text)
+        .select("conv_id", "formatted", "body_start", "body_end", "in_loss")
         .mapInArrow(_read_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     )
 

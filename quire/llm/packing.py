@@ -112,6 +112,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.id_type = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -131,15 +132,15 @@ class Pieces:
         return data.replace(b".", b" . ").replace(b",", b" , ")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.id_type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
         """Words of letters are encoded many as one text, which is cut after their last pieces; other parts one by one."""
         words = [w for w in parts if w.isalpha()]
         for at in range(0, len(words), 200):
             own = words[at : at + 200]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u2")
-            cuts = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.id_type)
+            cuts = (self.id_type.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(own):
                 data = ids.tobytes()
                 self.known.update(zip(own, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
@@ -172,8 +173,8 @@ class Pieces:
         chosen, group = kernels.equal_groups(kernels.span_hashes(data, starts, ends, kernels.CASED_VALUES))
         raw = data.tobytes()
         found = self._look_up([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())])
-        flat = np.frombuffer(b"".join(found), "<u2")
-        lengths = np.array([len(f) // 2 for f in found])
+        flat = np.frombuffer(b"".join(found), self.id_type)
+        lengths = np.array([len(f) // self.id_type.itemsize for f in found])
         first = np.cumsum(lengths) - lengths
         n = lengths[group]
         before = np.cumsum(n) - n

@@ -1,19 +1,27 @@
 """Sharding by fixed virtual slots.
 
-Every record is hashed into one of n_slots slots, for good. A slot-to-shard
-map, kept as a table with a version, says where a slot lives; only the map is
-edited when shards are added or loads drift, so a record moves only if its
-slot does. Law: `bytes`, the shards' sizes are as equal as the slots allow.
+Every record is hashed by its doc_id into one of n_slots slots, for good. A
+slot-to-shard map, kept as a table with a version, says where a slot lives;
+only the map is edited when shards are added or loads drift, so a record moves
+only if its slot does: the newest map is loaded, rebalanced for the loads as
+they are now, and written as the next version if that moved a slot. Law:
+`bytes`, the shards' sizes are as equal as the slots allow.
+
+A version is one folder, written aside and renamed when it is whole; versions
+are never changed, and a version that is there already is an error.
 
 The driver sees one row for each slot (n_slots at most, whatever the input).
+Places are counted in LANES lanes of a slot, so a doc_id that a third of all
+rows repeat is no task of its own.
 
 Nulls: a null text is empty; rows with a null doc_id are spread by their text.
-Equal rows share a slot and each keeps a place of its own. An empty table
-gives no rows. Columns besides doc_id and text are not read.
+Equal doc_ids share a slot and each row keeps a place of its own. An empty
+table gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import uuid
 
@@ -23,8 +31,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import shared_dir, stored
 
 N_SLOTS = 8192
+LANES = 32
 ROW_BYTES = 16
-MAP_SCHEMA = "version int, slot int, shard int"
+MAP_SCHEMA = "slot int, shard int"
 
 
 def assign(slot_bytes: list[int], n_shards: int) -> list[int]:
@@ -76,28 +85,67 @@ def rebalance(shard_of: list[int], slot_bytes: list[int], n_shards: int, toleran
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's view of a folder: its file system and path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of the map at path, oldest first."""
+    files, at = _folder(spark, path)
+    if not files.exists(at):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    return sorted(int(n[len("version=") :]) for n in names if n.startswith("version="))
+
+
 def save_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
-    """Append a version of the map to the table at path."""
-    rows = [(version, slot, shard) for slot, shard in enumerate(shard_of)]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    """Add a version of the map at path: written aside, then renamed as a whole."""
+    files, at = _folder(spark, path)
+    whole = spark._jvm.org.apache.hadoop.fs.Path(at, f"version={version}")
+    if files.exists(whole):
+        raise ValueError(f"version {version} of the map at {path} is there already")
+    aside = spark._jvm.org.apache.hadoop.fs.Path(at, f".written-{uuid.uuid4().hex}")
+    spark.createDataFrame(list(enumerate(shard_of)), MAP_SCHEMA).coalesce(1).write.parquet(aside.toString())
+    if not files.rename(aside, whole):
+        raise ValueError(f"version {version} of the map at {path} was not written")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The map's rows (slot, shard) of a version, the newest if none is named."""
-    rows = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
-        version = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == version).select("slot", "shard")
+        version = versions(spark, path)[-1]
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
+
+
+def current_map(spark: SparkSession, path: str, size: list[int], n_shards: int, tolerance: float = 0.0) -> tuple[int, list[int]]:
+    """The version in force and its map, for slots of these sizes: the newest one, edited and saved as the next version if it needs to be."""
+    known = versions(spark, path)
+    if not known:
+        shard_of = assign(size, n_shards)
+        save_map(spark, path, 1, shard_of)
+        return 1, shard_of
+    before = [r.shard for r in load_map(spark, path, known[-1]).orderBy("slot").collect()]
+    if len(before) != len(size):
+        raise ValueError(f"the map at {path} has {len(before)} slots, not {len(size)}")
+    after = rebalance(before, size, n_shards, tolerance)
+    if after == before:
+        return known[-1], before
+    save_map(spark, path, known[-1] + 1, after)
+    return known[-1] + 1, after
 
 
 def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, virtual_slot)."""
+    """Rows (doc_id, size, text_crc32, virtual_slot, lane). The slot is the doc_id's, whatever its text becomes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+    )
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
+    return rows.withColumn("virtual_slot", F.pmod(mark, F.lit(n_slots)).cast("int")).withColumn("lane", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int"))
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -109,39 +157,43 @@ def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list
 
 
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Put all rows into n_shards shards by a new map, stored as version 1 at map_path.
+    """Put all rows into n_shards shards by the map at map_path: the newest version, edited for these loads.
 
-    Returns doc_id, size, text_crc32, virtual_slot, shard and slot: the row's
-    place in its shard, gapless from 0. Places are counted within a virtual
-    slot and then moved by what the shard's earlier slots hold, so no task
-    ever holds a shard.
+    Returns doc_id, size, text_crc32, virtual_slot, map_version, shard and
+    slot: the row's place in its shard, gapless from 0. Places are counted
+    within a lane of a virtual slot and then moved by what earlier lanes and the
+    shard's earlier slots hold, so no task ever holds a shard or a hot slot.
     """
     spark = docs.sparkSession
     rows = stored(slotted(docs, n_slots), "slotted")
     size, count = slot_loads(rows, n_slots)
-    shard_of = assign(size, n_shards)
     map_path = map_path or f"{shared_dir(spark)}/quire-slot-map-{uuid.uuid4().hex}"
-    save_map(spark, map_path, 1, shard_of)
+    version, shard_of = current_map(spark, map_path, size, n_shards)
     held = [0] * n_shards
     before = []
     for slot in range(n_slots):
-        before.append((slot, held[shard_of[slot]]))
+        before.append((slot, shard_of[slot], held[shard_of[slot]]))
         held[shard_of[slot]] += count[slot]
-    places = load_map(spark, map_path, 1).join(
-        F.broadcast(spark.createDataFrame(before, "slot int, base long")), "slot"
-    ).withColumnRenamed("slot", "virtual_slot")
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    places = F.broadcast(spark.createDataFrame(before, "virtual_slot int, shard int, base long"))
+    earlier = Window.partitionBy("virtual_slot").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = rows.groupBy("virtual_slot", "lane").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("virtual_slot", "lane", "start")
+    within = Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("rank", F.row_number().over(within).cast("long"))
-        .join(F.broadcast(places), "virtual_slot")
-        .select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
+        .join(F.broadcast(lanes), ["virtual_slot", "lane"])
+        .join(places, "virtual_slot")
+        .select(
+            "doc_id", "size", "text_crc32", "virtual_slot", F.lit(version).alias("map_version"), "shard",
+            (F.col("base") + F.col("start") + F.col("rank") - 1).alias("slot"),
+        )
     )
 
 
 def op2_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 39; law `bytes`."""
-    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+    """All documents into shards 0 to 39; law `bytes`. The table's map is kept with the shared folder and edited by later runs."""
+    path = f"{shared_dir(spark)}/quire-slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:24]}"
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40, map_path=path)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )

@@ -7,8 +7,10 @@ go on when the next byte has no edge) and the number of pieces that are final
 on taking it. Only counts are kept; no piece is ever built.
 
 A word is a run of non-space. Its first piece must be one that starts a word,
-the others pieces that don't; every single byte is a piece, so every word has
-pieces. Counts of words are remembered by each worker, up to a bound.
+the others pieces that don't. A byte that the vocabulary has no piece for
+counts as one, and so does a word's leading space where nothing longer starts
+with it, so every word has pieces. Counts of words are remembered by each
+worker, up to a bound.
 
 Nulls: a null text is empty and has no tokens; a null doc_id is kept. Repeated
 rows are counted each. An empty table gives no rows. Columns besides doc_id
@@ -38,11 +40,12 @@ def byte_letters() -> dict[str, int]:
 
 
 def read_vocabulary(path: str) -> set[bytes]:
-    """The pieces of a byte-level vocabulary, as bytes; pieces that start a word begin with a space."""
+    """The pieces of a byte-level vocabulary, as bytes; pieces that start a word begin with a space. Special tokens are no pieces of texts."""
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
-        pieces = json.load(f)["model"]["vocab"]
-    return {bytes(letters[c] for c in p) for p in pieces if all(c in letters for c in p)}
+        whole = json.load(f)
+    special = {t["content"] for t in whole.get("added_tokens") or () if t.get("special")}
+    return {bytes(letters[c] for c in p) for p in whole["model"]["vocab"] if p not in special and all(c in letters for c in p)}
 
 
 class LongestMatch:
@@ -56,7 +59,8 @@ class LongestMatch:
         self.popped: list[int] = [0, 0]
         final = [False, False]
         order: list[tuple[int, int, int]] = []
-        for piece in sorted(p for p in vocabulary if b" " not in p[1:] and p):
+        single = {bytes([b]) for b in range(256)}
+        for piece in sorted(p for p in vocabulary | single if b" " not in p[1:] and p):
             at = 0 if piece[:1] == b" " else self.INNER
             for byte in piece:
                 to = self.edges.get(at << 8 | byte)
@@ -97,15 +101,11 @@ class LongestMatch:
             while to is None:
                 total += popped[node]
                 node = fail[node]
-                if node < 0:
-                    raise ValueError(f"no pieces for {word!r}")
                 to = edges.get(node << 8 | byte)
             node = to
         while node != self.INNER:
             total += popped[node]
             node = fail[node]
-            if node < 0:
-                raise ValueError(f"no pieces for {word!r}")
         return total
 
 

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import chat, common, decontaminate, embedding_dedup, html, jaccard_join, kernels, licenses, packing, quality, registry, sharding, tokencount
@@ -244,6 +245,33 @@ def test_maps_have_versions_and_move_little(spark, tmp_path):
         sharding.save_map(spark, path, v, m)
     assert [r.shard for r in sharding.load_map(spark, path, 1).orderBy("slot").collect()] == first
     assert [r.shard for r in sharding.load_map(spark, path).orderBy("slot").collect()] == second
+    with pytest.raises(ValueError):
+        sharding.save_map(spark, path, 2, first)
+    assert sharding.versions(spark, path) == [1, 2] and sharding.versions(spark, path + "x") == []
+
+
+def test_a_map_is_loaded_and_edited(spark, tmp_path):
+    """The same rows move nothing; grown rows and one more shard move few slots, as a next version; an edited text stays in its slot."""
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randrange(2000)) for k in range(1500)]
+    path = str(tmp_path / "map")
+    run = lambda own, n: {r.doc_id: r for r in sharding.shard(docs_frame(spark, own), n, 512, path).collect()}
+    first, again = run(rows, 8), run(rows, 8)
+    assert {r.map_version for r in [*first.values(), *again.values()]} == {1} and {k: (r.shard, r.slot) for k, r in first.items()} == {k: (r.shard, r.slot) for k, r in again.items()}
+    more = run([*rows, *((2000 + k, "y" * 900) for k in range(300))], 9)
+    assert {r.map_version for r in more.values()} == {2} and sharding.versions(spark, path) == [1, 2]
+    assert sum(more[k].shard != first[k].shard for k in first) < len(first) / 4
+    edited = run([(k, t + "!") for k, t in rows], 9)
+    assert all(edited[k].virtual_slot == first[k].virtual_slot for k in first)
+    for got, n in ((first, 8), (more, 9), (edited, 9)):
+        check_shards(list(got.values()), n)
+
+
+def test_a_hot_id_keeps_places_of_its_own(spark):
+    rows = sharding.shard(docs_frame(spark, [(1, "same")] * 900 + [(k, "t" * k) for k in range(100)]), 5).collect()
+    assert len(rows) == 1000
+    for shard in range(5):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
 # --- 3 packing --------------------------------------------------------------------
@@ -468,6 +496,14 @@ def test_automaton_is_greedy_longest_match(inner, first, word):
     assert tokencount.LongestMatch(vocabulary).count(b" " + word.encode()) == greedy(word, vocabulary)
 
 
+def test_a_vocabulary_without_some_bytes(tmp_path):
+    match = tokencount.LongestMatch({b"a", b"ab", b" a"})
+    assert [match.count(w) for w in (b" a", b" ab", b" ba", b" zz", b" a\xff")] == [1, 2, 3, 3, 2]
+    path = tmp_path / "v.json"
+    path.write_text('{"added_tokens": [{"content": "<s>", "special": true}, {"content": "b", "special": false}], "model": {"vocab": {"<s>": 0, "b": 1, "Ġa": 2}}}', encoding="utf-8")
+    assert tokencount.read_vocabulary(str(path)) == {b"b", b" a"}
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     vocabulary = tokencount.read_vocabulary(path)
@@ -697,6 +733,25 @@ def test_conversations(spark):
         assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_ties_go_by_role_and_text(spark):
+    """By what was said, not by how it is escaped."""
+    texts = ["#### z", "$ y", "\\### a", "### a", "</turn>", "<a"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, r, "x") for r in ("a:b", "a b", "###", "$")]
+    got = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    said = "".join(f"{r}\n{t}\n" for r, t in sorted((r, t) for _, _, r, t in rows))
+    assert got.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_the_loss_is_what_the_mask_names(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "tell ### me"), (1, 2, "assistant", "more")]
+    done = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    right = chat.read_back(done).first()
+    assert (right.loss_chars, right.loss_sha256) == (15, hashlib.sha256(b"tell ### memore").hexdigest())
+    shifted = chat.read_back(done.withColumn("body_end", F.col("body_end") - 1)).first()
+    swapped = chat.read_back(done.withColumn("in_loss", ~F.col("in_loss"))).first()
+    assert shifted.loss_chars == 13 and swapped.loss_chars == 3 and shifted.turns_sha256 == swapped.turns_sha256 == right.turns_sha256
+
+
 def test_chat_edges(spark):
     rows = [(None, 1, "user", "x"), (None, None, None, None), (1, 0, "assistant", None), (1, 0, "assistant", None), (2, 5, "a: b\n###", "t" * 200_000)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
