@@ -25,9 +25,11 @@ bounds the text, and elements that are by name, role or class a menu, header,
 footer, sidebar, notice, advert, form, script, style or comment are left out.
 
 A hot host is no hot key: subtrees are counted by (host, hash) with partial
-sums. Page counts, templates and each page's deletions are written before they
-are joined, so that a join has a plain table on both sides: a small one is
-broadcast, a large one is split where pages are equal.
+sums. Up to BROADCAST templates (they grow with the hosts, not with the pages;
+16 MB at most) go to all tasks, and pages are not shuffled. More of them are
+joined to the pages' subtrees, and each page to its deletions; page counts,
+templates and deletions are written before, so that a join has a plain table on
+both sides and is split where a host is hot or pages are equal.
 
 Nulls: a null html gives an empty text; a null url has the host "". Repeated
 rows each give a row. A page in which all is template gives an empty text. An
@@ -54,6 +56,7 @@ ENOUGH_PAGES = 200
 #: Inside an article only what nearly every page has is a template.
 PROSE_PAGES, PROSE_SHARE = 20, 0.8
 SHAPE_SHARE = 0.5
+BROADCAST = 1_000_000
 #: A shape is none of a template if it is in an article on more than this share of the pages that have it outside.
 SHAPE_INSIDE = 0.01
 #: What is counted: content, content of an article's paragraphs, and shapes next to an article, in one, and where there is none.
@@ -291,17 +294,29 @@ def _subtree_batches(batches):
         )
 
 
-def _text_batches(batches):
-    for batch in sliced(batches):
-        ids, urls, html, gone = (c.to_pylist() for c in batch.columns)
-        done = [Page(h).text_and_deleted(set(g or ())) for h, g in zip(html, gone)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()),
-                pa.array(np.array([len(t) for t, _ in done], np.int64)), pa.array(np.array([n for _, n in done], np.int64)),
-            ],
-            names=["page_id", "url", "text", "n_chars", "template_chars"],
-        )
+def _text_batches(shared):
+    """Pages with the hashes of their template, or with their host if the templates of hosts are shared."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            done = []
+            for html, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                page = Page(html)
+                if shared is not None:
+                    known = shared.value.get(own)
+                    marks = [] if known is None else [m for m, kind in page.marks() if kind != INSIDE]
+                    at = np.minimum(np.searchsorted(known, marks), len(known) - 1) if marks else []
+                    own = [m for m, k in zip(marks, at) if known[k] == m]
+                done.append(page.text_and_deleted(set(own or ())))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()),
+                    pa.array(np.array([len(t) for t, _ in done], np.int64)), pa.array(np.array([n for _, n in done], np.int64)),
+                ],
+                names=["page_id", "url", "text", "n_chars", "template_chars"],
+            )
+
+    return run
 
 
 def keyed(pages: DataFrame) -> DataFrame:
@@ -330,15 +345,24 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     return counts.join(pages, "host").where(content | prose | (F.col("host") != "") & shape).select("host", "mark")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def by_host(known: DataFrame) -> dict[str, np.ndarray]:
+    """Sorted template hashes of each host."""
+    rows = known.toArrow().sort_by([("host", "ascending"), ("mark", "ascending")])
+    host, mark = rows.column("host").to_pylist(), rows.column("mark").to_numpy()
+    first = [k for k in range(len(host)) if not k or host[k] != host[k - 1]]
+    return {host[a]: mark[a:b].copy() for a, b in zip(first, [*first[1:], len(host)])}
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text and n_chars of every page, and template_chars: code points of blocks that the site's template took away."""
+    schema = "page_id long, url string, text string, n_chars long, template_chars long"
     found = stored(subtrees(pages), "subtrees")
     known = stored(templates(found, min_pages, min_share), "templates")
+    if known.count() <= broadcast:
+        shared = pages.sparkSession.sparkContext.broadcast(by_host(known))
+        return keyed(pages).select("page_id", "url", "html", "host").mapInArrow(_text_batches(shared), schema)
     gone = stored(found.where(F.col("kind") != INSIDE).join(known, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")), "gone")
-    return (
-        keyed(pages).join(gone, "key", "left").select("page_id", "url", "html", "gone")
-        .mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long, template_chars long")
-    )
+    return keyed(pages).join(gone, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(_text_batches(None), schema)
 
 
 def op4_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:

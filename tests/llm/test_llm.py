@@ -359,6 +359,7 @@ def test_site_templates_go_and_articles_stay(spark):
     rows += [(1000 + k, f"http://a.example/c{k}", copied) for k in range(40)] + [(2000, None, None), (2000, None, None), (2001, "http://c.example", "<p>Terms of a</p>")]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
     got = html.extract(frame).collect()
+    assert sorted(map(str, got)) == sorted(map(str, html.extract(frame, broadcast=0).collect()))
     assert len(got) == len(rows)
     for r in got:
         assert r.n_chars == len(r.text)
@@ -390,6 +391,7 @@ def test_templates_without_telling_tags(spark):
         rows.append((k, f"http://a.example/{k}", f"<body>{top}{bare if k >= 50 else body}<div class=q9>Written by {prose(rng, 2)}</div></body>"))
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in html.extract(frame).collect()}
+    assert got == {r.page_id: r for r in html.extract(frame, broadcast=0).collect()}
     for k, _, page in rows:
         wanted = [re.sub("<[^>]*>", "", b) for b in re.findall("<h1>.*?</h1>|<p>.*?</p>", page)]
         assert got[k].text == "\n".join(b for b in wanted if not b.startswith("Told")), k
