@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, decontaminate, embedding_dedup, html, jaccard_join, licenses, packing, quality, sharding, tokencount
+from quire.llm import chat, decontaminate, embedding_dedup, html, jaccard_join, licenses, oracles, packing, quality, sharding, tokencount
 
 QUERIES = {
     "op1_bm25_decontamination": decontaminate.op1_bm25_decontamination,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_grammar_chat": chat.op9_grammar_chat,
     "op10_itq_near_dedup": embedding_dedup.op10_itq_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

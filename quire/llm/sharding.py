@@ -180,7 +180,7 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path:
     within = Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("rank", F.row_number().over(within).cast("long"))
-        .join(F.broadcast(lanes), ["virtual_slot", "lane"])
+        .join(lanes, ["virtual_slot", "lane"])
         .join(places, "virtual_slot")
         .select(
             "doc_id", "size", "text_crc32", "virtual_slot", F.lit(version).alias("map_version"), "shard",

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import chat, common, decontaminate, embedding_dedup, html, jaccard_join, kernels, licenses, packing, quality, registry, sharding, tokencount
+from quire.llm import chat, common, decontaminate, embedding_dedup, html, jaccard_join, kernels, licenses, oracles, packing, quality, registry, sharding, tokencount
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -34,6 +35,37 @@ def docs_frame(spark, rows, extra=""):
 EDGE = [(1, None), (2, ""), (3, "one"), (None, "some text with a few words"), (4, "same text here now"), (4, "same text here now"), (5, "word " * 30_000), (6, " \n\t "), (7, "Ünï code — 文字")]
 
 
+# --- SQL ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = con.sql(oracles.ORACLES[name])
+    columns = sorted(d[0] for d in found.description)
+    want = [tuple(r[[d[0] for d in found.description].index(c)] for c in columns) for r in found.fetchall()]
+    frame = registry.QUERIES[name](spark, SF)
+    assert sorted(frame.columns) == columns
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted((tuple(r) for r in frame.select(*columns).collect()), key=key) == sorted(want, key=key)
+
+
+def test_license_sql_reads_passages(spark):
+    """The SQL for licenses on texts that hold passages, too."""
+    rng = random.Random(5)
+    rows = [(k, f"{prose(rng, 9)} {p} {prose(rng, 5)} {p.upper() if k % 2 else ''}") for k, (p, _) in enumerate(licenses.PASSAGES + licenses.TEXTS)]
+    rows += [(100 + k, " ".join(w for w in p.split() if rng.random() > 0.04)) for k, (p, _) in enumerate(licenses.PASSAGES + licenses.TEXTS)] + [(200, None), (201, "of this software and " * 9)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r for r in con.sql(oracles.LICENSES).fetchall()}
+    got = {r.doc_id: tuple(r) for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(got[k][:-1] == want[k][:-1] and abs(got[k][-1] - want[k][-1]) < 1e-12 for k in got)
+    assert sum(r[6] != r[5] for r in got.values()) > 15
+
+
 # --- kernels ----------------------------------------------------------------
 
 
@@ -430,6 +462,39 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 80 and np.mean([a == b for a, b in held]) > 0.95
 
 
+def features_by_hand(text):
+    """The classifier's features of a text, in plain Python."""
+    data = text.encode()
+    words = [w.encode() for w in re.split("[\x20\t-\r]+", text) if w]
+    lines = [x for x in data.split(b"\n") if x]
+    count = lambda chars: sum(b in chars for b in data)
+    upper, lower, n = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz"), len(words)
+    if not data:
+        return [0.0] * len(quality.FEATURES)
+    out = [np.log1p(len(data)), upper / (upper + lower) if upper + lower else 0]
+    out += [count(c) / max(n, 1) for c in (b"#$%&*@^~=+<>{}[]\\", b"!?", b"|", b"0123456789", b".,;:")]
+    out += [(upper + lower) / len(data), sum(b > 127 for b in data) / len(data), count(b"\n") / max(n, 1)]
+    pairs = list(zip(words, words[1:]))
+    out += [sum(map(len, words)) / n if n else 0, len(set(words)) / n if n else 0, sum(a == b for a, b in pairs) / (n - 1) if n > 1 else 0]
+    out += [len(set(pairs)) / (n - 1) if n > 1 else 0, max(collections.Counter(words).values()) / n if n else 0, 1 - len(set(lines)) / len(lines) if lines else 0]
+    return out + ([sum(len(w) > 12 for w in words) / n, sum(len(w) <= 3 for w in words) / n] if n else [0, 0])
+
+
+def test_the_documents_scores_by_hand(spark):
+    """The registered query on its whole table: features in plain Python, and one entry of each table added up."""
+    docs, labels = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in registry.QUERIES["op5_additive_quality"](spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = features_by_hand(r.text or "")
+        place = lambda v, cuts: sum(c <= v + 1e-12 for c in cuts)
+        total = model.base + sum(t[place(v, c)] for v, c, t in zip(x, model.cuts, model.tables))
+        total += sum(t[place(x[i], a), place(x[j], b)] for i, j, a, b, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("quality", (1 - labels.quality)).where(quality.held_out(labels.doc_id)).unionByName(labels.where(~quality.held_out(labels.doc_id)))
@@ -872,7 +937,7 @@ def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     kept, frames = dict(rows), docs
     model = quality.train(docs, common.table(spark, SF, "labels"))
-    index = list(decontaminate.index_parts(common.table(spark, SF, "benchmark")))
+    items = [tuple(r) for r in common.table(spark, SF, "benchmark").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES:
         frames = common.stored(stage(spark, frames, SF), name)
         if name == "quality":
@@ -881,7 +946,9 @@ def test_pipeline_stages(spark):
             keep = {c for _, _, c in brute_components(list(kept.items()))}
             kept = {k: t for k, t in kept.items() if k in keep}
         elif name == "decontamination":
-            kept = {k: t for k, t in kept.items() if not any(i.leaks(t.encode()) for i in index)}
+            leaked = {d for d, _ in leaks_by_hand(list(kept.items()), items)}
+            assert leaked
+            kept = {k: t for k, t in kept.items() if k not in leaked}
         if name != names[-1]:
             assert frames.columns == docs.columns
             assert {r.doc_id: r.text for r in frames.collect()} == kept
@@ -889,6 +956,36 @@ def test_pipeline_stages(spark):
     check_packing(frames.collect(), list(kept.items()))
 
 
+def pipeline_tables(spark, folder, docs):
+    """A folder of the pipeline's tables with documents of one's own, which have columns that clash with the stages' names."""
+    rows = [(d, t, "en", "s", len(t or ""), 0.5, "k", 7) for d, t in docs]
+    spark.createDataFrame(rows, DOCS + ", score double, kept string, mark int").write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        common.table(spark, SF, t).write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns: every stage keeps what it is to keep."""
+    known = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").collect()]
+    odd = [(None, known[0][1]), (None, None), (9001, None), (9001, ""), (9002, known[0][1]), (9002, known[1][1] + " changed at its very end"), (9003, " ".join(t for _, t in known)), (9003, " ".join(t for _, t in known))]
+    folder = pipeline_tables(spark, tmp_path / "a", known + odd)
+    frame = docs = common.table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = collections.Counter((r.doc_id, r.text) for r in frame.collect())
+        frame = common.stored(stage(spark, frame, folder), name)
+        assert frame.schema.names == docs.schema.names
+        after = collections.Counter((r.doc_id, r.text) for r in frame.collect())
+        assert not after - before
+        if name == "near_duplicates":
+            check_one_of_each_group(list(after.elements()), list(before.elements()))
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in frame.collect()}
+    empty = pipeline_tables(spark, tmp_path / "b", [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 MIXED = st.lists(st.sampled_from(["the", "The", "they're", "don't", "IT'S", "x²", "½", "a1b2", "...", ".,", "?!", "***", "_", "snake_case", "É", "straße", "×", "İ", "Σας", "é", "文字", "“q”", " ", "\n", "\x1c", "\x85", " ", ".", ",", "ab.cd", "<|endoftext|>", "<|", "ǅ", "K"]), max_size=14)
 
 
