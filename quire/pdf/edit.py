@@ -135,6 +135,23 @@ def delete_annotation(e: Editor, page: int, index: int) -> None:
     del own[index]
 
 
+def add_field(e: Editor, page: int, name: str, kind: str, rect: list[float], value: str | None = None, options: list[str] | None = None, flags: int = 0) -> Ref:
+    """A new form field with its widget on a page. kind: text, checkbox, combo or list; a checkbox's value is the name of its on state, or None."""
+    d = annotation("Widget", rect) | {"T": text_string(name), "FT": Name({"text": "Tx", "checkbox": "Btn"}.get(kind, "Ch"))}
+    d["Ff"] = flags | (1 << 17 if kind == "combo" else 0)
+    if kind == "checkbox":
+        d |= {"V": Name(value or "Off"), "AS": Name(value or "Off"), "AP": {"N": {"Yes": None, "Off": None}}}
+    elif value is not None:
+        d["V"] = text_string(value)
+    if options is not None:
+        d["Opt"] = [text_string(o) for o in options]
+    ref = add_annotation(e, page, d)
+    catalog = _catalog(e)
+    form = dict(_direct(e, catalog.get("AcroForm")) or {})
+    catalog["AcroForm"] = form | {"Fields": [*(_direct(e, form.get("Fields")) or []), ref]}
+    return ref
+
+
 def add_embedded_file(e: Editor, name: str, data: bytes, mime: str = "application/octet-stream", description: str | None = None) -> Ref:
     body = e.add(Stream({"Type": Name("EmbeddedFile"), "Subtype": Name(mime), "Filter": Name("FlateDecode"), "Params": {"Size": len(data), "CheckSum": hashlib.md5(data).digest()}}, filters.flate_encode(data)))
     spec = {"Type": Name("Filespec"), "F": text_string(name), "UF": text_string(name), "EF": {"F": body}} | ({"Desc": text_string(description)} if description else {})

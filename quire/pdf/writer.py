@@ -246,8 +246,13 @@ class Editor:
         return ref
 
     def reorder(self, order: list[int]) -> None:
-        """Pages by index; indices out of range are dropped and may repeat."""
-        self.set_kids([self.kids[k] for k in order if 0 <= k < len(self.kids)])
+        """Pages by index; indices out of range are dropped. One that repeats is copied, for a page stands once in the tree."""
+        kids, used = [], set()
+        for k in (k for k in order if 0 <= k < len(self.kids)):
+            ref = self.kids[k]
+            kids.append(self.add(dict(self.objects[ref.num])) if ref.num in used else ref)
+            used.add(ref.num)
+        self.set_kids(kids)
 
     def rotate(self, index: int, degrees: int) -> None:
         n = self.kids[index].num

@@ -11,12 +11,29 @@ _OWN: dict[str, str] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the folder of spark.checkpoint.dir (one of our own only where none is set) and read it again."""
+    """Write df into the folder of spark.checkpoint.dir and read it again; where none is set and all runs on this machine, into one of our own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="quire-")}) or _OWN[app]
     path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of less than this for each core are dealt out anew by spread.
+SMALL_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before work on whole files, if it is so small that its scan has fewer tasks than there are cores.
+
+    A file of one row group is one task however it is split. Large tables have
+    tasks enough and stay as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < SMALL_BYTES * cores else df

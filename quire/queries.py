@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import barcode, geometry, text
 from quire.operators import glyphs, objects, pages, search
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from quire.queries_base import ORACLES, QUERIES, query, spread  # noqa: F401
+from quire.queries_base import table as _table
 
 #: The wrap of plain text as SQL: one step of the recursion takes one line off what is left.
 _WRAP = """
@@ -53,7 +34,7 @@ SELECT d.doc_id, count(p.k) AS n_lines, CAST(greatest(ceil(count(p.k) / 54.0), 1
 FROM documents d LEFT JOIN pieces p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
 def doc_page_count(spark, sf_dir):
     """Lines and pages of every document as plain text."""
-    return pages.page_counts(_table(spark, sf_dir, "documents"), "doc_id")
+    return pages.page_counts(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 _SEARCH_PAGES = _WRAP + """
@@ -66,7 +47,7 @@ FROM paged GROUP BY lang"""
 @query(_SEARCH_PAGES)
 def page_search_by_lang(spark, sf_dir):
     """Paginate all documents, search the pages, and report hits for each language."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where("text <> ''")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where("text <> ''"))
     paged = pages.paginate(docs).select("lang", F.array_join("lines", "\n").alias("text"))
     n = search.count_hits(F.col("text"), "tion")
     return paged.groupBy("lang").agg(F.count("*").alias("n_pages"), F.count(F.when(n > 0, 1)).alias("pages_with_hits"), F.sum(n).alias("hits"))
@@ -386,7 +367,7 @@ def word_islands(spark, sf_dir):
 def _written(spark, sf_dir):
     from quire.sources import write
 
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", write.text_to_pdf(F.col("text"), F.col("source")).alias("content"))
 
 
@@ -431,7 +412,7 @@ def pdf_merge_turns(spark, sf_dir):
     """Every turn as a document, and each conversation's documents merged into one."""
     from quire.sources import pdf, write
 
-    t = _table(spark, sf_dir, "conversations")
+    t = spread(_table(spark, sf_dir, "conversations"))
     files = t.select("conv_id", "turn", write.text_to_pdf(F.col("text")).alias("content"))
     parsed = pdf.parse(write.merge(files, F.col("conv_id"), "turn"), key="target", parts=["raw"])
     return parsed.select(F.col("target").cast("long").alias("conv_id"), F.md5(_glyph_text()).alias("digest"))
@@ -451,24 +432,4 @@ def pdf_encrypt_decrypt(spark, sf_dir):
     return open_.select("row.item_id", "row.encrypted", "row.locked", F.md5(_glyph_text()).alias("digest"))
 
 
-@query("SELECT page_id, 'ok' AS status, md5(regexp_replace(regexp_replace(html, '[^a-zA-Z]+', '', 'g'), '\\s+', '', 'g')) AS digest FROM pages")
-def office_roundtrip(spark, sf_dir):
-    """The pages' letters as one paragraph each of a word processor's file, and read again."""
-    from quire.sources import documents
-
-    @F.pandas_udf("binary")
-    def packed(texts):
-        import io
-        import zipfile
-
-        def one(t):
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as z:
-                z.writestr("word/document.xml", f"<d xmlns:w='w'><w:p><w:r><w:t>{t}</w:t></w:r></w:p></d>")
-            return out.getvalue()
-
-        return texts.map(one)
-
-    files = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("Docx").alias("format"), packed(F.regexp_replace("html", "[^a-zA-Z]+", "")).alias("content"))
-    rows = documents.parse(files)
-    return rows.select(F.col("doc_id").cast("long").alias("page_id"), "status", F.md5(F.col("pages")[0]["text"]).alias("digest"))
+from quire import queries_documents  # noqa: E402, F401  (registers its own)
