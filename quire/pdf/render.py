@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 
-from quire.pdf import content
+from quire.pdf import content, filters
 from quire.pdf.content import IDENTITY, apply, concat
 from quire.pdf.functions import Function
 from quire.pdf.structure import components
@@ -155,6 +155,32 @@ def tiles(cmds: list[dict], box, size: float) -> dict[tuple[int, int], list[int]
     return out
 
 
+def _jpeg_pixels(data: bytes, transform) -> np.ndarray | None:
+    from quire.pdf import jpeg
+
+    try:
+        p = jpeg.decode(data, transform if isinstance(transform, int) else None)
+    except (PdfError, IndexError, ValueError, struct.error):
+        return None
+    if p.shape[2] == 4:
+        p = 255 - np.minimum(255, p[:, :, :3].astype(int) + p[:, :, 3:])
+    return np.repeat(p, 3, axis=2) if p.shape[2] == 1 else p.astype(np.uint8)
+
+
+def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Pixels at another size, each the mean of the area that it covers."""
+
+    def weights(n, m):
+        edges = np.linspace(0, n, m + 1)
+        k = np.arange(n)
+        own = np.clip(np.minimum(edges[1:, None], k + 1) - np.maximum(edges[:-1, None], k), 0, None)
+        return own / own.sum(1, keepdims=True)
+
+    rows, columns = weights(pixels.shape[0], height), weights(pixels.shape[1], width)
+    out = np.einsum("ij,jkc->ikc", rows, pixels.astype(float), optimize=True)
+    return np.clip(np.round(np.einsum("lk,ikc->ilc", columns, out, optimize=True)), 0, 255).astype(np.uint8)
+
+
 def image_pixels(doc, s: Stream) -> np.ndarray | None:
     """Rows of RGB; None for what is coded in a way that is not read."""
     d = s.dict
@@ -162,7 +188,10 @@ def image_pixels(doc, s: Stream) -> np.ndarray | None:
     w, h, bits = get("Width", "W"), get("Height", "H"), get("BitsPerComponent", "BPC") or 8
     space = get("ColorSpace", "CS")
     n = components(doc, space) if space is not None else 1
+    names = [name for name, _ in filters.chain(d, doc.resolve)]
     try:
+        if names and names[-1] in ("DCTDecode", "DCT"):
+            return _jpeg_pixels(filters.decode(s.raw, d, doc.resolve), (doc.get(d, "DecodeParms", dict) or {}).get("ColorTransform"))
         raw = np.frombuffer(doc.decoded(s), np.uint8)
     except PdfError:
         return None
