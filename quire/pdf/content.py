@@ -79,6 +79,8 @@ class TextMachine:
         self.ctm = self.tm = self.line = IDENTITY
         self.state = {"font": "", "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "rise": 0.0}
         self.stack = []
+        #: (font, code, matrix from the em to the page) of each glyph, if a list is put here
+        self.marks: list | None = None
         self._shown: dict[tuple, dict[int, tuple[str, float, float]]] = {}
 
     def _glyph(self, font: Font | None, code: int) -> tuple[str, float, float]:
@@ -104,6 +106,8 @@ class TextMachine:
             if glyph is None:
                 glyph = known[code] = self._glyph(font, code)
             text, width, step = glyph
+            if self.marks is not None:
+                self.marks.append((font, code, (size * tz * a, size * tz * b, size * c, size * d, x + at * a, y + at * b)))
             if text:
                 chars.append((text, x + at * a, y + at * b, high, name, width))
             at += step

@@ -126,7 +126,7 @@ class Font:
     """A font resource: code width in bytes, text of a code, width of a code."""
 
     def __init__(self, doc, d: dict):
-        self.doc = doc
+        self.doc, self.dict = doc, d
         self.subtype = str(doc.get(d, "Subtype") or "Type1")
         self.base = str(doc.get(d, "BaseFont") or "")
         self.plain = self.base.split("+")[-1]
@@ -141,11 +141,12 @@ class Font:
         encoding = doc.get(d, "Encoding")
         self.encoding = str(encoding) if isinstance(encoding, Name) else str(doc.get(encoding, "BaseEncoding") or "") if isinstance(encoding, dict) else ""
         self.differences: dict[int, str] = {}
+        self.names: dict[int, str] = {}
         at = 0
         for x in (doc.get(encoding, "Differences", list) or []) if isinstance(encoding, dict) else []:
             x = doc.resolve(x)
             if isinstance(x, Name):
-                self.differences[at] = glyph_text(x)
+                self.differences[at], self.names[at] = glyph_text(x), str(x)
                 at += 1
             elif isinstance(x, (int, float)):
                 at = int(x)

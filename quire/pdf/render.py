@@ -16,6 +16,7 @@ import numpy as np
 from quire.pdf import content, filters
 from quire.pdf.content import IDENTITY, apply, concat
 from quire.pdf.functions import Function
+from quire.pdf.glyphs import program_of
 from quire.pdf.structure import components
 from quire.pdf.syntax import PdfError, Stream
 
@@ -59,7 +60,7 @@ def _box(points):
 
 def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit: int) -> None:
     machine = content.TextMachine(content.fonts_of(doc, resources))
-    machine.ctm = ctm
+    machine.ctm, machine.marks, programs = ctm, [], {}
     objects = doc.get(resources, "XObject", dict) or {}
     stack, paths, at, clipping = [], [], (0.0, 0.0), None
     state = dict(state)
@@ -124,11 +125,39 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
                 own = [float(doc.resolve(v)) for v in doc.get(s, "Matrix", list) or IDENTITY]
                 _run(doc, doc.decoded(s), doc.get(s, "Resources", dict) or resources, concat(tuple(own), machine.ctm), state, out, limit - 1)
         before = len(machine.chars)
+        machine.marks.clear()
         machine.step(op, args)
+        for font, code, matrix in machine.marks:
+            if font is not None and font.subtype == "Type3" and limit:
+                _type3(doc, font, code, matrix, resources, state, out, limit)
         if len(machine.chars) > before:
+            paths_of = _outlines(doc, machine.marks, programs)
             own = machine.chars[before:]
             x0, y0, size = own[0][1], own[0][2], own[0][3]
-            put(kind="text", text="".join(c[0] for c in own), x=x0, y=y0, size=size, font=own[0][4], fill=state["fill"], box=[x0, y0 - 0.2 * size, own[-1][1] + own[-1][5], y0 + 0.8 * size])
+            put(kind="text", text="".join(c[0] for c in own), x=x0, y=y0, size=size, font=own[0][4], fill=state["fill"], paths=paths_of, box=[x0, y0 - 0.2 * size, own[-1][1] + own[-1][5], y0 + 0.8 * size])
+
+
+def _outlines(doc, marks, programs: dict) -> list | None:
+    """The placed outlines of shown glyphs; None if one of them has no program."""
+    out = []
+    for font, code, matrix in marks:
+        if font is None or font.subtype == "Type3":
+            return [] if font is not None else None
+        if id(font) not in programs:
+            programs[id(font)] = program_of(doc, font, font.dict)
+        program = programs[id(font)]
+        if program is None:
+            return None
+        out += [[(s[0], *(apply(matrix, *p) for p in s[1:])) for s in path] for path in program.outline(code) or ()]
+    return out
+
+
+def _type3(doc, font, code: int, matrix, resources: dict, state: dict, out: list, limit: int) -> None:
+    """A glyph that is a content stream of its own."""
+    proc = doc.get(doc.get(font.dict, "CharProcs", dict) or {}, font.names.get(code, ""))
+    if isinstance(proc, Stream):
+        own = [float(doc.resolve(v)) for v in doc.get(font.dict, "FontMatrix", list) or (0.001, 0, 0, 0.001, 0, 0)]
+        _run(doc, doc.decoded(proc), doc.get(font.dict, "Resources", dict) or resources, concat(tuple(own), matrix), state, out, limit - 1)
 
 
 def bounds(cmds: list[dict]):
@@ -376,6 +405,10 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
                 inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1) & clip
                 rows = ((1 - v[inside]) * pixels.shape[0]).astype(int).clip(0, pixels.shape[0] - 1)
                 paint(inside, pixels[rows, (u[inside] * pixels.shape[1]).astype(int)].astype(float), c["alpha"])
+        elif c["paths"] is not None:
+            flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
+            if flat:
+                paint(_cover(flat, w, h, False) & clip, color(c["fill"]), c["alpha"])
         elif text_bars:
             x0, y0, x1, y1 = _box([apply(m, c["box"][0], c["y"]), apply(m, c["box"][2], c["y"] + 0.5 * c["size"])])
             paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), color(c["fill"]), c["alpha"])

@@ -77,10 +77,13 @@ def to_unicode_cmap(mapping: dict[int, str]) -> bytes:
 
 
 def embed(builder, font: TrueType, name: str, text: str) -> tuple[Ref, callable]:
-    """A Type0 font object for what text needs, and a function from text to its bytes. Glyph numbers are the codes."""
+    """A Type0 font object for what text needs, with the outlines of its glyphs only, and a function from text to its bytes. Glyph numbers are the codes."""
+    from quire.pdf.glyphs import subset
+
     used = {c: font.chars.get(ord(c), 0) for c in sorted(set(text))}
     codes = {g: c for c, g in used.items() if g}
-    program = builder.add(Stream({"Filter": Name("FlateDecode"), "Length1": len(font.data)}, flate_encode(font.data)))
+    data = subset(font, set(codes)) if "glyf" in font.tables and "loca" in font.tables else font.data
+    program = builder.add(Stream({"Filter": Name("FlateDecode"), "Length1": len(data)}, flate_encode(data)))
     descriptor = builder.add({
         "Type": Name("FontDescriptor"), "FontName": Name(name), "Flags": 4, "FontBBox": font.box, "ItalicAngle": 0, "Ascent": font.ascent, "Descent": font.descent,
         "CapHeight": font.ascent, "StemV": 80, "FontFile2": program,
