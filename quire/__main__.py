@@ -47,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     add("encrypt", a("file"), a("out"), a("--user", default=""), a("--owner", required=True), a("--method", default="AES-256"), a("--no-print", action="store_true"), a("--no-copy", action="store_true"))
     add("decrypt", a("file"), a("out"), password)
     add("clean", a("file"), a("out"))
+    add("linearize", a("file"), a("out"))
     add("compress", a("file"), a("out"), a("--preset", default="medium", choices=sorted(writer.PRESETS)))
     add("convert", a("file"), a("out"), a("--dpi", type=float, default=72))
     o = parser.parse_args(argv)
@@ -97,6 +98,10 @@ def main(argv: list[str] | None = None) -> int:
                 e = writer.Editor(open_document(read(o.file)))
                 print(json.dumps(e.clean()))
                 done = e.build()
+            elif o.command == "linearize":
+                from quire.pdf.linearize import linearize
+
+                done = linearize(open_document(read(o.file)))
             else:
                 done, stats = writer.compress(read(o.file), o.preset)
                 print(json.dumps(stats))

@@ -378,6 +378,67 @@ def stream_filters(spark, sf_dir):
     return plain.select("item_id", "filter", F.md5("plain").alias("digest"), small.alias("smaller_or_plain"))
 
 
+@query(f"""
+SELECT conv_id, count(*) AS pages, true AS linearized, count(*) AS hinted_pages, md5(regexp_replace(string_agg(text, '' ORDER BY k), '\\s+', '', 'g')) AS digest FROM ({_TURNS}) GROUP BY conv_id""")
+def pdf_linearized(spark, sf_dir):
+    """Laid out for fast web view: the hints count the pages, and the text is whole."""
+    from quire.pdf import content
+    from quire.pdf.document import Document, hint_tables
+    from quire.pdf.linearize import linearize
+    from quire.pdf.writer import lines_to_pdf
+
+    def build(r):
+        return linearize(Document(lines_to_pdf([page for t in r["turns"] for page in [sum(_wrapped(t["text"]), [])]])))
+
+    @F.pandas_udf("pages long, linearized boolean, hinted_pages long, raw string")
+    def read(files):
+        import pandas as pd
+
+        docs = [Document(bytes(d)) for d in files]
+        return pd.DataFrame([
+            (len(d.pages()), d.linearized, len(hint_tables(d)["pages"]), "".join(c[0] for p in d.pages() for c in content.page_chars(d, p))) for d in docs
+        ], columns=["pages", "linearized", "hinted_pages", "raw"])
+
+    r = _turns(spark, sf_dir).select("conv_id", read(made(build, "turns")).alias("r"))
+    return r.select("conv_id", "r.pages", "r.linearized", "r.hinted_pages", F.md5(F.regexp_replace("r.raw", r"\s+", "")).alias("digest"))
+
+
+@query("""
+SELECT s_suppkey, 1 + s_suppkey % 3 * 50 + 49 AS width, true AS coded_as_jpeg, true AS close FROM supplier""")
+def pdf_image_compression(spark, sf_dir):
+    """Pictures drawn an inch wide, coded again at no more than 150 dots per inch, and close to what they were."""
+    import numpy as np
+
+    from quire.pdf import render, structure, writer
+    from quire.pdf.document import Document
+
+    def picture(n):
+        y, x = np.mgrid[0:n, 0:n]
+        noise = np.random.default_rng(n).integers(-9, 10, (n, n, 3))
+        return (np.stack([128 + 90 * np.sin(x / 25), 128 + 70 * np.cos(y / 25), 90 + (x + y) / 3], 2) + noise).clip(0, 255).astype(np.uint8)
+
+    def build(r):
+        n = 1 + r["s_suppkey"] % 3 * 50 + 49
+        b = writer.Builder()
+        b.page(writer.PageBuilder().image("I", writer.rgb_image(n, n, picture(n).tobytes()), 10, 10, 72, 72))
+        return writer.compress(b.build(), "high")[0]
+
+    @F.pandas_udf("width long, coded_as_jpeg boolean, close boolean")
+    def read(files):
+        import pandas as pd
+
+        rows = []
+        for data in files:
+            doc = Document(bytes(data))
+            (image,) = structure.images(doc)
+            s = next(v for r in doc.refs() if getattr(v := doc.resolve(r), "dict", {}).get("Subtype") == "Image")
+            rows.append((image["width"], image["filter"] == "DCTDecode", bool(np.abs(render.image_pixels(doc, s).astype(int) - picture(image["width"])).mean() < 12)))
+        return pd.DataFrame(rows, columns=["width", "coded_as_jpeg", "close"])
+
+    rows = _supplier_lines(spark, sf_dir).select("s_suppkey", read(made(build, "s_suppkey")).alias("r"))
+    return rows.select("s_suppkey", "r.*")
+
+
 # --- text and layout ---
 
 _LINES = """

@@ -9,6 +9,9 @@ from quire.pdf import writer
 from quire.pdf.document import open_document
 
 
+MERGED_BYTES = 1 << 30
+
+
 def _each(f, kind):
     """A column function that maps values one by one; what fails becomes null."""
 
@@ -62,6 +65,13 @@ def clean(data: Column) -> Column:
     return _each(_edited(lambda e: e.clean()), "binary")(data)
 
 
+def linearize(data: Column) -> Column:
+    """Laid out for fast web view."""
+    from quire.pdf.linearize import linearize as run
+
+    return _each(lambda d: run(open_document(bytes(d))), "binary")(data)
+
+
 def reorder(data: Column, order: list[int]) -> Column:
     return _each(lambda d: writer.extract_pages(open_document(bytes(d)), order), "binary")(data)
 
@@ -85,15 +95,20 @@ def decrypt(data: Column, password: str) -> Column:
 def merge(files: DataFrame, target: Column, order: str, data: str = "content") -> DataFrame:
     """One document from all of the same target, in order: target, content.
 
-    A merged document is one value, so its parts meet in one task; targets are
-    as large as one wants a document to be.
+    A merged document is one value of at most 2 GB, so its parts meet in one
+    task; targets are as large as one wants a document to be. Parts of over
+    MERGED_BYTES together, and such as cannot be read, give a null.
     """
 
     def run(pdf):
         import pandas as pd
 
-        docs = [open_document(bytes(d)) for d in pdf.sort_values("ord")["content"]]
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "content": [writer.merge(docs)]})
+        try:
+            parts = [bytes(d) for d in pdf.sort_values("ord")["content"]]
+            done = writer.merge([open_document(d) for d in parts]) if sum(map(len, parts)) <= MERGED_BYTES else None
+        except Exception:  # noqa: BLE001  (whatever a damaged file makes a reader raise)
+            done = None
+        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "content": pd.Series([done], dtype=object)})
 
     rows = files.select(target.cast("string").alias("target"), F.col(order).alias("ord"), F.col(data).alias("content"))
     return rows.groupBy("target").applyInPandas(run, "target string, content binary")
