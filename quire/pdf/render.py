@@ -49,7 +49,7 @@ _PAINT = {"S": (0, 1, 0), "s": (0, 1, 0), "f": (1, 0, 0), "F": (1, 0, 0), "f*":
 def commands(doc, page: dict, limit: int = 12) -> list[dict]:
     """The draw commands of a page, with those of its form objects."""
     out: list[dict] = []
-    _run(doc, doc.content(page), doc.resolve(page.get("Resources")) or {}, IDENTITY, {"fill": (0, 0, 0), "stroke": (0, 0, 0), "width": 1.0, "clip": (), "ca": 1.0, "CA": 1.0}, out, limit)
+    _run(doc, doc.content(page), doc.resolve(page.get("Resources")) or {}, IDENTITY, {"fill": (0, 0, 0), "stroke": (0, 0, 0), "width": 1.0, "clip": (), "ca": 1.0, "CA": 1.0, "blend": "Normal"}, out, limit)
     return out
 
 
@@ -64,7 +64,7 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
     objects = doc.get(resources, "XObject", dict) or {}
     stack, paths, at, clipping = [], [], (0.0, 0.0), None
     state = dict(state)
-    put = lambda **c: out.append(c | {"clip": state["clip"], "alpha": state["ca"], "stroke_alpha": state["CA"]})
+    put = lambda **c: out.append(c | {"clip": state["clip"], "alpha": state["ca"], "stroke_alpha": state["CA"], "blend": state["blend"]})
     for op, args in content.operations(data):
         nums = [float(a) for a in args if isinstance(a, (int, float)) and not isinstance(a, bool)]
         if op == "q":
@@ -75,6 +75,11 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
             state["width"] = nums[0]
         elif op == "gs" and args:
             own = doc.get(doc.get(resources, "ExtGState"), str(args[0]), dict) or {}
+            modes = doc.resolve(own.get("BM"))
+            for mode in modes if isinstance(modes, list) else [modes]:
+                if str(doc.resolve(mode)) in BLEND:
+                    state["blend"] = str(doc.resolve(mode))
+                    break
             for key in ("ca", "CA"):
                 value = doc.get(own, key, (int, float))
                 state[key] = state[key] if value is None else float(value)
@@ -239,6 +244,39 @@ def image_pixels(doc, s: Stream) -> np.ndarray | None:
     return np.repeat(p, 3, axis=2).astype(np.uint8) if n == 1 else p.astype(np.uint8)
 
 
+def soft_mask(doc, s: Stream) -> np.ndarray | None:
+    """How much of an image shows, from 0 to 1, by its soft mask or its stencil mask; None without one."""
+    for key in ("SMask", "Mask"):
+        mask = doc.resolve(s.dict.get(key))
+        if isinstance(mask, Stream):
+            pixels = image_pixels(doc, mask)
+            if pixels is None:
+                return None
+            shown = pixels[:, :, 0] / 255
+            decode = [float(doc.resolve(v)) for v in doc.get(mask, "Decode", list) or (0, 1)]
+            shown = shown if decode[:1] != [1.0] else 1 - shown
+            return shown if key == "SMask" else 1 - shown
+    return None
+
+
+def _soft_light(b, s):
+    d = np.where(b <= 0.25, ((16 * b - 12) * b + 4) * b, np.sqrt(b))
+    return np.where(s <= 0.5, b - (1 - 2 * s) * b * (1 - b), b + (2 * s - 1) * (d - b))
+
+
+def _hard_light(b, s):
+    return np.where(s <= 0.5, 2 * b * s, 1 - 2 * (1 - b) * (1 - s))
+
+
+#: Separable blend modes: what is below and what is laid over it, from 0 to 1.
+BLEND = {
+    "Normal": lambda b, s: s, "Compatible": lambda b, s: s, "Multiply": lambda b, s: b * s, "Screen": lambda b, s: b + s - b * s, "Overlay": lambda b, s: _hard_light(s, b),
+    "Darken": np.minimum, "Lighten": np.maximum, "HardLight": _hard_light, "SoftLight": _soft_light, "Difference": lambda b, s: abs(b - s), "Exclusion": lambda b, s: b + s - 2 * b * s,
+    "ColorDodge": lambda b, s: np.where(b == 0, 0, np.where(s >= 1, 1, np.minimum(1, b / np.maximum(1 - s, 1e-9)))),
+    "ColorBurn": lambda b, s: np.where(b >= 1, 1, np.where(s <= 0, 0, 1 - np.minimum(1, (1 - b) / np.maximum(s, 1e-9)))),
+}
+
+
 def png(pixels: np.ndarray) -> bytes:
     """RGB rows as a PNG file."""
     h, w = pixels.shape[:2]
@@ -363,12 +401,16 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
     out = np.full((h, w, 3), 255, np.uint8)
     color = lambda c: np.array([255 * min(max(v, 0), 1) for v in c])
 
-    def paint(mask, value, alpha):
-        """Lay a colour (or one for each pixel of the mask) over the picture."""
-        if alpha >= 1:
+    def paint(mask, value, alpha, blend="Normal"):
+        """Lay a colour (or one for each pixel of the mask) over the picture; alpha may be one for each pixel, too."""
+        plain = not isinstance(alpha, np.ndarray) and alpha >= 1
+        if plain and blend in ("Normal", "Compatible"):
             out[mask] = np.round(value)
-        else:
-            out[mask] = np.round(alpha * value + (1 - alpha) * out[mask])
+            return
+        below = out[mask].astype(float)
+        mixed = np.broadcast_to(value, below.shape) if blend in ("Normal", "Compatible") else 255 * np.clip(BLEND[blend](below / 255, np.broadcast_to(value, below.shape) / 255), 0, 1)
+        alpha = alpha[:, None] if isinstance(alpha, np.ndarray) else alpha
+        out[mask] = np.round(alpha * mixed + (1 - alpha) * below)
 
     ys, xs = np.mgrid[0:h, 0:w] + 0.5
     for c in commands(doc, page):
@@ -378,7 +420,7 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
         if c["kind"] == "path":
             flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
             if c["fill"]:
-                paint(_cover(flat, w, h, c["even_odd"]) & clip, color(c["fill"]), c["alpha"])
+                paint(_cover(flat, w, h, c["even_odd"]) & clip, color(c["fill"]), c["alpha"], c["blend"])
             if c["stroke"]:
                 half, mask = max(c["width"] * content.scale_of(m), 1) / 2, np.zeros((h, w), bool)
                 for path, points in zip(c["paths"], flat):
@@ -387,7 +429,7 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
                         n = max(np.hypot(xb - xa, yb - ya), 1e-9)
                         dx, dy = (yb - ya) / n * half, (xa - xb) / n * half
                         mask |= _cover([[(xa + dx, ya + dy), (xb + dx, yb + dy), (xb - dx, yb - dy), (xa - dx, ya - dy)]], w, h, False)
-                paint(mask & clip, color(c["stroke"]), c["stroke_alpha"])
+                paint(mask & clip, color(c["stroke"]), c["stroke_alpha"], c["blend"])
         elif c["kind"] in ("image", "shading"):
             a, b, cc, d, e, f = concat(c["matrix"], m)
             det = a * d - b * cc
@@ -398,20 +440,23 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
                 found = shading_colors(doc, c["shading"], u, v)
                 if found is not None:
                     inside = found[1] & clip
-                    paint(inside, 255 * np.clip(found[0][inside], 0, 1), c["alpha"])
+                    paint(inside, 255 * np.clip(found[0][inside], 0, 1), c["alpha"], c["blend"])
                 continue
             pixels = image_pixels(doc, c["stream"])
             if pixels is not None:
                 inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1) & clip
                 rows = ((1 - v[inside]) * pixels.shape[0]).astype(int).clip(0, pixels.shape[0] - 1)
-                paint(inside, pixels[rows, (u[inside] * pixels.shape[1]).astype(int)].astype(float), c["alpha"])
+                alpha, soft = c["alpha"], soft_mask(doc, c["stream"])
+                if soft is not None:
+                    alpha = alpha * soft[((1 - v[inside]) * soft.shape[0]).astype(int).clip(0, soft.shape[0] - 1), (u[inside] * soft.shape[1]).astype(int)]
+                paint(inside, pixels[rows, (u[inside] * pixels.shape[1]).astype(int)].astype(float), alpha, c["blend"])
         elif c["paths"] is not None:
             flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
             if flat:
-                paint(_cover(flat, w, h, False) & clip, color(c["fill"]), c["alpha"])
+                paint(_cover(flat, w, h, False) & clip, color(c["fill"]), c["alpha"], c["blend"])
         elif text_bars:
             x0, y0, x1, y1 = _box([apply(m, c["box"][0], c["y"]), apply(m, c["box"][2], c["y"] + 0.5 * c["size"])])
-            paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), color(c["fill"]), c["alpha"])
+            paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), color(c["fill"]), c["alpha"], c["blend"])
     return out
 
 

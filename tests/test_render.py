@@ -221,3 +221,31 @@ def test_qr_error_words_against_a_published_example():
     assert qr.error_words([32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17], 10) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
     with pytest.raises(ValueError):
         qr.qr_code("z" * 400)
+
+
+@pytest.mark.parametrize("mode,want", [
+    ("Normal", 0.25), ("Multiply", 0.125), ("Screen", 0.625), ("Overlay", 0.25), ("Darken", 0.25), ("Lighten", 0.5), ("Difference", 0.25), ("Exclusion", 0.5), ("HardLight", 0.25),
+    ("SoftLight", 0.375), ("ColorDodge", 0.6667), ("ColorBurn", 0.0), ("NoSuchMode", 0.25),
+])
+def test_blend_modes(mode, want):
+    """A quarter of gray over a half."""
+    b = writer.Builder()
+    page = writer.PageBuilder(20, 20)
+    page.parts.append(b"0.5 g 0 0 20 20 re f /G gs 0.25 g 0 0 10 20 re f")
+    b.page(page)
+    n = b.kids[0].num
+    b.objects[n] = b.objects[n] | {"Resources": {"ExtGState": {"G": {"BM": Name(mode)}}}}
+    doc = Document(b.build())
+    p = render.to_pixels(doc, doc.pages()[0])
+    assert abs(int(p[10, 5, 0]) - round(255 * want)) <= 1 and abs(int(p[10, 15, 0]) - 128) <= 1
+
+
+def test_soft_masks():
+    b = writer.Builder()
+    soft = b.add(Stream({"Subtype": Name("Image"), "Width": 2, "Height": 1, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8}, b"\x00\x80"))
+    image = writer.rgb_image(1, 1, b"\x00\x00\x00")
+    image.dict["SMask"] = soft
+    b.page(writer.PageBuilder(20, 20).image("I", image, 0, 0, 20, 20))
+    doc = Document(b.build())
+    p = render.to_pixels(doc, doc.pages()[0])
+    assert tuple(p[10, 5]) == (255, 255, 255) and abs(int(p[10, 15, 0]) - 127) <= 1
