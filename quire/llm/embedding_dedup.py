@@ -65,24 +65,33 @@ LENGTHS = 8
 BLOCK = 512
 
 
-def unit_rows(vectors: list) -> list[np.ndarray | None]:
-    """Vectors in double precision with length 1; None where a vector can link with nothing."""
-    out = []
-    for v in vectors:
-        x = None
-        if v is not None and len(v) and not any(c is None for c in v):
-            x = np.array(v, float)
-            big = np.abs(x).max()
-            x = x / big if np.isfinite(big) and big > 0 else None
-            x = None if x is None else x / np.sqrt(x @ x)
-        out.append(x)
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with length 1, and which rows have one."""
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        big = np.abs(x).max(1)
+        good = np.isfinite(big) & (big > 0)
+        x = np.where(good[:, None], x, 1.0) / np.where(good, big, 1.0)[:, None]
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0, good
+
+
+def unit_rows(vectors: pa.Array) -> list[bytes | None]:
+    """Vectors (lists of doubles) in double precision with length 1, as bytes; None where a vector can link with nothing."""
+    out: list[bytes | None] = [None] * len(vectors)
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths[lengths > 0]).astype(int).tolist():
+        at = np.flatnonzero(lengths == d)
+        own = vectors.take(pa.array(at)).flatten()
+        x = own.to_numpy(zero_copy_only=False).reshape(-1, d)
+        units, good = _scaled(x)
+        for k, u, ok in zip(at.tolist(), units, good.tolist()):
+            out[k] = u.tobytes() if ok else None
     return out
 
 
 def _unit_batches(batches):
-    for batch in sliced(batches):
-        ids, units = batch.column(0).to_pylist(), unit_rows(batch.column(1).to_pylist())
-        data = [None if i is None or u is None else (u + 0.0).tobytes() for i, u in zip(ids, units)]
+    for batch in sliced(batches, 2048):
+        ids, data = batch.column(0).to_pylist(), unit_rows(batch.column(1))
+        data = [None if i is None else u for i, u in zip(ids, data)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([None if d is None else xxhash.xxh3_128_hexdigest(d) for d in data], pa.string()), pa.array(data, pa.binary())],
             names=["vec_id", "cls", "unit"],
@@ -309,12 +318,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     """vec_id, n_links, component_id and kept for every row."""
     spark = embeddings.sparkSession
     n_parts = partitions(spark)
-    rows = stored(
-        embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-        .mapInArrow(_unit_batches, "vec_id long, cls string, unit binary"),
-        "units",
+    units = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(
+        _unit_batches, "vec_id long, cls string, unit binary"
     )
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit"))
+    # the vectors themselves are written once, by class; what class a row is of is a table of its own
+    rows = stored(units.select("vec_id", "cls"), "rows")
+    classes = units.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit"))
     # a class is known by its hash of 128 bits; in what follows by a number of its own, given as the table is written (vec_id may repeat)
     reps = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sizes = reps.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n"))
