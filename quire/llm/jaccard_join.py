@@ -182,16 +182,16 @@ def _signature_batches(shared):
 
 
 def _set_batches(shared_marks, shared_common):
-    """Sets, points and signatures of the classes whose marks are set, each once for a task."""
+    """Sets, points and signatures of the rows whose class and doc_id are marked, each class once for a task."""
 
     def run(batches):
         marks, is_common, seen = shared_marks.value, shared_common.value, set()
         for batch in sliced(batches):
             rows = []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 own = kernels.shingle_set(text)
                 c = class_of(own) if len(own) else None
-                if c is not None and c not in seen and marks[_mark(c)]:
+                if c is not None and c not in seen and marks[_row_mark(c, doc_id)]:
                     seen.add(c)
                     rows.append((c, len(own), point(own).tobytes(), np.sort(signature(own, is_common).view(np.int64)).tobytes(), packed(own)))
             cols = list(zip(*rows)) or [[]] * 5
@@ -202,30 +202,40 @@ def _set_batches(shared_marks, shared_common):
     return run
 
 
-def _mark(cls: int) -> int:
-    return (cls >> 17) & ((1 << MARK_BITS) - 1)
+_MASK = (1 << MARK_BITS) - 1
 
 
-def _mark_words(classes: DataFrame) -> DataFrame:
-    """A bit map of fixed size of some classes, in words of 32768 bits; a few other classes share a bit."""
-    place = F.shiftright("cls", 17).bitwiseAND((1 << MARK_BITS) - 1)
+def _row_mark(cls: int, doc_id: int) -> int:
+    return ((cls >> 17) ^ ((doc_id & _MASK) * 40503)) & _MASK
+
+
+def _row_place():
+    return F.shiftright("cls", 17).bitwiseXOR(F.col("own").bitwiseAND(_MASK) * 40503).bitwiseAND(_MASK)
+
+
+def _class_place():
+    return F.shiftright("cls", 17).bitwiseAND(_MASK)
+
+
+def _mark_words(classes: DataFrame, place) -> DataFrame:
+    """A bit map of fixed size of some classes or rows, in words of 32768 bits; a few others share a bit."""
     return classes.select((place / 32768).cast("int").alias("w"), (place % 32768).alias("b")).groupBy("w").agg(F.expr("bitmap_construct_agg(b)").alias("m"))
 
 
-def _marks(classes: DataFrame) -> np.ndarray:
+def _marks(rows: DataFrame) -> np.ndarray:
+    """The bit map of rows (cls, own), 2**MARK_BITS bits."""
     out = np.zeros(((1 << MARK_BITS) // 32768, 32768), bool)
-    for r in _mark_words(classes).collect():
+    for r in _mark_words(rows, _row_place()).collect():
         out[r.w] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
     return out.ravel()
 
 
 def marked(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """The sets of some classes (and of a few others), so that a join moves little else. The bit map, 2**MARK_BITS bits, is broadcast."""
-    place = F.shiftright("cls", 17).bitwiseAND((1 << MARK_BITS) - 1)
     byte = F.conv(F.hex(F.substr(F.col("m"), ((F.col("p") % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
-        sets.withColumn("p", place).withColumn("w", (F.col("p") / 32768).cast("int"))
-        .join(F.broadcast(_mark_words(classes)), "w")
+        sets.withColumn("p", _class_place()).withColumn("w", (F.col("p") / 32768).cast("int"))
+        .join(F.broadcast(_mark_words(classes, _class_place())), "w")
         .withColumn("byte", byte)
         .where("shiftright(byte, CAST(p % 8 AS INT)) & 1 = 1")
         .select(*sets.columns)
@@ -447,6 +457,13 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return whole.select(*columns).unionByName(dealt.select(*columns))
 
 
+def _each_once(sets: DataFrame) -> DataFrame:
+    """One row of each class. The sets come from their classes' smallest doc_ids, so rows too many are few; they are found by their numbers, and no set is shuffled for it."""
+    tags = sets.groupBy("cls").agg(F.min("tag").alias("first"), F.count("*").alias("c")).where("c > 1")
+    more = stored(sets.select("cls", "tag").join(tags, "cls").where("tag <> first").select("tag"), "more")
+    return (sets if more.isEmpty() else sets.join(more, "tag", "left_anti")).drop("tag")
+
+
 def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     """doc_id, cls, n, component (a class of it), low (its smallest doc_id) for every row, and the column mark (a long), if given.
 
@@ -463,11 +480,14 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     shared_keys = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("c")).where("low <> high").select("key", "c")
     shared_keys = stored(shared_keys, "shared")
     near = stored(filed.join(shared_keys, "key").select("key", "c", "cls").distinct(), "near")
-    marks = spark.sparkContext.broadcast(_marks(near.select("cls")))
-    sets = stored(
-        known.select("text").mapInArrow(_set_batches(marks, common), "cls long, n long, point binary, filed binary, members binary").dropDuplicates(["cls"]),
+    rows = signed.drop("keys")
+    lows = stored(rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own")), "lows")
+    marks = spark.sparkContext.broadcast(_marks(near.select("cls").distinct().join(lows, "cls")))
+    sets = _each_once(stored(
+        known.select("doc_id", "text").mapInArrow(_set_batches(marks, common), "cls long, n long, point binary, filed binary, members binary")
+        .withColumn("tag", F.monotonically_increasing_id()),
         "sets", 256,
-    )
+    ))
 
     # one hub for each neighbourhood, by an order that all share
     pairs = with_groups(near, "key", "c", PART, hub=F.min_by("cls", F.struct(F.xxhash64("cls"), "cls"))).where("cls <> hub")
@@ -484,8 +504,6 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
     edges = edges.union(stored(links.distinct(), "edges", 256))
 
     # classes without a link are their own component; only linked ones need their component's smallest doc_id
-    rows = signed.drop("keys")
-    lows = rows.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own"))
     components = connected_components(edges).withColumnRenamed("node", "cls")
     linked_lows = stored(lows.join(components, "cls"), "linked")
     smallest = stored(linked_lows.groupBy("component").agg(F.min("own").alias("low")), "smallest")
