@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+#: A word ends at a gap or a rise of more than so much of the last glyph's size; words within so much of a line's first one are of the line.
+WORD_GAP, WORD_RISE, LINE_RISE = 0.3, 0.5, 0.5
+#: Line starts so near are one; a gap of more than this share of their spread, and this much at least, parts columns; a line without words is so wide.
+START_STEP, COLUMN_SHARE, COLUMN_GAP, EMPTY_WIDTH = 5.0, 0.15, 30.0, 100.0
+#: A gap of more than so many sizes parts blocks; the size of a line without words.
+BLOCK_GAP, EMPTY_SIZE = 2.0, 12.0
+
 
 def words_of(chars: list[tuple]) -> list[dict]:
     """Words of glyphs (text, x, y, size, font, width): a gap over 0.3 of the size, a rise over 0.5 of it, or a space ends one."""
@@ -9,7 +16,7 @@ def words_of(chars: list[tuple]) -> list[dict]:
     for k, (text, x, y, size, _, width) in enumerate(chars):
         if k:
             _, px, py, psize, _, pwidth = chars[k - 1]
-            if abs(x - (px + pwidth)) > 0.3 * psize or abs(y - py) > 0.5 * psize:
+            if abs(x - (px + pwidth)) > WORD_GAP * psize or abs(y - py) > WORD_RISE * psize:
                 held = None
         if text == " ":
             held = None
@@ -28,7 +35,7 @@ def lines_of(words: list[dict]) -> list[dict]:
     """Lines from top to bottom; a word more than half its size off the first word of the line starts a new one."""
     groups: list[list[dict]] = []
     for w in sorted(words, key=lambda w: (-w["y"], w["x"])):
-        if groups and abs(w["y"] - groups[-1][0]["y"]) <= 0.5 * w["font_size"]:
+        if groups and abs(w["y"] - groups[-1][0]["y"]) <= LINE_RISE * w["font_size"]:
             groups[-1].append(w)
         else:
             groups.append([w])
@@ -41,25 +48,25 @@ def lines_of(words: list[dict]) -> list[dict]:
 
 def _right(line: dict) -> float:
     last = line["words"][-1] if line["words"] else None
-    return last["x"] + last["width"] if last else line["x"] + 100.0
+    return last["x"] + last["width"] if last else line["x"] + EMPTY_WIDTH
 
 
 def columns_of(lines: list[dict]) -> list[tuple[float, float]]:
     """Column ranges: clusters of line starts with gaps over 15 % of their spread (30 at least); every column needs two lines."""
     starts: list[float] = []
     for x in sorted(line["x"] for line in lines):
-        if not starts or x - starts[-1] >= 5.0:
+        if not starts or x - starts[-1] >= START_STEP:
             starts.append(x)
     if not starts:
         return []
-    gap = max(0.15 * (starts[-1] - starts[0]), 30.0)
+    gap = max(COLUMN_SHARE * (starts[-1] - starts[0]), COLUMN_GAP)
     clusters = [[starts[0], starts[0]]]
     for x in starts[1:]:
         if x - clusters[-1][1] > gap:
             clusters.append([x, x])
         else:
             clusters[-1][1] = x
-    near = lambda low, high: [line for line in lines if low - 5 <= line["x"] <= high + 5]
+    near = lambda low, high: [line for line in lines if low - START_STEP <= line["x"] <= high + START_STEP]
     out = [(low, max([high, *map(_right, near(low, high))])) for low, high in clusters]
     if len(out) > 1 and any(len(near(low, high)) < 2 for low, high in out):
         return [(out[0][0], out[-1][1])]
@@ -94,8 +101,8 @@ def block_text(lines: list[str], mode: str = "reference") -> str:
 def _blocks(lines: list[dict], mode: str) -> list[dict]:
     groups: list[list[dict]] = []
     for k, line in enumerate(lines):
-        size = lines[k - 1]["words"][0]["font_size"] if k and lines[k - 1]["words"] else 12.0
-        if k and abs(lines[k - 1]["y"] - line["y"]) <= 2 * size:
+        size = lines[k - 1]["words"][0]["font_size"] if k and lines[k - 1]["words"] else EMPTY_SIZE
+        if k and abs(lines[k - 1]["y"] - line["y"]) <= BLOCK_GAP * size:
             groups[-1].append(line)
         else:
             groups.append([line])
@@ -124,7 +131,7 @@ def reading_order(words: list[dict]) -> list[dict]:
     """Words by lines from the top, each from the left; close heights (half the larger size) are one line."""
     out: list[list[dict]] = []
     for w in sorted(words, key=lambda w: -w["y"]):
-        if out and abs(out[-1][0]["y"] - w["y"]) < 0.5 * max(out[-1][0]["font_size"], w["font_size"]):
+        if out and abs(out[-1][0]["y"] - w["y"]) < LINE_RISE * max(out[-1][0]["font_size"], w["font_size"]):
             out[-1].append(w)
         else:
             out.append([w])

@@ -46,7 +46,7 @@ FROM paged GROUP BY lang"""
 
 @query(_SEARCH_PAGES)
 def page_search_by_lang(spark, sf_dir):
-    """Paginate all documents, search the pages, and report hits for each language."""
+    """Paginate all documents that have a text, search the pages, and report hits for each language. (An empty text is a page without lines, which has nothing to search.)"""
     docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where("text <> ''"))
     paged = pages.paginate(docs).select("lang", F.array_join("lines", "\n").alias("text"))
     n = search.count_hits(F.col("text"), "tion")

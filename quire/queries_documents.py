@@ -481,16 +481,7 @@ def pdf_words(spark, sf_dir):
 SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS block_seq, n_name || ' of' || chr(10) || 'region ' || n_regionkey AS text, 2 AS n_lines FROM nation""")
 def pdf_blocks(spark, sf_dir):
     """Paragraphs of two lines, found again from the gaps between them."""
-    from quire.pdf import writer
-
-    def build(r):
-        lines = []
-        for name in r["names"]:
-            lines += [name + " of", f"region {r['n_regionkey']}", ""]
-        return writer.lines_to_pdf([lines])
-
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
-    files = rows.select("n_regionkey", made(build, "n_regionkey", F.col("n.n_name").alias("names")).alias("content"))
+    files = _region_files(spark, sf_dir)
     b = pdf.blocks(pdf.parse(files, "n_regionkey", parts=["blocks"]), "n_regionkey")
     return b.select("n_regionkey", F.col("block_seq").cast("long").alias("block_seq"), "text", F.size("lines").cast("long").alias("n_lines"))
 
@@ -563,6 +554,16 @@ SELECT n_regionkey, CAST(count(*) AS BIGINT) AS blocks, CAST(2 * count(*) AS BIG
   string_agg(n_name || ' of' || chr(10) || 'region ' || n_regionkey, '|' ORDER BY n_nationkey) AS texts FROM nation GROUP BY n_regionkey""")
 def pdf_json(spark, sf_dir):
     """Pages as JSON, read as JSON."""
+    files = _region_files(spark, sf_dir)
+    j = pdf.formatted(pdf.parse(files, "n_regionkey", parts=["blocks", "chars"]), "json", "n_regionkey")
+    shape = "array<struct<page_index:int,char_count:bigint,blocks:array<struct<text:string,lines:array<struct<text:string>>>>>>"
+    p = j.select("n_regionkey", F.from_json(F.coalesce(F.get_json_object("json", "$.pages"), F.col("json")), shape).alias("p")).select("n_regionkey", F.col("p")[0].alias("p"))
+    lines = F.aggregate("p.blocks", F.lit(0).cast("long"), lambda a, b: a + F.size(b["lines"]))
+    return p.select("n_regionkey", F.size("p.blocks").cast("long").alias("blocks"), lines.alias("lines"), "p.char_count", F.array_join(F.col("p.blocks.text"), "|").alias("texts"))
+
+
+def _region_files(spark, sf_dir) -> DataFrame:
+    """Two lines for each nation of a region, with a gap behind."""
     from quire.pdf import writer
 
     def build(r):
@@ -572,12 +573,66 @@ def pdf_json(spark, sf_dir):
         return writer.lines_to_pdf([lines])
 
     rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
-    files = rows.select("n_regionkey", made(build, "n_regionkey", F.col("n.n_name").alias("names")).alias("content"))
-    j = pdf.formatted(pdf.parse(files, "n_regionkey", parts=["blocks", "chars"]), "json", "n_regionkey")
-    shape = "array<struct<page_index:int,char_count:bigint,blocks:array<struct<text:string,lines:array<struct<text:string>>>>>>"
-    p = j.select("n_regionkey", F.from_json(F.coalesce(F.get_json_object("json", "$.pages"), F.col("json")), shape).alias("p")).select("n_regionkey", F.col("p")[0].alias("p"))
-    lines = F.aggregate("p.blocks", F.lit(0).cast("long"), lambda a, b: a + F.size(b["lines"]))
-    return p.select("n_regionkey", F.size("p.blocks").cast("long").alias("blocks"), lines.alias("lines"), "p.char_count", F.array_join(F.col("p.blocks.text"), "|").alias("texts"))
+    return rows.select("n_regionkey", made(build, "n_regionkey", F.col("n.n_name").alias("names")).alias("content"))
+
+
+@query("""
+SELECT n_regionkey, 'markdown' AS kind, '## Page 1' || chr(10) || chr(10) || string_agg(n_name || ' of' || chr(10) || 'region ' || n_regionkey, chr(10) || chr(10) ORDER BY n_nationkey) AS output FROM nation GROUP BY n_regionkey
+UNION ALL
+SELECT n_regionkey, 'html', '<h2>Page 1</h2>' || chr(10) || '<div class="page">' || chr(10) ||
+  string_agg('  <p>' || n_name || ' of<br/>' || chr(10) || '    region ' || n_regionkey || '</p>' || chr(10), '' ORDER BY n_nationkey) || '</div>' || chr(10) || '</body>' || chr(10) || '</html>' FROM nation GROUP BY n_regionkey
+UNION ALL
+SELECT n_regionkey, 'text', string_agg(n_name || ' of' || chr(10) || 'region ' || n_regionkey, chr(10) || chr(10) ORDER BY n_nationkey) FROM nation GROUP BY n_regionkey""")
+def pdf_output_formats(spark, sf_dir):
+    """Files as Markdown, HTML (from its first heading on) and text."""
+    parsed = pdf.parse(_region_files(spark, sf_dir), "n_regionkey", parts=["blocks", "text"])
+    out = None
+    for kind in ("markdown", "html", "text"):
+        body = F.col(kind) if kind != "html" else F.regexp_replace(kind, "(?s)^.*?(?=<h2>)", "")
+        part = pdf.formatted(parsed, kind, "n_regionkey").select("n_regionkey", F.lit(kind).alias("kind"), body.alias("output"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""
+SELECT n_nationkey, how, how <> 'unsigned' AS signed, how = 'whole' AS valid, CASE WHEN how <> 'unsigned' THEN how <> 'changed' END AS digest_ok, CASE WHEN how <> 'unsigned' THEN 'CN=' || n_name END AS signer
+FROM nation, (VALUES ('whole'), ('changed'), ('appended'), ('unsigned')) v(how)""")
+def pdf_signatures(spark, sf_dir):
+    """Signed files as they are, with a byte changed, with something appended; and one that is not signed."""
+    from quire.pdf import sign, writer
+    from quire.pdf.document import Document
+
+    def prime(n):
+        while any(pow(a, n - 1, n) != 1 for a in (2, 3, 5, 7, 11, 13)):
+            n += 2
+        return n
+
+    p, q = prime(3**323 | 1), prime(5**220 | 1)
+    n, e = p * q, 65537
+    d = pow(e, -1, (p - 1) * (q - 1))
+
+    def build(r):
+        data = writer.lines_to_pdf([[r["n_name"]]], "T")
+        if r["how"] == "unsigned":
+            return data
+        done = sign.sign(data, [sign.self_signed(r["n_name"], n, e, d)], n, d, "because")
+        if r["how"] == "changed":
+            return done.replace(b"because", b"becausE")
+        doc = Document(done)
+        return writer.incremental(done, doc, {doc.trailer["Info"].num: {"Title": b"new"}}) if r["how"] == "appended" else done
+
+    @F.pandas_udf("signed boolean, valid boolean, digest_ok boolean, signer string")
+    def check(files):
+        import pandas as pd
+
+        rows = []
+        for data in files:
+            found = sign.verify(Document(bytes(data)))
+            rows.append((True, found[0]["valid"], found[0]["digest_ok"], found[0]["signer"]) if found else (False, False, None, None))
+        return pd.DataFrame(rows, columns=["signed", "valid", "digest_ok", "signer"]).astype({"digest_ok": object})
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, ("whole", "changed", "appended", "unsigned")))).alias("how"))
+    return rows.select("n_nationkey", "how", check(made(build, "n_name", "how")).alias("r")).select("n_nationkey", "how", "r.*")
 
 
 @query("""
@@ -747,6 +802,66 @@ def svg_texts(spark, sf_dir):
     return _page_texts(read, "s_suppkey").select("s_suppkey", "title", "page_index", "text")
 
 
+@query("""SELECT s_suppkey, 'Docx' AS format, s_name || ' é' AS title, 'Nation ' || s_nationkey AS author, 'a' || chr(9) || 'b' || chr(10) || 'c' AS text FROM supplier""")
+def office_metadata(spark, sf_dir):
+    """Title and author of a word processor's file, and a text with tab and break."""
+
+    def build(r):
+        core = f"<c xmlns:dc='d'><dc:title> {r['s_name']} é</dc:title><dc:creator>Nation {r['s_nationkey']}</dc:creator></c>"
+        return _zip({"word/document.xml": "<w:d xmlns:w='w'><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p><w:p><w:r><w:t>c</w:t></w:r></w:p></w:d>", "docProps/core.xml": core})
+
+    read = _read(_supplier_lines(spark, sf_dir), "s_suppkey", "Docx", made(build, "s_name", "s_nationkey"))
+    return read.select("s_suppkey", "format", "title", "author", F.col("pages")[0]["text"].alias("text"))
+
+
+@query("""SELECT s_suppkey, 'Book ' || s_suppkey AS title, s_name || ' & co' || chr(10) || 'nation ' || s_nationkey AS text FROM supplier""")
+def mobi_books(spark, sf_dir):
+    """Books in one record, without compression."""
+    import struct
+
+    def build(r):
+        body = f"<p>{r['s_name']} &amp; co</p><br/>nation {r['s_nationkey']}".encode()
+        header = struct.pack(">HHIHHI", 1, 0, len(body), 1, 4096, 0) + b"MOBI" + struct.pack(">III", 232, 2, 65001)
+        head = f"Book {r['s_suppkey']}".encode().ljust(32, b"\0") + bytes(28) + b"BOOKMOBI" + bytes(8) + struct.pack(">H", 2)
+        first = len(head) + 16 + 2
+        return head + struct.pack(">IIII", first, 0, first + len(header), 0) + b"\0\0" + header + body
+
+    read = _read(_supplier_lines(spark, sf_dir), "s_suppkey", "Mobi", made(build, "s_suppkey", "s_name", "s_nationkey"))
+    return read.select("s_suppkey", "title", F.col("pages")[0]["text"].alias("text"))
+
+
+@query("""
+SELECT s_suppkey, 0 AS page_index, 72.0 AS width, CAST(75 + s_suppkey % 3 * 0.75 AS DOUBLE) AS height, s_name || chr(10) || '{' || s_nationkey || '}' AS text FROM supplier
+UNION ALL SELECT s_suppkey, 1, 72.0, 75.0, 'second' FROM supplier""")
+def xps_pages(spark, sf_dir):
+    """Fixed pages with their sizes in points, and a text that begins with a brace."""
+
+    def build(r):
+        page = lambda h, *texts: f"<FixedPage Width='96' Height='{h}'>" + "".join(f"<Glyphs UnicodeString='{escape(t)}'/>" for t in texts) + "</FixedPage>"
+        return _zip({
+            "f.fdseq": "<s><DocumentReference Source='/D/1.fdoc'/></s>", "D/1.fdoc": "<d><PageContent Source='p/1.fpage'/><PageContent Source='p/2.fpage'/></d>",
+            "D/p/1.fpage": page(100 + r["s_suppkey"] % 3, r["s_name"], "{}{" + str(r["s_nationkey"]) + "}"), "D/p/2.fpage": page(100, "second"),
+        })
+
+    read = _read(_supplier_lines(spark, sf_dir), "s_suppkey", "Xps", made(build, "s_suppkey", "s_name", "s_nationkey"))
+    p = read.select("s_suppkey", F.explode("pages").alias("p"))
+    return p.select("s_suppkey", F.col("p.page_index").cast("long").alias("page_index"), "p.width", "p.height", F.col("p.text").alias("text"))
+
+
+@query("""SELECT s_suppkey, CAST(k AS BIGINT) AS page_index, CAST(10 * (k + 1) + s_suppkey AS DOUBLE) AS width, 40.0 AS height FROM supplier, (VALUES (0), (1), (2)) v(k)""")
+def cbz_pages(spark, sf_dir):
+    """Pictures by natural order of their names, with their sizes."""
+    import struct
+
+    def build(r):
+        png = lambda w: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, 40)
+        return _zip({f"page{n}.png": png(10 * (k + 1) + r["s_suppkey"]) for n, k in ((10, 2), (9, 1), (2, 0))} | {"note.txt": "x"})
+
+    read = _read(_supplier_lines(spark, sf_dir), "s_suppkey", "Cbz", made(build, "s_suppkey"))
+    p = read.select("s_suppkey", F.explode("pages").alias("p"))
+    return p.select("s_suppkey", F.col("p.page_index").cast("long").alias("page_index"), "p.width", "p.height")
+
+
 @query("""SELECT page_id, 'ok' AS status, md5(html) AS digest FROM (SELECT page_id, regexp_replace(html, '[\\x00-\\x08\\x0b\\x0c\\x0d\\x0e-\\x1f]', '', 'g') AS html FROM pages)""")
 def office_roundtrip(spark, sf_dir):
     """Whole pages, markup and all, as one paragraph each of a word processor's file, and read again. (What XML cannot hold is left out of both.)"""
