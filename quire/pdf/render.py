@@ -13,12 +13,12 @@ import zlib
 
 import numpy as np
 
-from quire.pdf import content, filters
+from quire.pdf import color, content, filters
 from quire.pdf.content import IDENTITY, apply, concat
 from quire.pdf.functions import Function
 from quire.pdf.glyphs import program_of
 from quire.pdf.structure import components
-from quire.pdf.syntax import PdfError, Stream
+from quire.pdf.syntax import Name, PdfError, Stream
 
 MAX_SIDE = 16384
 
@@ -92,8 +92,23 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
         elif op in _COLOR_OPS and len(nums) >= _COLOR_OPS[op][2]:
             which, to_rgb, n = _COLOR_OPS[op]
             state[which] = to_rgb(*nums[:n])
-        elif op in ("sc", "scn", "SC", "SCN") and len(nums) in (1, 3, 4):
-            state["stroke" if op.isupper() else "fill"] = {1: gray, 3: lambda *v: v, 4: cmyk}[len(nums)](*nums)
+            state[which + "_space"] = state[which + "_pattern"] = None
+        elif op in ("cs", "CS") and args:
+            which, named = "stroke" if op == "CS" else "fill", doc.get(resources, "ColorSpace", dict) or {}
+            space = doc.resolve(named.get(str(args[0]), args[0]))
+            state |= {which: (0, 0, 0), which + "_space": space, which + "_pattern": None}
+        elif op in ("sc", "scn", "SC", "SCN") and (nums or args and isinstance(args[-1], Name)):
+            which = "stroke" if op.isupper() else "fill"
+            space = state.get(which + "_space")
+            if args and isinstance(args[-1], Name):
+                state[which + "_pattern"] = doc.resolve((doc.get(resources, "Pattern", dict) or {}).get(str(args[-1])))
+                space = doc.resolve(space[1]) if isinstance(space, list) and len(space) > 1 else None
+            else:
+                state[which + "_pattern"] = None
+            if space is not None and nums and str(space) not in ("DeviceGray", "DeviceRGB", "DeviceCMYK", "Pattern"):
+                state[which] = color.to_rgb(doc, space, nums)
+            elif len(nums) in (1, 3, 4):
+                state[which] = {1: gray, 3: lambda *v: v, 4: cmyk}[len(nums)](*nums)
         elif op == "m" and len(nums) >= 2:
             at = nums[0], nums[1]
             paths.append([("M", at)])
@@ -119,7 +134,10 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
                 fill, stroke, even = _PAINT[op]
                 placed = [[(s[0], *(apply(machine.ctm, *p) for p in s[1:])) for s in path] + ([("Z",)] if op in ("s", "b", "b*") else []) for path in paths]
                 points = [p for path in placed for s in path for p in s[1:]]
-                put(kind="path", paths=placed, fill=state["fill"] if fill else None, stroke=state["stroke"] if stroke else None, width=state["width"] * content.scale_of(machine.ctm), even_odd=bool(even), box=_box(points))
+                pattern = state.get("fill_pattern") if fill else None
+                if pattern is not None and points:
+                    _pattern(doc, pattern, ctm, state | {"clip": (*state["clip"], (placed, bool(even)))}, _box(points), out, limit)
+                put(kind="path", paths=placed, fill=state["fill"] if fill and pattern is None else None, stroke=state["stroke"] if stroke else None, width=state["width"] * content.scale_of(machine.ctm), even_odd=bool(even), box=_box(points))
             paths = []
         elif op in ("Do", "BI") and args:
             s = args[0] if op == "BI" else doc.resolve(objects.get(str(args[0])))
@@ -142,6 +160,41 @@ def _run(doc, data: bytes, resources: dict, ctm, state: dict, out: list, limit:
             put(kind="text", text="".join(c[0] for c in own), x=x0, y=y0, size=size, font=own[0][4], fill=state["fill"], paths=paths_of, box=[x0, y0 - 0.2 * size, own[-1][1] + own[-1][5], y0 + 0.8 * size])
 
 
+#: A pattern's cells in a path, at most.
+MOST_CELLS = 10_000
+
+
+def _pattern(doc, pattern, base, state: dict, box, out: list, limit: int) -> None:
+    """Fill what the state's clip leaves of a box with a tiling or shading pattern."""
+    d = pattern.dict if isinstance(pattern, Stream) else pattern
+    if not isinstance(d, dict) or not limit:
+        return
+    matrix = concat(tuple(float(doc.resolve(v)) for v in doc.get(d, "Matrix", list) or IDENTITY), base)
+    if doc.get(d, "PatternType", int) == 2:
+        shading = doc.get(d, "Shading")
+        if shading is not None:
+            out.append({"kind": "shading", "shading": shading, "matrix": matrix, "box": box, "clip": state["clip"], "alpha": state["ca"], "stroke_alpha": state["CA"], "blend": state["blend"]})
+        return
+    cell = [float(doc.resolve(v)) for v in doc.get(d, "BBox", list) or ()]
+    across, down = (abs(float(doc.get(d, key, (int, float)) or 0)) for key in ("XStep", "YStep"))
+    a, b, c, e, f, g = matrix
+    det = a * e - b * c
+    if not isinstance(pattern, Stream) or len(cell) != 4 or not across or not down or not det:
+        return
+    corners = [((e * (x - f) - c * (y - g)) / det, (a * (y - g) - b * (x - f)) / det) for x in box[::2] for y in box[1::2]]
+    low = [int(np.floor((min(p[k] for p in corners) - cell[k + 2]) / step)) for k, step in ((0, across), (1, down))]
+    high = [int(np.ceil((max(p[k] for p in corners) - cell[k]) / step)) for k, step in ((0, across), (1, down))]
+    if (high[0] - low[0] + 1) * (high[1] - low[1] + 1) > MOST_CELLS:
+        return
+    own = {k: v for k, v in state.items() if not k.endswith(("_pattern", "_space"))}
+    if doc.get(d, "PaintType", int) != 2:
+        own |= {"fill": (0, 0, 0), "stroke": (0, 0, 0)}
+    data, resources = doc.decoded(pattern), doc.get(d, "Resources", dict) or {}
+    for j in range(low[1], high[1] + 1):
+        for i in range(low[0], high[0] + 1):
+            _run(doc, data, resources, concat((1, 0, 0, 1, i * across, j * down), matrix), own, out, limit - 1)
+
+
 def _outlines(doc, marks, programs: dict) -> list | None:
     """The placed outlines of shown glyphs; None if one of them has no program."""
     out = []
@@ -399,7 +452,7 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
     if not (0 < w <= MAX_SIDE and 0 < h <= MAX_SIDE):
         raise PdfError(f"a picture of {w} x {h}")
     out = np.full((h, w, 3), 255, np.uint8)
-    color = lambda c: np.array([255 * min(max(v, 0), 1) for v in c])
+    tint = lambda c: np.array([255 * min(max(v, 0), 1) for v in c])
 
     def paint(mask, value, alpha, blend="Normal"):
         """Lay a colour (or one for each pixel of the mask) over the picture; alpha may be one for each pixel, too."""
@@ -420,7 +473,7 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
         if c["kind"] == "path":
             flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
             if c["fill"]:
-                paint(_cover(flat, w, h, c["even_odd"]) & clip, color(c["fill"]), c["alpha"], c["blend"])
+                paint(_cover(flat, w, h, c["even_odd"]) & clip, tint(c["fill"]), c["alpha"], c["blend"])
             if c["stroke"]:
                 half, mask = max(c["width"] * content.scale_of(m), 1) / 2, np.zeros((h, w), bool)
                 for path, points in zip(c["paths"], flat):
@@ -429,7 +482,7 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
                         n = max(np.hypot(xb - xa, yb - ya), 1e-9)
                         dx, dy = (yb - ya) / n * half, (xa - xb) / n * half
                         mask |= _cover([[(xa + dx, ya + dy), (xb + dx, yb + dy), (xb - dx, yb - dy), (xa - dx, ya - dy)]], w, h, False)
-                paint(mask & clip, color(c["stroke"]), c["stroke_alpha"], c["blend"])
+                paint(mask & clip, tint(c["stroke"]), c["stroke_alpha"], c["blend"])
         elif c["kind"] in ("image", "shading"):
             a, b, cc, d, e, f = concat(c["matrix"], m)
             det = a * d - b * cc
@@ -453,10 +506,10 @@ def to_pixels(doc, page: dict, dpi: float = 72.0, text_bars: bool = True) -> np.
         elif c["paths"] is not None:
             flat = [f for p in c["paths"] if len(f := _flat(p, m)) > 1]
             if flat:
-                paint(_cover(flat, w, h, False) & clip, color(c["fill"]), c["alpha"], c["blend"])
+                paint(_cover(flat, w, h, False) & clip, tint(c["fill"]), c["alpha"], c["blend"])
         elif text_bars:
             x0, y0, x1, y1 = _box([apply(m, c["box"][0], c["y"]), apply(m, c["box"][2], c["y"] + 0.5 * c["size"])])
-            paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), color(c["fill"]), c["alpha"], c["blend"])
+            paint(clip & (xs > x0) & (xs < x1) & (ys > y0) & (ys < y1), tint(c["fill"]), c["alpha"], c["blend"])
     return out
 
 

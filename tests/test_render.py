@@ -249,3 +249,26 @@ def test_soft_masks():
     doc = Document(b.build())
     p = render.to_pixels(doc, doc.pages()[0])
     assert tuple(p[10, 5]) == (255, 255, 255) and abs(int(p[10, 15, 0]) - 127) <= 1
+
+
+def test_patterns_and_spaces():
+    b = writer.Builder()
+    cell = b.add(Stream({"PatternType": 1, "PaintType": 1, "TilingType": 1, "BBox": [0, 0, 10, 10], "XStep": 10, "YStep": 10, "Resources": {}}, b"1 0 0 rg 0 0 5 5 re f"))
+    plain = b.add(Stream({"PatternType": 1, "PaintType": 2, "TilingType": 1, "BBox": [0, 0, 10, 10], "XStep": 10, "YStep": 10, "Resources": {}}, b"0 0 5 10 re f"))
+    page = writer.PageBuilder(60, 40)
+    page.parts.append(b"/Pattern cs /P scn 0 0 20 20 re f /U cs 0 0 1 /Q scn 20 0 20 20 re f /Pattern cs /S scn 40 0 20 20 re f /Spot cs 0.5 scn 0 20 20 20 re f 0 g 20 20 20 20 re f")
+    b.page(page)
+    shade = {"ShadingType": 2, "ColorSpace": Name("DeviceRGB"), "Coords": [40, 0, 60, 0], "Function": {"FunctionType": 2, "Domain": [0, 1], "C0": [0, 0, 0], "C1": [0, 1, 0], "N": 1}}
+    tint = {"FunctionType": 2, "Domain": [0, 1], "C0": [1, 1, 1], "C1": [1, 0, 0], "N": 1}
+    n = b.kids[0].num
+    b.objects[n] = b.objects[n] | {"Resources": {
+        "Pattern": {"P": cell, "Q": plain, "S": {"PatternType": 2, "Shading": shade}},
+        "ColorSpace": {"U": [Name("Pattern"), Name("DeviceRGB")], "Spot": [Name("Separation"), Name("S"), Name("DeviceRGB"), tint]},
+    }}
+    doc = Document(b.build())
+    p = render.to_pixels(doc, doc.pages()[0])
+    at = lambda x, y: tuple(p[39 - y, x])
+    assert at(2, 2) == at(12, 12) == (255, 0, 0) and at(7, 2) == at(2, 7) == (255, 255, 255)
+    assert at(22, 2) == at(22, 8) == (0, 0, 255) and at(27, 2) == (255, 255, 255)
+    assert at(41, 5)[1] < 30 and at(58, 5)[1] > 220 and at(41, 25) == (255, 255, 255)
+    assert abs(int(at(5, 30)[1]) - 128) <= 1 and at(5, 30)[0] == 255 and at(30, 30) == (0, 0, 0)
