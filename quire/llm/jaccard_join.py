@@ -276,7 +276,10 @@ def _verify_batches(batches):
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, as (src, dst): the bound by points first, then the sets themselves."""
+    """The pairs (a, b) that link, as (src, dst): the bound by points first, then the sets themselves.
+
+    The hints make small tables take the way that large ones take.
+    """
     pts = sets.select("cls", "n", "point")
     ends = lambda df, name, cols: df.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
     bounded = (
@@ -288,7 +291,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bounded = stored(bounded, "bounded")
     whole = marked(sets.select("cls", "members"), bounded.select(F.explode(F.array("a", "b")).alias("cls")))
     return (
-        bounded.join(ends(whole, "a", ["members"]), "a").join(ends(whole, "b", ["members"]), "b")
+        bounded.hint("shuffle_merge").join(ends(whole, "a", ["members"]), "a").hint("shuffle_merge").join(ends(whole, "b", ["members"]), "b")
         .select("a", "b", "members_a", "members_b")
         .mapInArrow(_verify_batches, "src long, dst long")
     )
@@ -427,7 +430,7 @@ def _link_batches(batches):
 
 
 def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
-    return rows.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return rows.join(components.withColumnRenamed("node", "cls").hint("shuffle_merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
@@ -500,7 +503,7 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
         _member_batches, "key long, part int, other int, cls long, side int, component long"
     ), "found")
     whole = marked(sets.select("cls", "filed", "members"), found.select("cls"))
-    links = grouped(found.join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
+    links = grouped(found.hint("shuffle_merge").join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
     edges = edges.union(stored(links.distinct(), "edges", 256))
 
     # classes without a link are their own component; only linked ones need their component's smallest doc_id
