@@ -123,7 +123,7 @@ def current_map(spark: SparkSession, path: str, size: list[int], n_shards: int,
     """The version in force and its map, for slots of these sizes: the newest one, edited and saved as the next version if it needs to be."""
     known = versions(spark, path)
     if not known:
-        shard_of = assign(size, n_shards)
+        shard_of = rebalance(assign(size, n_shards), size, n_shards, tolerance)  # so that the same loads need no edit
         save_map(spark, path, 1, shard_of)
         return 1, shard_of
     before = [r.shard for r in load_map(spark, path, known[-1]).orderBy("slot").collect()]

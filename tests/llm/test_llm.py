@@ -244,6 +244,7 @@ def check_shards(rows, n):
 
 def test_sharding_by_bytes(spark):
     rows = registry.QUERIES["op2_slot_sharding"](spark, SF).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, registry.QUERIES["op2_slot_sharding"](spark, SF).collect())) and {r.map_version for r in rows} == {1}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert len(rows) == len(texts)
     for r in rows:
