@@ -74,27 +74,30 @@ def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0, good
 
 
-def unit_rows(vectors: pa.Array) -> list[bytes | None]:
-    """Vectors (lists of doubles) in double precision with length 1, as bytes; None where a vector can link with nothing."""
-    out: list[bytes | None] = [None] * len(vectors)
+def unit_rows(vectors: pa.Array) -> list[tuple[str, bytes] | None]:
+    """For each vector a hash of it in double precision with length 1, and its own bytes; None where it can link with nothing."""
+    out: list[tuple[str, bytes] | None] = [None] * len(vectors)
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    kind = vectors.type.value_type.to_pandas_dtype()
     for d in np.unique(lengths[lengths > 0]).astype(int).tolist():
         at = np.flatnonzero(lengths == d)
-        own = vectors.take(pa.array(at)).flatten()
-        x = own.to_numpy(zero_copy_only=False).reshape(-1, d)
-        units, good = _scaled(x)
-        for k, u, ok in zip(at.tolist(), units, good.tolist()):
-            out[k] = u.tobytes() if ok else None
+        raw = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        units, good = _scaled(raw.astype(float))
+        for k, u, own, ok in zip(at.tolist(), units, raw.astype(kind), good.tolist()):
+            out[k] = (xxhash.xxh3_128_hexdigest(u.tobytes()), own.tobytes()) if ok else None
     return out
 
 
+def units_of(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length from their bytes, in double precision with length 1."""
+    return _scaled(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float))[0]
+
+
 def _unit_batches(batches):
     for batch in sliced(batches, 2048):
-        ids, data = batch.column(0).to_pylist(), unit_rows(batch.column(1))
-        data = [None if i is None else u for i, u in zip(ids, data)]
+        rows = [None if i is None else u for i, u in zip(batch.column(0).to_pylist(), unit_rows(batch.column(1)))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([None if d is None else xxhash.xxh3_128_hexdigest(d) for d in data], pa.string()), pa.array(data, pa.binary())],
-            names=["vec_id", "cls", "unit"],
+            [batch.column(0), pa.array([r and r[0] for r in rows], pa.string()), pa.array([r and r[1] for r in rows], pa.binary())], names=["vec_id", "cls", "vector"]
         )
 
 
@@ -195,19 +198,19 @@ class Models:
         return self.known[d]
 
 
-def _key_batches(shared, with_code: bool):
+def _key_batches(shared, kind: str, with_code: bool):
     """Classes in; out come a row for each class and table: key, d, rep, and the code."""
 
     def run(batches):
         models = shared.value
         for batch in sliced(batches, 256):
-            reps, units = batch.column(0).to_numpy(), batch.column(1)
+            reps, vectors = batch.column(0).to_numpy(), batch.column(1)
             by_length: dict[int, list[int]] = {}
-            for k, u in enumerate(units.to_pylist()):
-                by_length.setdefault(len(u) // 8, []).append(k)
+            for k, u in enumerate(vectors.to_pylist()):
+                by_length.setdefault(len(u) // np.dtype(kind).itemsize, []).append(k)
             for d, own in by_length.items():
                 model = models[d]
-                codes, chunks = model.encode(np.frombuffer(b"".join(units.take(pa.array(own)).to_pylist())).reshape(len(own), d))
+                codes, chunks = model.encode(units_of(vectors.take(pa.array(own)).to_pylist(), kind))
                 # table and chunk take 44 bits at most, the length what is left
                 keys = (chunks | (np.arange(model.tables, dtype=np.int64) << MAX_CHUNK)) ^ (d << 44)
                 columns = [pa.array(keys.ravel()), pa.array(np.full(keys.size, d, np.int32)), pa.array(np.repeat(reps[own], model.tables))]
@@ -277,7 +280,7 @@ def _member_batches(shared):
     return run
 
 
-def _link_batches(shared, threshold: float):
+def _link_batches(shared, kind: str, threshold: float):
     """Sorted buckets of vectors in; out come links for each member, and a star for each local component."""
 
     def run(batches):
@@ -285,7 +288,7 @@ def _link_batches(shared, threshold: float):
         for group in sorted_groups(batches, 3):
             key, part, other = (group.column(c)[0].as_py() for c in range(3))
             rep, side, weight = (group.column(c).to_numpy() for c in (3, 4, 6))
-            units = np.frombuffer(b"".join(group.column(5).to_pylist())).reshape(len(rep), -1)
+            units = units_of(group.column(5).to_pylist(), kind)
             chunks = models[units.shape[1]].encode(units)[1]
             table = _table_of(key, units.shape[1])
             links, src, dst = np.zeros(len(rep), np.int64), [], []
@@ -318,27 +321,30 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     """vec_id, n_links, component_id and kept for every row."""
     spark = embeddings.sparkSession
     n_parts = partitions(spark)
-    units = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(
-        _unit_batches, "vec_id long, cls string, unit binary"
+    # vectors of single precision are kept in it; all is reckoned in double precision
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, size = ("<f4", 4) if single else ("<f8", 8)
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("e")).mapInArrow(
+        _unit_batches, "vec_id long, cls string, vector binary"
     )
     # the vectors themselves are written once, by class; what class a row is of is a table of its own
-    rows = stored(units.select("vec_id", "cls"), "rows")
-    classes = units.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("unit").alias("unit"))
+    rows = stored(vectors.select("vec_id", "cls"), "rows")
+    classes = vectors.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"))
     # a class is known by its hash of 128 bits; in what follows by a number of its own, given as the table is written (vec_id may repeat)
     reps = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    sizes = reps.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n"))
+    sizes = reps.groupBy((F.octet_length("vector") / size).cast("int").alias("d")).agg(F.count("*").alias("n"))
     fitted = {}
     for r in sizes.orderBy(F.desc("n"), "d").limit(LENGTHS).collect():
-        own = reps.where(F.octet_length("unit") == r.d * 8).orderBy("cls").limit(fit_vectors).select("unit").collect()
-        fitted[r.d] = Codes(np.stack([np.frombuffer(x.unit) for x in own]), r.n, threshold, recall)
+        own = reps.where(F.octet_length("vector") == r.d * size).orderBy("cls").limit(fit_vectors).select("vector").collect()
+        fitted[r.d] = Codes(units_of([bytes(x.vector) for x in own], kind), r.n, threshold, recall)
     shared = spark.sparkContext.broadcast(Models(fitted, reps.count() if fitted else 0, threshold, recall))
-    units = reps.select(F.col("node").alias("rep"), "unit")
+    single_rows = reps.select(F.col("node").alias("rep"), "vector")
     # into how many parts a bucket is dealt is read from one vector in COUNTED, by hash; it decides cost only, never what is compared
-    counted = units.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).mapInArrow(_key_batches(shared, False), "key long, d int, rep long")
+    counted = single_rows.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).mapInArrow(_key_batches(shared, kind, False), "key long, d int, rep long")
     large = stored(
         counted.groupBy("key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large"
     )
-    members = units.mapInArrow(_key_batches(shared, True), "key long, d int, rep long, code binary")
+    members = single_rows.mapInArrow(_key_batches(shared, kind, True), "key long, d int, rep long, code binary")
     split = members.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
     blocks = split.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -346,10 +352,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     )
     grouped = lambda df: df.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other", "rep")
     found = grouped(blocks).mapInArrow(_member_batches(shared), "key long, part int, other int, rep long, side int")
-    vectors = reps.select(F.col("node").alias("rep"), "unit", "weight")
+    weighted = reps.select(F.col("node").alias("rep"), "vector", "weight")
     links = stored(
-        grouped(found.join(vectors, "rep").select("key", "part", "other", "rep", "side", "unit", "weight"))
-        .mapInArrow(_link_batches(shared, threshold), "rep long, label long, links long"),
+        grouped(found.join(weighted, "rep").select("key", "part", "other", "rep", "side", "vector", "weight"))
+        .mapInArrow(_link_batches(shared, kind, threshold), "rep long, label long, links long"),
         "links",
     )
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
