@@ -1,4 +1,4 @@
-"""Functions of types 2, 3 and 4."""
+"""Functions of types 0 (sampled), 2, 3 and 4."""
 
 from __future__ import annotations
 
@@ -28,12 +28,39 @@ class Function:
             self.bounds, self.encode = numbers("Bounds"), numbers("Encode")
         elif self.kind == 4 and isinstance(x, Stream):
             self.program = parse_program(doc.decoded(x))
+        elif self.kind == 0 and isinstance(x, Stream) and self.range:
+            self._read_samples(doc.decoded(x), [int(v) for v in numbers("Size")], doc.get(d, "BitsPerSample", int) or 8, numbers("Encode"), numbers("Decode"))
         else:
             raise PdfError(f"function type {self.kind}")
 
+    def _read_samples(self, data: bytes, size: list[int], bits: int, encode: list[float], decode: list[float]) -> None:
+        n, total = len(self.range) // 2, math.prod(size)
+        if len(size) != len(self.domain) // 2 or min(size, default=0) < 1 or bits not in (1, 2, 4, 8, 12, 16, 24, 32) or total * n * bits > 8 * len(data):
+            raise PdfError("bad sampled function")
+        whole, used = int.from_bytes(data), 8 * len(data)
+        mask = (1 << bits) - 1
+        decode = decode or self.range
+        flat = [(whole >> (used - bits * (k + 1))) & mask for k in range(total * n)]
+        self.samples = [[decode[2 * j] + flat[k * n + j] * (decode[2 * j + 1] - decode[2 * j]) / mask for j in range(n)] for k in range(total)]
+        self.size, self.encode = size, encode or [v for s in size for v in (0, s - 1)]
+
+    def _sampled(self, inputs: list[float]) -> list[float]:
+        """Between the samples round a place, in proportion; the first input's samples lie next to each other."""
+        corners, step = [(0, 1.0)], 1
+        for k, (x, size) in enumerate(zip(inputs, self.size)):
+            (lo, hi), (a, b) = self.domain[2 * k : 2 * k + 2], self.encode[2 * k : 2 * k + 2]
+            e = min(max(a + (x - lo) * (b - a) / (hi - lo) if hi != lo else a, 0), size - 1)
+            low = min(int(e), max(size - 2, 0))
+            part = e - low
+            corners = [(at + j * step, w * v) for at, w in corners for j, v in ((low, 1 - part), (min(low + 1, size - 1), part)) if v]
+            step *= size
+        return [sum(w * self.samples[at][j] for at, w in corners) for j in range(len(self.range) // 2)]
+
     def __call__(self, inputs: list[float]) -> list[float]:
         inputs = _clip(inputs, self.domain)
-        if self.kind == 2:
+        if self.kind == 0:
+            out = self._sampled(inputs)
+        elif self.kind == 2:
             out = [a + inputs[0] ** self.n * (b - a) for a, b in zip(self.c0, self.c1)]
         elif self.kind == 3:
             x = inputs[0]

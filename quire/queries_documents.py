@@ -710,6 +710,144 @@ def pdf_svg(spark, sf_dir):
     )
 
 
+@query("""
+SELECT s_suppkey, 'ok' AS status, 1 + s_suppkey % 3 AS page_count, s_suppkey % 3 AS image_count, s_suppkey % 3 > 0 AS has_image_bytes, s_suppkey % 2 = 1 AS encrypted FROM supplier""")
+def pdf_analysis(spark, sf_dir):
+    """Pages, images and encryption of files."""
+    from quire.pdf import writer
+
+    def build(r):
+        k = r["s_suppkey"]
+        b = writer.Builder()
+        b.page(writer.PageBuilder().text(50, 50, "x"))
+        for j in range(k % 3):
+            b.page(writer.PageBuilder().image("I", writer.rgb_image(2 + j, 2, bytes(6 * (2 + j))), 1, 1, 9, 9))
+        return b.build(encrypt={"method": "AES-128", "user": "", "owner": "o"} if k % 2 else None)
+
+    files = _supplier_lines(spark, sf_dir).select("s_suppkey", made(build, "s_suppkey").alias("content"))
+    a = pdf.summary(pdf.parse(files, "s_suppkey", parts=["images"]), "s_suppkey")
+    return a.select(
+        "s_suppkey", "status", F.col("page_count").cast("long").alias("page_count"), F.col("image_count").cast("long").alias("image_count"),
+        (F.col("image_bytes") > 0).alias("has_image_bytes"), "encrypted",
+    )
+
+
+@query("""
+SELECT p_partkey, round(x * x, 6) AS exponential, round(CASE WHEN x < 0.5 THEN 2 * x ELSE 2 - 2 * x END, 6) AS stitched, round(1 - x * x, 6) AS calculated,
+  round(CASE WHEN x < 0.5 THEN 2 * x * 51 ELSE 51 + (x - 0.5) * 2 * 204 END / 255, 6) AS sampled
+FROM (SELECT p_partkey, least(p_size, 50) / CAST(50 AS DOUBLE) AS x FROM part)""")
+def pdf_functions(spark, sf_dir):
+    """Functions of all four types, at many places."""
+
+    @F.pandas_udf("exponential double, stitched double, calculated double, sampled double")
+    def run(xs):
+        import pandas as pd
+
+        from quire.pdf.document import Document
+        from quire.pdf.functions import Function
+        from quire.pdf.syntax import Stream
+        from quire.pdf.writer import lines_to_pdf
+
+        doc = Document(lines_to_pdf([["x"]]))
+        up, down = ({"FunctionType": 2, "Domain": [0, 1], "C0": [a], "C1": [b], "N": 1} for a, b in ((0, 1), (1, 0)))
+        found = [Function(doc, f) for f in (
+            {"FunctionType": 2, "Domain": [0, 1], "N": 2},
+            {"FunctionType": 3, "Domain": [0, 1], "Functions": [up, down], "Bounds": [0.5], "Encode": [0, 1, 0, 1]},
+            Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1]}, b"{dup mul 1 exch sub}"),
+            Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [3], "BitsPerSample": 8}, b"\x00\x33\xff"),
+        )]
+        return pd.DataFrame([[f([float(x)])[0] for f in found] for x in xs], columns=["exponential", "stitched", "calculated", "sampled"])
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", run(F.least("p_size", F.lit(50)) / F.lit(50.0)).alias("r"))
+    return rows.select("p_partkey", *(F.round(f"r.{c}", 6).alias(c) for c in ("exponential", "stitched", "calculated", "sampled")))
+
+
+@query("""
+SELECT p_partkey, round(x, 6) AS spot_r, round(1 - x / 2, 6) AS spot_g, CAST(p_size % 3 = 1 AS INT) * 1.0 AS indexed_r, round(x, 6) AS gray
+FROM (SELECT p_partkey, p_size, 1 - least(p_size, 50) / CAST(50 AS DOUBLE) AS x FROM part)""".replace("1 - x / 2", "1 - (1 - x) / 2").replace("CAST(p_size % 3 = 1 AS INT) * 1.0", "CAST(CASE WHEN p_size % 3 = 1 THEN 1 ELSE 0 END AS DOUBLE)"))
+def pdf_color_spaces(spark, sf_dir):
+    """A spot colour by its tint, a colour by its index, and gray."""
+
+    @F.pandas_udf("spot_r double, spot_g double, indexed_r double, gray double")
+    def run(sizes):
+        import pandas as pd
+
+        from quire.pdf import color
+        from quire.pdf.document import Document
+        from quire.pdf.syntax import Name
+        from quire.pdf.writer import lines_to_pdf
+
+        doc = Document(lines_to_pdf([["x"]]))
+        tint = {"FunctionType": 2, "Domain": [0, 1], "C0": [1, 1, 1], "C1": [0, 0.5, 1], "N": 1}
+        spot = [Name("Separation"), Name("Spot"), Name("DeviceRGB"), tint]
+        indexed = [Name("Indexed"), Name("DeviceRGB"), 2, b"\0\0\0\xff\0\0\0\xff\0"]
+        rows = []
+        for n in sizes:
+            x = min(n, 50) / 50
+            r, g, _ = color.to_rgb(doc, spot, [x])
+            rows.append((r, g, color.to_rgb(doc, indexed, [n % 3])[0], color.to_rgb(doc, Name("DeviceGray"), [1 - x])[0]))
+        return pd.DataFrame(rows, columns=["spot_r", "spot_g", "indexed_r", "gray"])
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", run("p_size").alias("r"))
+    return rows.select("p_partkey", *(F.round(f"r.{c}", 6).alias(c) for c in ("spot_r", "spot_g", "indexed_r", "gray")))
+
+
+@query("""
+SELECT s_suppkey, CAST(200 AS BIGINT) AS width, CAST(100 AS BIGINT) AS height, 255 AS red_r, 0 AS red_g, s_suppkey % 100 < 50 AS left_is_red FROM supplier""")
+def pdf_pictures(spark, sf_dir):
+    """Pages drawn as pixels: where a red rectangle lies."""
+    import numpy as np
+
+    from quire.pdf import render, writer
+    from quire.pdf.document import Document
+
+    def build(r):
+        b = writer.Builder()
+        b.page(writer.PageBuilder(200, 100).rect(20 if r["s_suppkey"] % 100 < 50 else 120, 20, 60, 60, (1, 0, 0)))
+        return b.build()
+
+    @F.pandas_udf("width long, height long, red_r int, red_g int, left_is_red boolean")
+    def drawn(files):
+        import pandas as pd
+
+        rows = []
+        for data in files:
+            doc = Document(bytes(data))
+            p = render.to_pixels(doc, doc.pages()[0])
+            ys, xs = np.nonzero(p[:, :, 1] == 0)
+            rows.append((p.shape[1], p.shape[0], int(p[ys[0], xs[0], 0]), int(p[ys[0], xs[0], 1]), bool(xs.mean() < 100)))
+        return pd.DataFrame(rows, columns=["width", "height", "red_r", "red_g", "left_is_red"])
+
+    return _supplier_lines(spark, sf_dir).select("s_suppkey", drawn(made(build, "s_suppkey")).alias("r")).select("s_suppkey", "r.*")
+
+
+@query("""
+SELECT c_custkey, d, rotate, CASE rotate WHEN 0 THEN 5.0 WHEN 90 THEN 7.0 WHEN 180 THEN d - 5 ELSE 100.0 - 7 END AS x, CASE rotate WHEN 0 THEN 100.0 - 7 WHEN 90 THEN 5.0 WHEN 180 THEN 7.0 ELSE d - 5 END AS y
+FROM (SELECT c_custkey, CAST(50 + c_custkey % 100 AS DOUBLE) AS d, c_custkey % 4 * 90 AS rotate FROM customer)""".replace("WHEN 90 THEN 7.0 WHEN 180", "WHEN 90 THEN 7.0 WHEN 180"))
+def page_rotation(spark, sf_dir):
+    """Where a point of a turned page lies in its picture."""
+    from quire.functions import geometry
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (50 + F.col("c_custkey") % 100).cast("double").alias("d"), (F.col("c_custkey") % 4 * 90).alias("rotate"))
+    p = geometry.transform_point(geometry.page_transform(F.col("rotate"), F.col("d"), F.lit(100.0)), F.lit(5.0), F.lit(7.0))
+    return rows.select("c_custkey", "d", "rotate", p.alias("p")).select("c_custkey", "d", "rotate", "p.x", "p.y")
+
+
+@query("""
+SELECT s_suppkey, length(code) * 16 + 2 * 16 - 1 AS modules, 'ok' AS check39, (11 * (length(code) + 2) + 13) AS modules128 FROM (SELECT s_suppkey, 'S' || s_suppkey || '-X' AS code FROM supplier)""")
+def linear_barcodes(spark, sf_dir):
+    """Code 39 and Code 128 symbols of suppliers' codes: how long they are, and that Code 39 begins and ends with its star."""
+    from quire.functions import barcode
+
+    code = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("-X"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", barcode.code39(code).alias("c39"), barcode.code128(code).alias("c128"), barcode.code39(F.lit("")).alias("none"))
+    star = F.lit(barcode.code39_table()["*"])
+    framed = F.startswith("c39", star) & F.endswith("c39", star)
+    return rows.select(
+        "s_suppkey", F.length("c39").cast("long").alias("modules"), F.when(framed, "ok").otherwise("bad").alias("check39"), F.length("c128").cast("long").alias("modules128"),
+    )
+
+
 # --- other formats ---
 
 

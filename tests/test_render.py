@@ -51,6 +51,14 @@ def test_functions():
     assert Function(Plain, Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 0.5]}, b"{2 mul}"))([0.4]) == [0.5]
     with pytest.raises(PdfError):
         Function(Plain, {"FunctionType": 0})
+    line = Function(Plain, Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1, 0, 2], "Size": [3], "BitsPerSample": 8}, bytes([0, 0, 255, 0, 0, 255])))
+    assert line([0.25]) == [0.5, 0] and line([0.5]) == [1, 0] and line([0.75]) == [0.5, 1] and line([7]) == [0, 2]
+    plane = Function(Plain, Stream({"FunctionType": 0, "Domain": [0, 1, 0, 1], "Range": [0, 15], "Size": [2, 2], "BitsPerSample": 4}, bytes([0x0F, 0x1F])))
+    assert plane([0, 0]) == [0] and plane([1, 0]) == [15] and plane([0, 1]) == [1] and plane([0.5, 0.5]) == [7.75]
+    turned = Function(Plain, Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [2], "BitsPerSample": 16, "Encode": [1, 0], "Decode": [0, 0.5]}, bytes([0, 0, 255, 255])))
+    assert turned([0]) == [0.5] and turned([1]) == [0]
+    with pytest.raises(PdfError):
+        Function(Plain, Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [9], "BitsPerSample": 8}, b"short"))
 
 
 def drawing():
