@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, jaccard_join, packing, quality
-from quire.llm.common import stored, table
+from quire.llm.common import documents, stored, table
 
 #: SQL can express neither the classifier nor the tokenizer; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -43,7 +43,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

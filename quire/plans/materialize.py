@@ -29,11 +29,13 @@ SMALL_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before work on whole files, if it is so small that its scan has fewer tasks than there are cores.
+    """df over all cores before work on whole texts or files, if it is small and its scan has fewer tasks than there are cores.
 
-    A file of one row group is one task however it is split. Large tables have
+    A file of one row group is one task however it is split. Larger tables have
     tasks enough and stay as they are: nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(4 * cores) if size < SMALL_BYTES * cores else df
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES * cores or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(4 * cores)
