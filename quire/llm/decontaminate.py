@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import in_slices, release, sliced, stored
+from quire.llm.common import documents, in_slices, release, sliced, stored
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -333,4 +333,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -
 
 
 def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

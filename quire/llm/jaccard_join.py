@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import connected_components, partitions, sliced, sorted_groups, stored, with_groups
+from quire.llm.common import connected_components, documents, partitions, sliced, sorted_groups, stored, with_groups
 
 SIZE = 5
 PERCENT = 75
@@ -549,4 +549,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_components(documents(spark, sf_dir))

@@ -34,6 +34,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import documents
+
 #: The base phrases and their labels.
 PHRASES = [
     ("gnu general public license", "gpl"),
@@ -201,4 +203,4 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, cover: float = COV
 
 
 def op7_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(documents(spark, sf_dir))

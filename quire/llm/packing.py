@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import memories, partitions, sliced, stored
+from quire.llm.common import documents, memories, partitions, sliced, stored
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -352,4 +352,4 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int =
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

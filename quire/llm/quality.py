@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import kernels
-from quire.llm.common import in_slices, release, sliced
+from quire.llm.common import documents, in_slices, release, sliced
 
 MAX_LABELLED = 20_000
 FEATURES = (
@@ -255,5 +255,5 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import memories, sliced
+from quire.llm.common import documents, memories, sliced
 
 MEMORY_WORDS = 600_000
 
@@ -159,4 +159,4 @@ def op6_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy piece counts of all documents under the 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
