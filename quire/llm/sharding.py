@@ -11,8 +11,8 @@ A version is one folder, written aside and renamed when it is whole; versions
 are never changed, and a version that is there already is an error.
 
 The driver sees one row for each slot (n_slots at most, whatever the input).
-Places are counted in LANES lanes of a slot, so a doc_id that a third of all
-rows repeat is no task of its own.
+Places in a slot of more than HOT_ROWS rows are counted in LANES lanes, so a
+doc_id that a third of all rows repeat is no task of its own.
 
 Nulls: a null text is empty; rows with a null doc_id are spread by their text.
 Equal doc_ids share a slot and each row keeps a place of its own. An empty
@@ -32,6 +32,7 @@ from quire.llm.common import shared_dir, stored
 
 N_SLOTS = 8192
 LANES = 32
+HOT_ROWS = 100_000
 ROW_BYTES = 16
 MAP_SCHEMA = "slot int, shard int"
 
@@ -172,20 +173,23 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path:
     held = [0] * n_shards
     before = []
     for slot in range(n_slots):
-        before.append((slot, shard_of[slot], held[shard_of[slot]]))
+        before.append((slot, shard_of[slot], held[shard_of[slot]], count[slot] > HOT_ROWS))
         held[shard_of[slot]] += count[slot]
-    places = F.broadcast(spark.createDataFrame(before, "virtual_slot int, shard int, base long"))
-    earlier = Window.partitionBy("virtual_slot").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lanes = rows.groupBy("virtual_slot", "lane").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("virtual_slot", "lane", "start")
+    places = F.broadcast(spark.createDataFrame(before, "virtual_slot int, shard int, base long, hot boolean"))
+    placed = rows.join(places, "virtual_slot").withColumn("lane", F.when(F.col("hot"), F.col("lane")).otherwise(0))
     within = Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("rank", F.row_number().over(within).cast("long"))
-        .join(lanes, ["virtual_slot", "lane"])
-        .join(places, "virtual_slot")
-        .select(
-            "doc_id", "size", "text_crc32", "virtual_slot", F.lit(version).alias("map_version"), "shard",
-            (F.col("base") + F.col("start") + F.col("rank") - 1).alias("slot"),
-        )
+    ranked = placed.withColumn("rank", F.row_number().over(within).cast("long"))
+    if any(n > HOT_ROWS for n in count):
+        # n_slots * LANES rows at most
+        earlier = Window.partitionBy("virtual_slot").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+        lanes = placed.where("hot").groupBy("virtual_slot", "lane").agg(F.count("*").alias("n"))
+        lanes = lanes.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("virtual_slot", "lane", "start")
+        ranked = ranked.join(F.broadcast(lanes), ["virtual_slot", "lane"], "left")
+    else:
+        ranked = ranked.withColumn("start", F.lit(0).cast("long"))
+    return ranked.select(
+        "doc_id", "size", "text_crc32", "virtual_slot", F.lit(version).alias("map_version"), "shard",
+        (F.col("base") + F.coalesce("start", F.lit(0)) + F.col("rank") - 1).alias("slot"),
     )
 
 

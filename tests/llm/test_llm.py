@@ -300,7 +300,8 @@ def test_a_map_is_loaded_and_edited(spark, tmp_path):
         check_shards(list(got.values()), n)
 
 
-def test_a_hot_id_keeps_places_of_its_own(spark):
+def test_a_hot_id_keeps_places_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 200)
     rows = sharding.shard(docs_frame(spark, [(1, "same")] * 900 + [(k, "t" * k) for k in range(100)]), 5).collect()
     assert len(rows) == 1000
     for shard in range(5):
