@@ -377,9 +377,9 @@ def _glyph_text():
 
 
 @query(_WRAP + """
-SELECT d.doc_id, max(1, n) AS n_pages, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest
+SELECT d.doc_id, n AS n_pages, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest
 FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents) d
-JOIN (SELECT x.doc_id, CAST(greatest(ceil(count(p.k) / 54.0), 1) AS BIGINT) AS n FROM documents x LEFT JOIN pieces p ON p.doc_id = x.doc_id GROUP BY 1) c ON c.doc_id = d.doc_id""".replace("max(1, n)", "n"))
+JOIN (SELECT x.doc_id, CAST(greatest(ceil(count(p.k) / 54.0), 1) AS BIGINT) AS n FROM documents x LEFT JOIN pieces p ON p.doc_id = x.doc_id GROUP BY 1) c ON c.doc_id = d.doc_id""")
 def pdf_roundtrip_chars(spark, sf_dir):
     """All documents written as PDF, parsed, and their glyphs put together again."""
     from quire.sources import pdf

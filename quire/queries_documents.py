@@ -763,8 +763,8 @@ def pdf_functions(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, round(x, 6) AS spot_r, round(1 - x / 2, 6) AS spot_g, CAST(p_size % 3 = 1 AS INT) * 1.0 AS indexed_r, round(x, 6) AS gray
-FROM (SELECT p_partkey, p_size, 1 - least(p_size, 50) / CAST(50 AS DOUBLE) AS x FROM part)""".replace("1 - x / 2", "1 - (1 - x) / 2").replace("CAST(p_size % 3 = 1 AS INT) * 1.0", "CAST(CASE WHEN p_size % 3 = 1 THEN 1 ELSE 0 END AS DOUBLE)"))
+SELECT p_partkey, round(x, 6) AS spot_r, round(1 - (1 - x) / 2, 6) AS spot_g, CAST(CASE WHEN p_size % 3 = 1 THEN 1 ELSE 0 END AS DOUBLE) AS indexed_r, round(x, 6) AS gray
+FROM (SELECT p_partkey, p_size, 1 - least(p_size, 50) / CAST(50 AS DOUBLE) AS x FROM part)""")
 def pdf_color_spaces(spark, sf_dir):
     """A spot colour by its tint, a colour by its index, and gray."""
 
@@ -823,7 +823,7 @@ def pdf_pictures(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, d, rotate, CASE rotate WHEN 0 THEN 5.0 WHEN 90 THEN 7.0 WHEN 180 THEN d - 5 ELSE 100.0 - 7 END AS x, CASE rotate WHEN 0 THEN 100.0 - 7 WHEN 90 THEN 5.0 WHEN 180 THEN 7.0 ELSE d - 5 END AS y
-FROM (SELECT c_custkey, CAST(50 + c_custkey % 100 AS DOUBLE) AS d, c_custkey % 4 * 90 AS rotate FROM customer)""".replace("WHEN 90 THEN 7.0 WHEN 180", "WHEN 90 THEN 7.0 WHEN 180"))
+FROM (SELECT c_custkey, CAST(50 + c_custkey % 100 AS DOUBLE) AS d, c_custkey % 4 * 90 AS rotate FROM customer)""")
 def page_rotation(spark, sf_dir):
     """Where a point of a turned page lies in its picture."""
     from quire.functions import geometry
@@ -918,6 +918,7 @@ def pptx_slides(spark, sf_dir):
 
 @query(f"""SELECT conv_id, 'Book ' || conv_id AS title, k AS page_index, md5({_CLEAN}) AS digest FROM ({_TURNS})""")
 def fb2_sections(spark, sf_dir):
+    """Conversations as books, a turn a section."""
 
     def build(r):
         body = "".join(f"<section><p>{escape(' '.join(t['text'].split()))}</p></section>" for t in r["turns"])
@@ -929,6 +930,7 @@ def fb2_sections(spark, sf_dir):
 
 @query("""SELECT s_suppkey, 'Nr ' || s_suppkey AS title, 0 AS page_index, s_name || chr(10) || 'é & <' || s_nationkey AS text FROM supplier""")
 def svg_texts(spark, sf_dir):
+    """Texts of pictures, one of them in two pieces."""
 
     def build(r):
         return (
