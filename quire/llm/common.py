@@ -163,13 +163,14 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int = ONE_TASK_EDGES, arrow_rows: int = 1000) -> DataFrame:
     """Connected components of an edge list (src, dst): rows (node, component).
 
-    component is the smallest node reachable. A list of at most one_task edges
-    goes through one task. For longer ones the large-star and small-star steps
-    alternate, which turn every component into a star around its smallest node
-    in about log(n) rounds. Group minima are partial aggregates and are written
+    component is the smallest node reachable. The list is read once and written
+    here (arrow_rows: see stored), so it need not be a written table. A list of
+    at most one_task edges goes through one task. For longer ones the large-star
+    and small-star steps alternate, which turn every component into a star around
+    its smallest node in about log(n) rounds. Group minima are partial aggregates and are written
     before they are joined: with a plain table on each side a join is split by
     AQE where a hub has very many links, which it could not be next to an
     aggregate by the same key. Self-loops and nulls are ignored; nodes without
@@ -177,7 +178,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int =
     """
     cur = stored(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(),
-        "edges",
+        "edges", arrow_rows,
     )
     if cur.count() <= one_task:
         return stored(cur.repartition(1).mapInArrow(_union_find, "node long, component long"), "components")

@@ -494,20 +494,23 @@ def _placed(docs: DataFrame, mark: str | None = None) -> DataFrame:
 
     # one hub for each neighbourhood, by an order that all share
     pairs = with_groups(near, "key", "c", PART, hub=F.min_by("cls", F.struct(F.xxhash64("cls"), "cls"))).where("cls <> hub")
-    edges = stored(verified(pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), sets), "edges", 256)
+    hubs = verified(pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), sets)
+    by_hub = connected_components(hubs, arrow_rows=256)
 
     # what is not connected yet, neighbourhood by neighbourhood
-    left = _blocks(stored(_with_components(near, connected_components(edges)), "placed"))
+    left = _blocks(stored(_with_components(near, by_hub), "placed"))
     grouped = lambda df: df.repartition(n_parts, "key", "part", "other").sortWithinPartitions("key", "part", "other", "cls")
     found = stored(grouped(left.join(sets.select("cls", "n", "point", "filed"), "cls").select(*left.columns, "n", "point", "filed")).mapInArrow(
         _member_batches, "key long, part int, other int, cls long, side int, component long"
     ), "found")
     whole = marked(sets.select("cls", "filed", "members"), found.select("cls"))
     links = grouped(found.hint("shuffle_merge").join(whole, "cls").select(*found.columns, "filed", "members")).mapInArrow(_link_batches, "src long, dst long")
-    edges = edges.union(stored(links.distinct(), "edges", 256))
+
+    # the components by hub stand for the links that made them
+    edges = by_hub.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)
 
     # classes without a link are their own component; only linked ones need their component's smallest doc_id
-    components = connected_components(edges).withColumnRenamed("node", "cls")
+    components = connected_components(edges, arrow_rows=256).withColumnRenamed("node", "cls")
     linked_lows = stored(lows.join(components, "cls"), "linked")
     smallest = stored(linked_lows.groupBy("component").agg(F.min("own").alias("low")), "smallest")
     linked_classes = linked_lows.join(smallest, "component").select("cls", "component", "low")

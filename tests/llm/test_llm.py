@@ -746,6 +746,17 @@ def test_a_text_that_copies_nothing_stays(spark):
         assert got == collections.Counter(first + own + empty)
 
 
+def test_links_are_written_once(spark, monkeypatch):
+    """Each list of links is written for its components and not before; on a local disk every file starts a process."""
+    rng, names, write = random.Random(33), [], common.stored
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "stored", lambda df, name, *more: names.append(name) or write(df, name, *more))
+    texts = [prose(rng, 60) for _ in range(20)]
+    rows = [(k, varied(rng, texts[k % 20], 0.02)) for k in range(80)]
+    assert collections.Counter(tuple(r) for r in jaccard_join.join_components(docs_frame(spark, rows)).collect()) == brute_components(rows)
+    assert names.count("edges") == names.count("components") == 2
+
+
 def test_jaccard_on_the_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert collections.Counter(tuple(r) for r in registry.QUERIES["op8_count_tree_jaccard"](spark, SF).collect()) == brute_components(rows)
