@@ -170,10 +170,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int =
     here (arrow_rows: see stored), so it need not be a written table. A list of
     at most one_task edges goes through one task. For longer ones the large-star
     and small-star steps alternate, which turn every component into a star around
-    its smallest node in about log(n) rounds. Group minima are partial aggregates and are written
-    before they are joined: with a plain table on each side a join is split by
-    AQE where a hub has very many links, which it could not be next to an
-    aggregate by the same key. Self-loops and nulls are ignored; nodes without
+    its smallest node in about log(n) rounds. Group minima are partial aggregates
+    and are written before they are joined: with a plain table on each side a join
+    is split by AQE where a hub has very many links, which it could not be next to
+    an aggregate by the same key. Self-loops and nulls are ignored; nodes without
     an edge are not returned.
     """
     cur = stored(
